@@ -5,12 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, private, shards, simhash, substrings, topk
+from claimloom.llm import decontaminate, lines, pieces, private, quality, shards, simhash, substrings, topk
 from claimloom.llm.common import table
+from claimloom.llm.sql import SQL
 
 SHARDS = 40
 
 
+def model_path() -> str:
+    """The public SentencePiece model; the path is a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    rounded = [F.round(c, 6).alias(c) for c in ("expected_grade", "p_at_least_1", "p_at_least_2")]
+    return scored.select("doc_id", *rounded, (F.col("p_at_least_2") >= quality.LEAST).alias("kept"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +52,15 @@ def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "lines.n_lines", "lines.n_removed", "lines.n_runs", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digest(table(spark, sf_dir, "documents"), model_path())
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shuffle_into_shards(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -46,5 +70,5 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_pii, op4_difference_cover, op6_fm_index, op9_shards, op10_top_k)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ordinal, op2_simhash, op3_pii, op4_difference_cover, op6_fm_index, op7_suffix_array, op8_sentencepiece, op9_shards, op10_top_k)}
+__all__ = ["QUERIES", "SQL", "model_path"]

@@ -50,10 +50,9 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
 def majority(hashes: np.ndarray) -> np.ndarray:
     """For each column of hashes(n, m): the bits that are set in over half the rows, as bytes, most significant first."""
     total = np.zeros(hashes.shape[1] * 64, np.int64)
-    step = max(1, (1 << 22) // (hashes.shape[1] * 64))
-    for start in range(0, len(hashes), step):
-        some = np.ascontiguousarray(hashes[start : start + step]).astype(">u8")
-        total += np.unpackbits(some.view(np.uint8).reshape(len(some), -1), axis=1).sum(0, dtype=np.int64)
+    for start in range(0, len(hashes), 255):  # so that bytes hold the sums
+        some = hashes[start : start + 255].astype(">u8")
+        total += np.add.reduce(np.unpackbits(some.view(np.uint8).reshape(len(some), -1), axis=1), axis=0, dtype=np.uint8)
     return np.packbits(2 * total > len(hashes))
 
 
@@ -100,8 +99,9 @@ def _pairs(a_low, a_n, b_low, b_n):
     return a_low[which] + within // b_n[which], b_low[which] + within % b_n[which]
 
 
-def trie_links(prints: np.ndarray, roots: list[tuple[int, int, int, int]], bits: int, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of sorted, distinct fingerprints that differ in at most `budget` bits, below the given pairs of ranges."""
+def trie_links(prints: np.ndarray, roots: list[tuple[int, int, int, int]], bits: int, budget: int, exact: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of sorted, distinct fingerprints below the given pairs of ranges that agree in the `exact` leading bits and differ in at most `budget` others."""
+    table = np.uint64(min(63, bits - exact))
     front = np.array(roots, np.int64).reshape(-1, 4)
     errors = np.zeros(len(front), np.int64)
     same = (front[:, 0] == front[:, 2]) & (front[:, 1] == front[:, 3])
@@ -113,6 +113,8 @@ def trie_links(prints: np.ndarray, roots: list[tuple[int, int, int, int]], bits:
             for some in np.array_split(np.flatnonzero(direct), 1 + int(direct.sum()) * DIRECT // (1 << 20)):
                 x, y = _pairs(a0[some], (a1 - a0)[some], b0[some], (b1 - b0)[some])
                 fine = (x < y) & (_differ(prints[x], prints[y]) <= budget)
+                if exact:
+                    fine &= prints[x] >> table == prints[y] >> table
                 if fine.any():
                     yield x[fine], y[fine]
             front, errors, same = front[~direct], errors[~direct], same[~direct]
@@ -127,7 +129,8 @@ def trie_links(prints: np.ndarray, roots: list[tuple[int, int, int, int]], bits:
         less, more = np.stack((a0, a_mid, b0, b_mid), 1), np.stack((a_mid, a1, b_mid, b1), 1)
         up, down = np.stack((a0, a_mid, b_mid, b1), 1), np.stack((a_mid, a1, b0, b_mid), 1)
         front = np.concatenate((less, more, up, down[~same]))
-        errors = np.concatenate((errors, errors, errors + 1, errors[~same] + 1))
+        cost = 1 if level < bits - exact else budget + 1
+        errors = np.concatenate((errors, errors, errors + cost, errors[~same] + cost))
         same = np.concatenate((same, same, np.zeros(len(up) + int((~same).sum()), bool)))
         left = (errors <= budget) & (front[:, 0] < front[:, 1]) & (front[:, 2] < front[:, 3])
         front, errors, same = front[left], errors[left], same[left]
@@ -153,6 +156,10 @@ class Forest:
                     break
                 self.root = up
 
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        child = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return child, self.root[child]
+
 
 # --- the plan over the trie's top -----------------------------------------------------------------------------------
 
@@ -194,7 +201,7 @@ def leaves(prints: DataFrame, leaf: int, bits: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def leaf_pairs(tops: list[tuple[int, int]], bits: int, budget: int) -> list[tuple[int, int]]:
+def leaf_pairs(tops: list[tuple[int, int]], bits: int, budget: int, exact: int = 0) -> list[tuple[int, int]]:
     """Pairs of leaves, by number, that the pruned walk from the root reaches; each leaf pairs with itself."""
     starts = [first for first, _ in tops]
 
@@ -215,7 +222,7 @@ def leaf_pairs(tops: list[tuple[int, int]], bits: int, budget: int) -> list[tupl
             out.append((min(a, b), max(a, b)))
             continue
         for i, j in ((0, 0), (1, 1), (0, 1), (1, 0)):
-            if errors + (i != j) <= budget and not (x == y and i > j):
+            if errors + (i != j) <= budget and not (x == y and i > j) and (i == j or depth >= exact):
                 stack.append((2 * x + i, 2 * y + j, depth + 1, errors + (i != j)))
     return sorted(set(out))
 
@@ -226,9 +233,14 @@ def _holder(tops: list[tuple[int, int]], first: int, bits: int) -> int | None:
     return k if k >= 0 and tops[k][0] >> (bits - tops[k][1]) == first >> (bits - tops[k][1]) else None
 
 
-def _deal(batches: Iterator[pa.RecordBatch], starts: np.ndarray, pairs: np.ndarray, table: int) -> Iterator[pa.RecordBatch]:
+def _homes(pairs: np.ndarray) -> np.ndarray:
+    """Which leaf of each pair walks it."""
+    return np.where((pairs[:, 0] * 31 + pairs[:, 1] * 17) % 2 == 0, pairs[:, 0], pairs[:, 1])
+
+
+def _deal(batches: Iterator[pa.RecordBatch], starts: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Each fingerprint to its own leaf as home and to the other homes of its leaf's pairs."""
-    home = np.where((pairs[:, 0] * 31 + pairs[:, 1] * 17) % 2 == 0, pairs[:, 0], pairs[:, 1])
+    home = _homes(pairs)
     at = np.unique(np.concatenate((np.stack((pairs[:, 0], home), 1), np.stack((pairs[:, 1], home), 1))), axis=0)
     first = np.searchsorted(at[:, 0], np.arange(len(starts) + 1))
     for batch in batches:
@@ -237,47 +249,133 @@ def _deal(batches: Iterator[pa.RecordBatch], starts: np.ndarray, pairs: np.ndarr
         many = first[own + 1] - first[own]
         row = np.repeat(np.arange(len(own)), many)
         goes = at[np.repeat(first[own], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many), 1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), table), pa.int32()), pa.array(goes, pa.int64()), pa.array(own[row], pa.int64()), pa.array(prints[row].view(np.int64)), batch.column("_rep").take(pa.array(row))], ["_table", "_home", "_leaf", "_print", "_rep"])
+        yield pa.RecordBatch.from_arrays([pa.array(goes, pa.int64()), pa.array(own[row], pa.int64()), pa.array(prints[row].view(np.int64)), batch.column("_rep").take(pa.array(row))], ["_home", "_leaf", "_print", "_rep"])
 
 
-def _home_links(group: pa.Table, pairs_of: dict[int, np.ndarray], bits: dict[int, int], budget: int) -> pa.Table:
-    table, home = group.column("_table")[0].as_py(), group.column("_home")[0].as_py()
+class Partners:
+    """For each fingerprint the least, the last smaller and the nearest partner."""
+
+    def __init__(self, prints: np.ndarray) -> None:
+        n = len(prints)
+        self.prints, self.least, self.last = prints, np.full(n, n), np.full(n, -1)
+        self.nearest, self.bits = np.full(n, -1), np.full(n, 65)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        np.minimum.at(self.least, y, x)
+        np.maximum.at(self.last, y, x)
+        differ = _differ(self.prints[x], self.prints[y])
+        for a, b in ((x, y), (y, x)):
+            order = np.argsort(differ, kind="stable")
+            one, where = np.unique(a[order], return_index=True)
+            best = order[where]
+            closer = differ[best] < self.bits[one]
+            self.bits[one[closer]], self.nearest[one[closer]] = differ[best[closer]], b[best[closer]]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        n = np.arange(len(self.prints))
+        both = np.concatenate([np.stack((n[fine], to[fine]), 1) for to, fine in ((self.least, self.least < len(n)), (self.last, self.last >= 0), (self.nearest, self.nearest >= 0))])
+        both = np.unique(np.sort(both, axis=1), axis=0)
+        return both[:, 1], both[:, 0]
+
+
+def _home_links(group: pa.Table, pairs: np.ndarray, bits: int, budget: int, exact: int, forest: bool) -> pa.Table:
+    home = group.column("_home")[0].as_py()
     prints, rep, leaf = (group.column(c).to_numpy() for c in ("_print", "_rep", "_leaf"))
     prints = prints.view(np.uint64)
     order = np.argsort(prints, kind="stable")
     prints, rep, leaf = prints[order], rep[order], leaf[order]
-    pairs = pairs_of[table]
-    mine = np.where((pairs[:, 0] * 31 + pairs[:, 1] * 17) % 2 == 0, pairs[:, 0], pairs[:, 1]) == home
     bounds = lambda k: (int(np.searchsorted(leaf, k)), int(np.searchsorted(leaf, k, "right")))
-    roots = [(*bounds(a), *bounds(b)) for a, b in pairs[mine]]
+    roots = [(*bounds(a), *bounds(b)) for a, b in pairs[_homes(pairs) == home]]
     roots = [r for r in roots if r[0] < r[1] and r[2] < r[3]]
-    forest = Forest(len(prints))
-    for x, y in trie_links(prints, roots, bits[table], budget):
-        forest.add(x, y)
-    child = np.flatnonzero(forest.root != np.arange(len(prints)))
-    return pa.table({"a": pa.array(rep[child], pa.int64()), "b": pa.array(rep[forest.root[child]], pa.int64())})
+    found = Forest(len(prints)) if forest else Partners(prints)
+    for x, y in trie_links(prints, roots, bits, budget, exact):
+        found.add(x, y)
+    child, parent = found.links()
+    return pa.table({"a": pa.array(rep[child], pa.int64()), "b": pa.array(rep[parent], pa.int64())})
 
 
-def print_links(prints: DataFrame, bits: int = 64, budget: int = 2, leaf: int = 1 << 17, table: int = 0) -> DataFrame:
-    """Spanning links (a, b) between the `_rep`s of prints(_print long, _rep long), one row for each fingerprint."""
+def print_links(prints: DataFrame, bits: int = 64, budget: int = 2, exact: int = 0, forest: bool = True, leaf: int = 1 << 17) -> DataFrame:
+    """Links (a, b) between the `_rep`s of prints(_print long, _rep long), one row for each fingerprint.
+
+    With `forest` they span all links; without, each fingerprint is linked to its least, last smaller and nearest partner.
+    """
     tops = leaves(prints, leaf, bits)
     if not tops:
         return prints.sparkSession.createDataFrame([], "a long, b long")
-    pairs = np.array(leaf_pairs(tops, bits, budget), np.int64).reshape(-1, 2)
+    pairs = np.array(leaf_pairs(tops, bits, budget, exact), np.int64).reshape(-1, 2)
     starts = np.array([first for first, _ in tops], np.uint64)
-    dealt = prints.mapInArrow(lambda batches: _deal(batches, starts, pairs, table), "_table int, _home long, _leaf long, _print long, _rep long")
-    return dealt.groupBy("_table", "_home").applyInArrow(lambda group: _home_links(group, {table: pairs}, {table: bits}, budget), "a long, b long")
+    dealt = prints.select("_print", "_rep").mapInArrow(lambda batches: _deal(batches, starts, pairs), "_home long, _leaf long, _print long, _rep long")
+    return dealt.groupBy("_home").applyInArrow(lambda group: _home_links(group, pairs, bits, budget, exact, forest), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, leaf: int = 1 << 17) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable), links (fingerprint trees joined)."""
+    """doc_id, fingerprint (16 lowercase hex digits) and component_id (smallest doc_id reachable)."""
     spark = docs.sparkSession
     signed = signatures(docs.select("doc_id", "text"), words)
     number = F.conv(F.hex("signature"), 16, -10).cast("long")
     signed = written(signed.select("doc_id", number.alias("_print")).distinct(), "signed")
     prints = written(signed.where(F.col("doc_id").isNotNull()).groupBy("_print").agg(F.min("doc_id").alias("_rep")), "prints")
     release(spark)
-    roots = components(print_links(prints, 64, budget, leaf))
+    roots = components(print_links(prints, 64, budget, leaf=leaf))
     grouped = written(prints.join(small(roots), prints["_rep"] == roots["node"], "left").select("_print", F.coalesce("root", "_rep").alias("component_id")), "grouped")
     full = signed.join(small(grouped), "_print", "left")
     return full.select("doc_id", F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+# --- one of each group of near copies -------------------------------------------------------------------------------
+
+#: Long signatures: MANY * 64 bits, cut into tables of KEY bits, each walked as a trie with BUDGET errors.
+MANY, KEY, BUDGET = 16, 32, 2
+
+
+def bit_budget(similarity: float, bits: int = MANY * 64) -> int:
+    """Bits that signatures of two shingle sets of equal size and this Jaccard similarity differ in on average."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _alike(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("_sig_a", "_sig_b"))
+            fine = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fine))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, leaf: int = 1 << 17) -> DataFrame:
+    """(doc_id, component_id) of documents that aren't the smallest of their group of near copies.
+
+    Two documents are near copies if their signatures differ in at most the bits that `similarity` leaves.  The signature's
+    tables are walked together, the table's number as leading bits that must agree; candidates are then held against the
+    whole signature.  Two documents at the threshold meet in some table with a probability of about 0.98, closer ones
+    more surely.
+    """
+    spark = docs.sparkSession
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = written(signatures(known, words, MANY).distinct(), "signed")
+    one = written(signed.groupBy("signature").agg(F.min("doc_id").alias("_rep")), "signatures")
+    release(spark)
+    tables = MANY * 64 // KEY
+    lead = (tables - 1).bit_length()
+    part = lambda t: F.conv(F.hex(F.substring("signature", t * KEY // 8 + 1, KEY // 8)), 16, 10).cast("long") + F.lit(t << KEY)
+    keys = one.select("_rep", F.explode(F.array(*[part(t) for t in range(tables)])).alias("_print"))
+    prints = written(keys.groupBy("_print").agg(F.min("_rep").alias("_rep"), F.max("_rep").alias("_most")), "prints")
+    shared = prints.where("_rep < _most").select("_print", F.col("_rep").alias("b"))
+    equal = keys.join(shared, "_print").select(F.col("_rep").alias("a"), "b").where("a <> b")
+    trie = print_links(prints, KEY + lead, BUDGET, lead, forest=False, leaf=leaf)
+    pairs = written(equal.unionByName(trie).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    release(spark)
+    side = lambda name: one.select(F.col("_rep").alias(name), F.col("signature").alias(f"_sig_{name}"))
+    most = bit_budget(similarity)
+    alike = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_sig_a", "_sig_b").mapInArrow(lambda batches: _alike(batches, most), "a long, b long")
+    roots = components(alike)
+    grouped = one.join(small(roots), one["_rep"] == roots["node"], "left").select("signature", F.coalesce("root", "_rep").alias("component_id"))
+    return signed.join(grouped, "signature").select("doc_id", "component_id").where("doc_id <> component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, with their columns, without all but the smallest id of each group; one row for each id."""
+    gone = written(near_copies(docs, words, similarity).select("doc_id").distinct(), "gone")
+    if not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
+        null = docs.where(F.col("doc_id").isNull())
+        docs = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(null)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
