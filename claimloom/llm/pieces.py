@@ -29,7 +29,7 @@ from claimloom.llm.common import fields, with_columns
 
 SPACE = "▁"
 #: Characters that one suffix array holds, and units whose encoding a worker remembers.
-INDEXED, KNOWN = 1 << 18, 1 << 18
+INDEXED, KNOWN = 1 << 20, 1 << 18
 #: Units with more characters are joined by a heap, one at a time.
 LONG = 64
 
@@ -55,6 +55,10 @@ class Pieces:
         self.unknown = next((k for k, (_, _, kind) in enumerate(pieces) if kind == 2), 0)
         self.long = [(k, p) for k, p in normal if len(p) > 1]
         self.depth = max((len(p) for _, p in self.long), default=1)
+        self.ids, self.sizes = np.array([k for k, _ in self.long], np.int32), np.array([len(p) for _, p in self.long], np.int64)
+        self.codes = np.zeros((len(self.long), self.depth), np.uint32)
+        for row, (_, p) in zip(self.codes, self.long, strict=True):
+            row[: len(p)] = [ord(c) for c in p]
         joining = {c for _, p in self.long for c in p}
         inner = any(SPACE in p.lstrip(SPACE) for _, p in self.long)
         alone = "".join(c for c in "\n\r\t" if c not in joining)
@@ -83,21 +87,32 @@ class Pieces:
             keys.append(key)
         suffixes = np.lexsort(keys[::-1])
         keys = [k[suffixes] for k in keys]
-        number = {int(c): k + 1 for k, c in enumerate(alphabet)}
+        spelled = np.searchsorted(alphabet, self.codes)
+        spelled = np.where((self.codes > 0) & (alphabet[np.minimum(spelled, len(alphabet) - 1)] == self.codes), spelled + 1, 0)
+        some = np.flatnonzero((spelled > 0).sum(1) == self.sizes)
+        spelled, sizes, ids = spelled[some].astype(np.uint64), self.sizes[some], self.ids[some]
+        low, high = np.zeros(len(some), np.int64), np.full(len(some), n, np.int64)
+        for level, start in enumerate(range(0, self.depth, per)):
+            reach = np.flatnonzero((sizes > start) & (low < high))
+            part = np.zeros((len(reach), per), np.uint64)
+            given = spelled[reach, start : start + per]
+            part[:, : given.shape[1]] = given
+            first = np.zeros(len(reach), np.uint64)
+            for k in range(per):
+                first = (first << np.uint64(bits)) | part[:, k]
+            open_ = np.maximum(0, per - np.minimum(sizes[reach] - start, per)).astype(np.uint64) * np.uint64(bits)
+            last = first | ((np.uint64(1) << open_) - np.uint64(1))
+            if not level:
+                low[reach], high[reach] = np.searchsorted(keys[0], first), np.searchsorted(keys[0], last, "right")
+                continue
+            for k, x, y in zip(reach.tolist(), first, last, strict=True):
+                inner = keys[level][low[k] : high[k]]
+                low[k], high[k] = low[k] + np.searchsorted(inner, x), low[k] + np.searchsorted(inner, y, "right")
+        many = np.maximum(high - low, 0)
+        which = np.repeat(np.arange(len(some)), many)
+        at = suffixes[low[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)]
         edge = np.full((n, self.depth + 1), -1, np.int32)
-        spelled = [(k, p, [number.get(ord(c), 0) for c in p]) for k, p in self.long]
-        spelled = [(k, len(p), cs) for k, p, cs in spelled if all(cs)]
-        bound = lambda cs, last: sum(c << bits * (per - 1 - i) for i, c in enumerate(cs)) | ((1 << bits * (per - len(cs))) - 1 if last else 0)
-        lows = np.searchsorted(keys[0], np.array([bound(cs[:per], False) for _, _, cs in spelled], np.uint64))
-        highs = np.searchsorted(keys[0], np.array([bound(cs[:per], True) for _, _, cs in spelled], np.uint64), "right")
-        for (piece, size, cs), low, high in zip(spelled, lows.tolist(), highs.tolist(), strict=True):
-            for level, start in enumerate(range(per, size, per), 1):
-                if low >= high:
-                    break
-                part, some = keys[level][low:high], cs[start : start + per]
-                low, high = low + int(np.searchsorted(part, np.uint64(bound(some, False)))), low + int(np.searchsorted(part, np.uint64(bound(some, True)), "right"))
-            if low < high:
-                edge[suffixes[low:high], size] = piece
+        edge[at, sizes[which]] = ids[which]
         return edge
 
     # --- relaxation -------------------------------------------------------------------------------------------------
@@ -170,19 +185,25 @@ class Pieces:
             starts = np.cumsum(sizes) - sizes
             edge = self.edges(text)
             at, length = self.relax(edge, starts, sizes)
-            ids = np.where(length > 1, edge[at, length], -1).tolist()
-            out: list[list[int]] = [[] for _ in some]
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)[at]
+            chars, char = np.unique(codes, return_inverse=True)
+            alone = [self._alone(chr(c)) for c in chars.tolist()]
+            many = np.array([len(x) for x in alone])
+            flat, first = np.array([i for x in alone for i in x], np.int32), np.cumsum(many) - many
+            count = np.where(length > 1, 1, many[char])
+            which = np.repeat(np.arange(len(at)), count)
+            within = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+            ids = np.where(length[which] > 1, edge[at, length][which], flat[first[char[which]] + within]).astype(np.int32).tobytes()
             owner = np.searchsorted(starts, at, "right") - 1
-            for unit, p, i in zip(owner.tolist(), at.tolist(), ids, strict=True):
-                if i >= 0:
-                    out[unit].append(i)
-                elif (one := self.single.get(text[p])) is not None:
-                    out[unit].append(one)
-                else:
-                    out[unit] += [self.byte.get(b, self.unknown) for b in text[p].encode()]
-            self.known.update((u, np.array(x, np.int32).tobytes()) for u, x in zip(some, out, strict=True))
+            ends = (4 * np.cumsum(np.bincount(owner, count, len(some)).astype(np.int64))).tolist()
+            self.known.update((u, ids[x:y]) for u, x, y in zip(some, [0, *ends[:-1]], ends, strict=True))
             start = stop
 
+    def _alone(self, char: str) -> list[int]:
+        """The ids of a character that no longer piece covers."""
+        one = self.single.get(char)
+        return [self.byte.get(b, self.unknown) for b in char.encode()] if one is None else [one]
+
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """32-bit ids of each text."""
         if len(self.known) > KNOWN:
@@ -197,7 +218,7 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-def _encode(batches: Iterator[pa.RecordBatch], pieces: list, keep: list[str], check: bool, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], pieces: list, keep: list[str], check: bool, rows: int = 2500) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     model = Pieces(pieces)
