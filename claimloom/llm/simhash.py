@@ -30,6 +30,8 @@ from claimloom.llm.components import components
 SEED = 42
 #: Node pairs with at most so many pairs of fingerprints are compared directly.
 DIRECT = 64
+#: Node pairs that the walk holds at a level; more are walked in halves, one after the other.
+FRONT = 1 << 16
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -103,14 +105,25 @@ def trie_links(prints: np.ndarray, roots: list[tuple[int, int, int, int]], bits:
     """Index pairs of sorted, distinct fingerprints below the given pairs of ranges that agree in the `exact` leading bits and differ in at most `budget` others."""
     table = np.uint64(min(63, bits - exact))
     front = np.array(roots, np.int64).reshape(-1, 4)
-    errors = np.zeros(len(front), np.int64)
-    same = (front[:, 0] == front[:, 2]) & (front[:, 1] == front[:, 3])
-    level = bits
-    while len(front):
+    counts: dict[int, np.ndarray] = {}
+
+    def ones(level: int) -> np.ndarray:
+        """How many fingerprints before each have this bit."""
+        if level not in counts:
+            counts[level] = np.concatenate(([0], np.cumsum((prints >> np.uint64(level)) & np.uint64(1), dtype=np.int32)))
+        return counts[level]
+
+    work = [(bits, front, np.zeros(len(front), np.int8), (front[:, 0] == front[:, 2]) & (front[:, 1] == front[:, 3]))]
+    while work:
+        level, front, errors, same = work.pop()
+        if len(front) > FRONT:
+            half = len(front) // 2
+            work += [(level, front[half:], errors[half:], same[half:]), (level, front[:half], errors[:half], same[:half])]
+            continue
         a0, a1, b0, b1 = front.T
         direct = ((a1 - a0) * (b1 - b0) <= DIRECT) | (level == 0)
         if direct.any():
-            for some in np.array_split(np.flatnonzero(direct), 1 + int(direct.sum()) * DIRECT // (1 << 20)):
+            for some in np.array_split(np.flatnonzero(direct), 1 + int(direct.sum()) * DIRECT // (1 << 19)):
                 x, y = _pairs(a0[some], (a1 - a0)[some], b0[some], (b1 - b0)[some])
                 fine = (x < y) & (_differ(prints[x], prints[y]) <= budget)
                 if exact:
@@ -120,20 +133,19 @@ def trie_links(prints: np.ndarray, roots: list[tuple[int, int, int, int]], bits:
             front, errors, same = front[~direct], errors[~direct], same[~direct]
             a0, a1, b0, b1 = front.T
         if not len(front):
-            break
+            continue
         level -= 1
-        shift = np.uint64(level)
-        one = (prints >> shift) & np.uint64(1)
-        ones = np.concatenate(([0], np.cumsum(one, dtype=np.int64)))
-        a_mid, b_mid = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
+        before = ones(level)
+        a_mid, b_mid = a1 - (before[a1] - before[a0]), b1 - (before[b1] - before[b0])
         less, more = np.stack((a0, a_mid, b0, b_mid), 1), np.stack((a_mid, a1, b_mid, b1), 1)
         up, down = np.stack((a0, a_mid, b_mid, b1), 1), np.stack((a_mid, a1, b0, b_mid), 1)
-        front = np.concatenate((less, more, up, down[~same]))
         cost = 1 if level < bits - exact else budget + 1
+        front = np.concatenate((less, more, up, down[~same]))
         errors = np.concatenate((errors, errors, errors + cost, errors[~same] + cost))
         same = np.concatenate((same, same, np.zeros(len(up) + int((~same).sum()), bool)))
         left = (errors <= budget) & (front[:, 0] < front[:, 1]) & (front[:, 2] < front[:, 3])
-        front, errors, same = front[left], errors[left], same[left]
+        if left.any():
+            work.append((level, front[left], errors[left], same[left]))
 
 
 class Forest:
