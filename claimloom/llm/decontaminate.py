@@ -1,6 +1,6 @@
 """Benchmark decontamination: an FM-index for each shard of the training documents.
 
-Each Arrow batch of documents is a shard.  Its words are mapped to the benchmark's vocabulary; only maximal runs of
+Every SHARD documents of a partition are a shard.  Its words are mapped to the benchmark's vocabulary; only maximal runs of
 vocabulary words that are long enough to hold a test phrase go into the index, which loses no occurrence, as every
 word of an occurrence is a vocabulary word.  The runs' suffix array gives a Burrows-Wheeler transform, kept as a
 wavelet matrix; all phrases are searched backward at once through its ranks, and occurrences are located by stepping
@@ -13,6 +13,7 @@ if named in `keep`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -27,6 +28,8 @@ from claimloom.llm.common import fields, with_columns
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 #: Every so many positions of the indexed text, and each start of a run, keep their suffix position.
 SAMPLE = 8
+#: Documents of a shard, and the words of WORD_BYTES before lower-casing.
+SHARD, WORD = 2000, re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -150,11 +153,28 @@ def occurrences(ids: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarr
     return which, origin[index.locate(row)]
 
 
-def _mark(batches: Iterator[pa.RecordBatch], phrases: Phrases, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    get = phrases.vocabulary.get
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SHARD rows."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        for start in range(0, batch.num_rows, SHARD):
+            yield batch.slice(start, SHARD)
+
+
+def _without(text: bytes | None, spans: list[dict]) -> str | None:
+    """The text without the words of the spans and what stands between them."""
+    if text is None:
+        return None
+    rest, done = [], 0
+    at = [m.span() for m in WORD.finditer(text)] if spans else []
+    for s in spans:
+        rest.append(text[done : at[s["start"]][0]])
+        done = at[s["end"] - 1][1]
+    return (b"".join(rest) + text[done:]).decode()
+
+
+def _mark(batches: Iterator[pa.RecordBatch], phrases: Phrases, keep: list[str], cut: bool) -> Iterator[pa.RecordBatch]:
+    get = phrases.vocabulary.get
+    for batch in _shards(batches):
         texts = batch.column("_text")
         parts, sizes = [], np.zeros(batch.num_rows, np.int64)
         for k in range(batch.num_rows):
@@ -184,31 +204,34 @@ def _mark(batches: Iterator[pa.RecordBatch], phrases: Phrases, keep: list[str])
         one, owner = _spread(phrases.owner_at[which], phrases.owner_at[which + 1] - phrases.owner_at[which])
         for k, item in np.unique(np.stack((doc[one], phrases.owner[owner])), axis=1).T.tolist() if len(one) else ():
             items[k].append(phrases.names[item])
+        left = pa.array([_without(texts[k].as_py(), x) for k, x in enumerate(spans)], pa.string()) if cut else pa.nulls(batch.num_rows, pa.string())
         yield with_columns(batch, [*keep, "_text"], {
+            "_left": left,
             "_n": pa.array(sizes, pa.int64()),
             "_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "_items": pa.array(items, pa.list_(pa.string())),
         })
 
 
-def benchmark_spans(docs: DataFrame, items: DataFrame, window: int = 13, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
+def benchmark_spans(docs: DataFrame, items: DataFrame, window: int = 13, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20, cut: bool = False) -> DataFrame:
     """The kept columns, n_words, n_hit, spans array<struct<start,end>> (merged word spans, end exclusive), items array<string>.
 
-    Items go to the executors in blocks of about block_bytes at most; each block is one pass over the documents' rows,
-    without a shuffle.
+    With `cut` also `left`, the text without its spans.  Items go to the executors in blocks of about block_bytes at
+    most; each block is one pass over the documents' rows, without a shuffle.
     """
     keep = list(keep)
     items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    out = docs.select(*keep, F.col(text).cast("binary").alias("_text"), F.lit(0).cast("long").alias("_n"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_items"))
-    kind = fields(docs, keep, "_text binary, _n bigint, _spans array<struct<start:bigint,end:bigint>>, _items array<string>")
+    out = docs.select(*keep, F.col(text).cast("binary").alias("_text"), F.lit(None).cast("string").alias("_left"), F.lit(0).cast("long").alias("_n"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_items"))
+    kind = fields(docs, keep, "_text binary, _left string, _n bigint, _spans array<struct<start:bigint,end:bigint>>, _items array<string>")
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).collect()
         phrases = Phrases([(r["name"], bytes(r["text"])) for r in rows], window)
-        out = out.mapInArrow(lambda batches, phrases=phrases: _mark(batches, phrases, keep), kind)
+        out = out.mapInArrow(lambda batches, phrases=phrases, last=block == blocks - 1: _mark(batches, phrases, keep, cut and last), kind)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return out.select(*keep, F.col("_n").alias("n_words"), hit.alias("n_hit"), F.col("_spans").alias("spans"), F.array_sort(F.array_distinct("_items")).alias("items"), F.col("_text"))
+    left = [F.col("_left").alias("left")] if cut else []
+    return out.select(*keep, F.col("_n").alias("n_words"), hit.alias("n_hit"), F.col("_spans").alias("spans"), F.array_sort(F.array_distinct("_items")).alias("items"), *left)
 
 
 def contaminated(n_hit, n_words):
@@ -216,28 +239,11 @@ def contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
-    import re
-
-    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-    for batch in batches:
-        texts = []
-        for text, spans in zip(batch.column("_text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            if spans:
-                at = [m.span() for m in word.finditer(text)]
-                rest, done = [], 0
-                for s in spans:
-                    rest.append(text[done : at[s["start"]][0]])
-                    done = at[s["end"] - 1][1]
-                text = b"".join(rest) + text[done:]
-            texts.append(None if text is None else text.decode())
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in keep], keep)
-
-
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """Documents that aren't contaminated, with their columns; the spans that they share with items are cut out."""
     keep = [c for c in docs.columns if c != "text"]
-    found = benchmark_spans(docs, items, window, tuple(keep))
+    rows = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(keep)], F.col("text").alias("_t"))
+    found = benchmark_spans(rows, items, window, tuple(rows.columns[:-1]), text="_t", cut=True)
     clean = found.where(~contaminated(F.col("n_hit"), F.col("n_words")))
-    same = docs.columns
-    return clean.mapInArrow(lambda batches: _cut(batches, same), docs.schema)
+    back = {c: F.col(f"_c{k}") for k, c in enumerate(keep)} | {"text": F.col("left")}
+    return clean.select(*[back[c].alias(c) for c in docs.columns])
