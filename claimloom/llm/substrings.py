@@ -52,7 +52,7 @@ class Hasher:
     def word(self, w: bytes) -> int:
         got = self.known.get(w)
         if got is None:
-            if len(self.known) > 1 << 19:
+            if len(self.known) > 1 << 18:
                 self.known.clear()
             got = self.known[w] = xxhash.xxh64_intdigest(w)
         return got
@@ -161,7 +161,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     windows = rows.join(small(hits), ["_id", "_h"]).select("_id", "_h", "_text", "anchors").mapInArrow(lambda batches: _extended(batches, window), "one long, two long, _id long, _h long, at int")
     windows = written(windows, "windows")
     release(spark)
-    first = windows.groupBy("one", "two").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).where("a < b").select("one", "two", "a")
+    first = written(windows.groupBy("one", "two").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).where("a < b").select("one", "two", "a"), "first")
     later = windows.join(first, ["one", "two"]).where(F.col("_id") > F.col("a"))
     starts = written(later.groupBy("_id", "_h").agg(F.collect_set("at").alias("starts")), "starts")
     release(spark)
