@@ -29,7 +29,7 @@ from claimloom.llm.common import fields, with_columns
 
 SPACE = "▁"
 #: Characters that one suffix array holds, and units whose encoding a worker remembers.
-INDEXED, KNOWN = 1 << 20, 1 << 18
+INDEXED, KNOWN = 1 << 18, 1 << 17
 #: Units with more characters are joined by a heap, one at a time.
 LONG = 64
 
@@ -218,7 +218,7 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-def _encode(batches: Iterator[pa.RecordBatch], pieces: list, keep: list[str], check: bool, rows: int = 2500) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], pieces: list, keep: list[str], check: bool, rows: int = 800) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     model = Pieces(pieces)
