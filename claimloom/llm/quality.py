@@ -46,7 +46,7 @@ class Features:
     def of_word(self, w: bytes) -> tuple[int, int]:
         got = self.known.get(w)
         if got is None:
-            if len(self.known) > 1 << 18:
+            if len(self.known) > 1 << 17:
                 self.known.clear()
             shape = _RUNS.sub(rb"\1", w.translate(_SHAPE))[:12]
             got = self.known[w] = _slot(b"w" + w.strip(_EDGE).lower()), _slot(b"s" + shape)

@@ -147,8 +147,8 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
         raise ValueError(f"a window has at least {PERIOD} words")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text")).withColumn("_h", F.xxhash64("_text"))
     same = rows.select("_id", "_h", F.md5("_text").alias("_md5")).where(F.col("_id").isNotNull())
-    least = same.groupBy("_md5").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most")
-    copies = written(same.join(least, "_md5").where(F.col("_id") > F.col("least")).select("_id", "_h").distinct(), "copies")
+    least = written(same.groupBy("_md5").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most"), "least")
+    copies = written(same.join(small(least), "_md5").where(F.col("_id") > F.col("least")).select("_id", "_h").distinct(), "copies")
     marked = small(copies.withColumn("copy", F.lit(True)))
     rows = rows.join(marked, ["_id", "_h"], "left")
     kind = "key long, _id long, _h long, at int"
