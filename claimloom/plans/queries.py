@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from claimloom.functions import text, tokens
 from claimloom.operators import citations, claims, compare, diagnostics, drawings, front, layout, sections
 from claimloom.plans import lenses
+from claimloom.sources import bundle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -467,3 +468,110 @@ def drawing_merged(spark, sf):
     """Boxes united to a fix point (sequential, so without SQL)."""
     return drawings.merge_boxes(boxes(spark, sf)[2])
 
+
+# --- words ----------------------------------------------------------------------------------------------------------
+
+WORDS = f"""WITH l AS ({lenses.LINES}), w AS (SELECT doc_id, pos, {{words}} FROM l),
+x AS (SELECT doc_id, pos, k, text, CAST(sum(length(text) * 6 + CASE WHEN k % 9 = 8 THEN 30 ELSE 4 END) OVER (PARTITION BY doc_id, pos ORDER BY k) - length(text) * 6 AS DOUBLE) AS x0 FROM w)"""
+DUCK_WORDS = WORDS.replace("{words}", "unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS k")
+
+
+def words(spark, sf):
+    sql = WORDS.replace("{words}", "posexplode(split(text, ' ', -1)) AS (k, text)")
+    return lenses.frame(spark, sf, f"{sql} SELECT doc_id, pos, k, text, x0, x0 + length(text) * 6 AS x1 FROM x")
+
+
+@query(f"""{DUCK_WORDS}, g AS (SELECT *, x0 + length(text) * 6 AS x1, lag(x0 + length(text) * 6) OVER (PARTITION BY doc_id, pos ORDER BY x0) AS p FROM x),
+c AS (SELECT *, sum(CASE WHEN x0 - p >= 15 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, pos ORDER BY x0) AS cluster FROM g)
+SELECT doc_id, pos, cluster::BIGINT AS cluster, count(*) AS n, min(x0) AS x0, max(x1) AS x1 FROM c GROUP BY ALL""")
+def word_clusters(spark, sf):
+    found = layout.clusters(words(spark, sf), ["doc_id", "pos"])
+    return found.groupBy("doc_id", "pos", "cluster").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+
+
+@query(f"""{DUCK_WORDS} SELECT doc_id, pos, regexp_replace(regexp_replace(regexp_replace(string_agg(text, ' ' ORDER BY k), ' ([,.;:)\\]}}%])', '\\1', 'g'), '([(\\[{{]) ', '\\1', 'g'), '- ', '-', 'g') AS text FROM x GROUP BY doc_id, pos""")
+def word_lines(spark, sf):
+    return layout.joined_words(words(spark, sf), ["doc_id", "pos"]).select("doc_id", "pos", "text")
+
+
+@query(f"""{DUCK_WORDS} SELECT doc_id, count(*) AS n FROM x WHERE length(trim(text)) <= 6 AND NOT regexp_matches(trim(text), '^\\([0-9]+\\)$') AND NOT regexp_matches(trim(text), '^[0-9]{{1,3}}[.]$')
+AND (regexp_matches(trim(text), '^[0-9]+$') OR (length(trim(text)) <= 4 AND regexp_matches(trim(text), '[0-9]'))) GROUP BY doc_id""")
+def word_line_numbers(spark, sf):
+    return words(spark, sf).where(layout.likely_line_number(F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def word_grouping(spark, sf):
+    """Words to lines in their order, which decides the result (so without SQL)."""
+    rows = words(spark, sf).select("doc_id", (F.row_number().over(_reading()) - 1).alias("word_no"), (F.col("pos") * 12.0 + F.col("k") % 3).alias("y0"), (F.col("pos") * 12.0 + F.col("k") % 3 + 8).alias("y1"), "text")
+    return layout.group_lines(rows, ["doc_id"]).groupBy("doc_id", "line").agg(F.count("*").alias("n"))
+
+
+def _reading():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("doc_id").orderBy("pos", "k")
+
+
+HEADER = """WITH h AS (SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(o_orderkey % 6 AS INT) AS k, CASE o_orderkey % 6 WHEN 0 THEN concat('US 2009/0', 100000 + o_orderkey, ' A1') WHEN 1 THEN 'Dec. 8, 2009' WHEN 2 THEN 'Sheet 4 of 10'
+WHEN 3 THEN 'Patent Application Publication' WHEN 4 THEN concat('type B2 no ', o_orderkey) ELSE concat('a part of the body ', o_orderkey) END AS text FROM {orders})"""
+
+
+@query(f"{HEADER} SELECT doc_id, k < 5 AS is_header FROM h")
+def header_lines(spark, sf):
+    return lenses.frame(spark, sf, f"{HEADER} SELECT * FROM h").select("doc_id", layout.header_metadata(F.col("text")).alias("is_header"))
+
+
+# --- identifiers ----------------------------------------------------------------------------------------------------
+
+IDS = """WITH r AS (SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(1000000 + o_orderkey AS INT) AS n, CAST(10 + o_orderkey % 90 AS INT) AS d FROM {orders}),
+t AS (SELECT doc_id, n, d, concat('See 2009/0', substr(CAST(n AS STRING), 2, 6), ' AL, EP ', n, ' B1 and PCT/US', d, '/', 10000 + d, ', Int. Cl. GO1N ', d, '/0', d, '; 438/', d, '.5') AS text FROM r)"""
+
+
+@query(f"""{IDS} SELECT doc_id, 'EP' || n || 'B1,US20090' || substr(n::STRING, 2, 6) || 'A1' AS patents, 'PCT/US' || d || '/' || (10000 + d) AS applications, 'G01N' || d || '/0' || d AS ipc FROM t""")
+def identifiers(spark, sf):
+    rows, c = lenses.frame(spark, sf, f"{IDS} SELECT * FROM t"), F.col("text")
+    return rows.select("doc_id", joined(tokens.patent_ids(c)).alias("patents"), joined(tokens.application_ids(c)).alias("applications"), joined(tokens.ipc_codes(c)).alias("ipc"))
+
+
+@query(f"{IDS} SELECT doc_id, 'SEE 2009/0' || substr(n::STRING, 2, 6) || ' AL, EP ' || n || ' 81 AND PCT/U5' || d || '/' || (10000 + d) || ', INT. CL. 601N' AS out FROM t".replace("601N", "G01N"))
+def code_token_text(spark, sf):
+    rows = lenses.frame(spark, sf, f"{IDS} SELECT doc_id, concat('See 2009/0', substr(CAST(n AS STRING), 2, 6), ' AL, EP ', n, ' B1 and PCT/US', d, '/', 10000 + d, ', Int. Cl. GO1N') AS text FROM t")
+    return rows.select("doc_id", text.for_contains(F.col("text")).alias("out"))
+
+
+@query("""WITH p AS (SELECT page_id, url FROM pages) SELECT page_id, CASE WHEN strpos(url, 'sheets/') > 0 AND suffix(url, '.pdf') THEN 'sheet_pdfs' WHEN strpos(url, 'sheets/') > 0 AND suffix(url, '.png') THEN 'sheet_pngs' WHEN suffix(url, '.png') THEN 'figure_pngs' ELSE 'other' END AS bucket FROM p""")
+def manifest_buckets(spark, sf):
+    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", bundle.bucket(F.col("url")).alias("bucket"))
+
+
+@query(f"{C}, f AS (SELECT doc_id, count(fig) AS n FROM c GROUP BY doc_id) SELECT CAST(doc_id AS STRING) AS doc_id, '1.1.0' AS schema_version, count(*) AS n_claims, max(f.n) AS n_figures, CASE WHEN max(f.n) > 0 THEN 'claims,figures' ELSE 'claims' END AS artifacts FROM c JOIN f USING (doc_id) GROUP BY doc_id")
+def bundle_manifest(spark, sf):
+    rows = claim_rows(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
+    figures = rows.select("doc_id", F.explode(tokens.figure_ids(F.col("text"))).alias("figure"))
+    return bundle.manifest({"claims": rows, "figures": figures}).select("doc_id", "schema_version", "n_claims", "n_figures", joined("artifacts").alias("artifacts"))
+
+
+# --- relations ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""{C}, a AS (SELECT DISTINCT doc_id // 2 AS g, number FROM c WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT doc_id // 2 AS g, number FROM c WHERE doc_id % 2 = 1)
+SELECT coalesce(a.g, b.g) AS g, coalesce(a.number, b.number) AS number, CASE WHEN a.g IS NULL THEN 'added' WHEN b.g IS NULL THEN 'removed' ELSE 'both' END AS side FROM a FULL JOIN b ON a.g = b.g AND a.number = b.number""")
+def number_reconciliation(spark, sf):
+    """Numbers of two versions: on one side, on the other, on both."""
+    rows = lenses.frame(spark, sf, lenses.CLAIMS).select(F.floor(F.col("doc_id") / 2).alias("g"), (F.col("doc_id") % 2).alias("s"), "number").distinct()
+    side = rows.groupBy("g", "number").agg(F.when(F.count("*") == 2, "both").when(F.max("s") == 0, "removed").otherwise("added").alias("side"))
+    return side
+
+
+@query(f"{I}, a AS (SELECT doc_id, code, message FROM i WHERE severity = 'error'), b AS (SELECT doc_id, code, message FROM i WHERE severity = 'warning') SELECT DISTINCT doc_id, message FROM (SELECT doc_id, message FROM a INTERSECT SELECT doc_id, message FROM b)")
+def issue_overlap(spark, sf):
+    """Messages that a document has both as errors and as warnings."""
+    rows = issues(spark, sf)
+    pick = lambda s: rows.where(F.col("severity") == s).select("doc_id", "message")
+    return pick("error").intersect(pick("warning"))
+
+
+@query(f"{I} SELECT doc_id, count(DISTINCT code) AS n_codes, round(avg(CASE WHEN severity = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate FROM i GROUP BY doc_id")
+def issue_rates(spark, sf):
+    return issues(spark, sf).groupBy("doc_id").agg(F.count_distinct("code").alias("n_codes"), F.round(F.avg((F.col("severity") == "error").cast("double")), 6).alias("error_rate"))
