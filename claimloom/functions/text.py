@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 WORD, BLANK = "[\\p{L}\\p{N}_]", "[\\s\\x{85}\\p{Z}]"
 
 
+def let(c: Column, body) -> Column:
+    """body(c) with c evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def sub(c: Column, *rules: tuple[str, str]) -> Column:
     for pattern, by in rules:
         c = F.regexp_replace(c, pattern, by)
@@ -60,16 +65,17 @@ def comparable(c: Column) -> Column:
 
 def code_tokens(c: Column) -> Column:
     """Upper case; letters that look like digits become digits in tokens that hold a digit, and in prefixes of N/M."""
-    up = F.upper(c)
-    token = "[A-Z0-9][A-Z0-9/.\\-]*"
-    gaps, found = F.split(up, token, -1), F.regexp_extract_all(up, F.lit(token), F.lit(0))
+    token, pair = "[A-Z0-9][A-Z0-9/.\\-]*", "\\b([A-Z]{3,6})\\s+([0-9]{1,3}/[0-9]{1,4})\\b"
     digits = lambda t: F.translate(t, "OILSBZ", "011582")
-    fixed = F.transform(found, lambda t: F.when(t.rlike("[0-9]") & t.rlike("[A-Z/.\\-]"), digits(t)).otherwise(t))
-    joined = F.array_join(F.zip_with(gaps, F.concat(fixed, F.array(F.lit(""))), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
-    pair = "\\b([A-Z]{3,6})\\s+([0-9]{1,3}/[0-9]{1,4})\\b"
-    rest, pairs = F.split(joined, pair, -1), F.regexp_extract_all(joined, F.lit(pair), F.lit(0))
-    turned = F.transform(pairs, lambda p: F.concat(digits(F.regexp_extract(p, "^([A-Z]+)", 1)), F.lit(" "), F.regexp_extract(p, "([0-9]+/[0-9]+)$", 1)))
-    return F.array_join(F.zip_with(rest, F.concat(turned, F.array(F.lit(""))), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
+    fixed = lambda t: F.when(t.rlike("[0-9]") & t.rlike("[A-Z/.\\-]"), digits(t)).otherwise(t)
+    turned = lambda p: F.concat(digits(F.regexp_extract(p, "^([A-Z]+)", 1)), F.lit(" "), F.regexp_extract(p, "([0-9]+/[0-9]+)$", 1))
+    return let(let(F.upper(c), lambda s: _replaced(s, token, fixed)), lambda s: _replaced(s, pair, turned))
+
+
+def _replaced(s: Column, pattern: str, by) -> Column:
+    """s with by(match) in the place of each match."""
+    made = F.transform(F.regexp_extract_all(s, F.lit(pattern), F.lit(0)), by)
+    return F.array_join(F.zip_with(F.split(s, pattern, -1), F.concat(made, F.array(F.lit(""))), lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
 
 
 def for_contains(c: Column) -> Column:

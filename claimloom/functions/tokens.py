@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from claimloom.functions.text import codeish_digits, for_matching, kind_code
+from claimloom.functions.text import codeish_digits, for_matching, kind_code, let
 
 # The identifier patterns.
 PREFIXED = r"(?i)\b(?:US|WO|EP|JP|CN)\s*(?:\d{4}(?:\s*/\s*|\s+)?\d{6,8}|\d{1,3}(?:,\d{3}){1,3}|\d{7,9})\s*[A-Z0-9]{2}\b"
@@ -33,21 +33,25 @@ def _bare(t: Column) -> Column:
 
 
 def patent_token(c: Column) -> Column:
-    t = _bare(for_matching(c))
+    return let(_bare(for_matching(c)), _canonical)
+
+
+def _canonical(t: Column) -> Column:
     t = F.when(t.startswith("US"), F.concat(F.lit("US"), codeish_digits(F.substring(t, 3, 100), bar=False))).otherwise(t)
-    t = F.translate(t, "/,", "")
-    return F.when(F.length(t) >= 2, F.concat(F.left(t, F.length(t) - 2), kind_code(F.right(t, F.lit(2))))).otherwise(t)
+    return let(F.translate(t, "/,", ""), lambda t: F.when(F.length(t) >= 2, F.concat(F.left(t, F.length(t) - 2), kind_code(F.right(t, F.lit(2))))).otherwise(t))
 
 
 def publication_serial(c: Column) -> Column:
-    digits = F.regexp_replace(codeish_digits(c, bar=False), "[^0-9]", "")
-    padded = F.when(F.length(digits) == 6, F.concat(F.lit("0"), digits)).when((F.length(digits) == 8) & digits.startswith("0"), F.substring(digits, 2, 7)).otherwise(digits)
-    return F.when(F.length(padded) == 7, padded)
+    padded = lambda n: F.when(F.length(n) == 6, F.concat(F.lit("0"), n)).when((F.length(n) == 8) & n.startswith("0"), F.substring(n, 2, 7)).when(F.length(n) == 7, n)
+    return let(F.regexp_replace(codeish_digits(c, bar=False), "[^0-9]", ""), padded)
 
 
 def patent_ids(c: Column, bare: bool = True) -> Column:
     """Sorted distinct identifiers: prefixed ones and, with `bare`, grants and publications without a country."""
-    s = for_matching(c)
+    return let(for_matching(c), lambda s: _patent_ids(s, bare))
+
+
+def _patent_ids(s: Column, bare: bool) -> Column:
     found = F.transform(every(s, PREFIXED), patent_token)
     if bare:
         grants = F.transform(F.transform(every(s, BARE_GRANT), patent_token), lambda t: F.when(t.startswith("US"), t).otherwise(F.concat(F.lit("US"), t)))

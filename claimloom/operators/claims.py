@@ -71,6 +71,11 @@ def dependencies(claims: DataFrame, ref_compat: bool = False) -> DataFrame:
     return claims.withColumn("depends_on", deps).withColumn("is_independent", F.lit(True) if ref_compat else F.size("depends_on") == 0)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """df, computed once: in the shared checkpoint folder if the session names one, else cached."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
+
+
 def edges(claims: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, number, parent, one row for each distinct dependency."""
     return claims.select(key, "number", F.explode("depends_on").alias("parent")).distinct()
@@ -113,14 +118,14 @@ def tree(claims: DataFrame, key: str = "doc_id", most: int = 64) -> DataFrame:
 
     Levels are joined one at a time; their number is the length of the longest chain, which `most` bounds.
     """
-    links = edges(claims, key)
+    links = stable(edges(claims, key))
     roots = claims.where("is_independent").select(key, F.col("number").alias("root"), "number").distinct()
-    level = roots.withColumn("depth", F.lit(0)).withColumn("path", F.array("number"))
+    level = stable(roots.withColumn("depth", F.lit(0)).withColumn("path", F.array("number")))
     out = level
     for depth in range(1, most + 1):
         step = links.select(key, F.col("parent").alias("number"), F.col("number").alias("child"))
         level = level.join(step, [key, "number"]).where(~F.array_contains("path", F.col("child"))).select(key, "root", F.col("child").alias("number"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"))
-        level = level.checkpoint() if level.sparkSession.conf.get("spark.checkpoint.dir", None) else level.cache()
+        level = stable(level)
         if level.isEmpty():
             return out
         out = out.unionByName(level)
