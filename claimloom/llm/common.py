@@ -63,6 +63,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under column names that clash with no operator's own, and the hidden name of each column."""
+    names = {c: f"_col{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def shown(df: DataFrame, names: dict[str, str], **changed) -> DataFrame:
+    """The columns of hidden() under their own names; changed: other Columns for some."""
+    return df.select(*[changed.get(c, F.col(h)).alias(c) for c, h in names.items()])
+
+
 def fields(df: DataFrame, keep: list[str], extra: str) -> str:
     """DDL of kept columns followed by `extra`."""
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for c in keep for f in df.schema.fields if f.name == c)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import fields, with_columns
+from claimloom.llm.common import fields, hidden, shown, with_columns
 
 #: Lower-cases A-Z; ASCII bytes other than letters and digits become spaces; bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
@@ -241,9 +241,7 @@ def contaminated(n_hit, n_words):
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
     """Documents that aren't contaminated, with their columns; the spans that they share with items are cut out."""
-    keep = [c for c in docs.columns if c != "text"]
-    rows = docs.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(keep)], F.col("text").alias("_t"))
-    found = benchmark_spans(rows, items, window, tuple(rows.columns[:-1]), text="_t", cut=True)
-    clean = found.where(~contaminated(F.col("n_hit"), F.col("n_words")))
-    back = {c: F.col(f"_c{k}") for k, c in enumerate(keep)} | {"text": F.col("left")}
-    return clean.select(*[back[c].alias(c) for c in docs.columns])
+    rows, names = hidden(docs)
+    keep = tuple(h for c, h in names.items() if c != "text")
+    found = benchmark_spans(rows, items, window, keep, text=names["text"], cut=True)
+    return shown(found.where(~contaminated(F.col("n_hit"), F.col("n_words"))), names, text=F.col("left"))

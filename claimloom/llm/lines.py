@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import release, small, written
+from claimloom.llm.common import hidden, release, shown, small, written
 
 KEY = ["_id", "_h"]
 
@@ -71,21 +71,31 @@ def _kept(lines: Column, runs: Column) -> Column:
     return F.flatten(F.transform(between, lambda s: F.slice(lines, s["start"] + 1, s["end"] - s["start"])))
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 40, keep: tuple[str, ...] | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The kept columns (all, if not named) with the text rewritten, and struct `lines`: n_lines, n_removed, n_runs."""
-    keep = tuple(docs.columns) if keep is None else keep
-    body = docs.withColumn("_h", F.xxhash64(F.coalesce(text, F.lit(""))))
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("_text")).where(F.col(id_col).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select("_id", F.xxhash64("_text").alias("_h"), "_text")
+def _deduped(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
+    """The columns with the text rewritten, and n_lines, n_removed and n_runs."""
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), key.alias("_h"), F.col(text).alias("_text")).where("_id is not null and _text is not null")
     runs = repeated_runs(rows.dropDuplicates(KEY) if _repeats(rows) else rows, min_chars)
     runs = written(runs.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs")), "runs")
     release(docs.sparkSession)
-    full = body.withColumn("_id", F.col(id_col).cast("long")).join(small(runs), KEY, "left")
+    full = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_h", key).join(small(runs), KEY, "left")
     lines, removed = F.split(text, "\n", -1), F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
     changed = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.array_join(_kept(lines, F.col("_runs")), "\n"))
     count = lambda x: F.coalesce(x.cast("long"), F.lit(0).cast("long"))
-    facts = F.struct(F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"), count(removed).alias("n_removed"), count(F.when(F.col("_runs").isNotNull(), F.size("_runs"))).alias("n_runs"))
-    return full.select(*[changed.alias(c) if c == text else F.col(c) for c in keep], facts.alias("lines"))
+    facts = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"), count(removed).alias("n_removed"), count(F.when(F.col("_runs").isNotNull(), F.size("_runs"))).alias("n_runs")
+    return full.select(*[changed.alias(c) if c == text else F.col(c) for c in docs.columns], *facts)
+
+
+def line_dedup(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The id, the text without later copies of repeated runs, n_lines, n_removed and n_runs."""
+    return _deduped(docs.select(id_col, text), id_col, text, min_chars)
+
+
+def deduplicated(docs: DataFrame, min_chars: int = 40, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, with their columns, rewritten; those of which nothing but blanks is left after a deletion go."""
+    rows, names = hidden(docs)
+    kept = _deduped(rows, names[id_col], names[text], min_chars)
+    return shown(kept.where((F.col("n_removed") == 0) | (F.length(F.trim(names[text])) > 0)), names)
 
 
 def _repeats(rows: DataFrame) -> bool:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import small, written
+from claimloom.llm.common import hidden, shown, small, written
 
 #: The four kinds in their order, a character that a text must hold, and the pattern.  Quantifiers are
 #: possessive where that changes no match, which keeps long runs linear and off the stack.
@@ -117,13 +117,14 @@ def private_spans(docs: DataFrame, support: int = 2, generalise: float = 0.5, re
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """The documents with spans replaced: base spans and removed terms by their kind's name, others by <WORD>."""
     kinds = F.array(*[F.lit(f"<{k.upper()}>") for k, _, _ in PATTERNS], F.lit(""))
-    found = private_spans(docs, **options).select(F.col("doc_id").alias("_id"), F.col("_h"), "spans").where(F.size("spans") > 0)
-    here = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = here.join(found, here["doc_id"].eqNullSafe(found["_id"]) & (here["_h"] == found["_h"]), "left")
+    rows, names = hidden(docs)
+    found = private_spans(docs, **options).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), "spans").where(F.size("spans") > 0)
+    text = F.col(names["text"])
+    same = F.col(names["doc_id"]).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_g"))
     reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda s: s["end"])), F.lit(0))
     piece = F.transform("spans", lambda s, i: F.concat(
-        F.substring(F.col("text"), (reach(i) + 1).cast("int"), F.greatest(F.lit(0), s["start"] - reach(i)).cast("int")),
+        F.substring(text, (reach(i) + 1).cast("int"), F.greatest(F.lit(0), s["start"] - reach(i)).cast("int")),
         F.when(s["start"] < reach(i), "").when(s["action"] == "generalise", "<WORD>").otherwise(F.get(kinds, s["kind"]))))
-    tail = F.substring(F.col("text"), (reach(F.size("spans")) + 1).cast("int"), F.length("text"))
-    clean = F.when(F.size("spans") > 0, F.concat(F.array_join(piece, ""), tail)).otherwise(F.col("text"))
-    return joined.select(*[clean.alias("text") if c == "text" else here[c] for c in docs.columns])
+    tail = F.substring(text, (reach(F.size("spans")) + 1).cast("int"), F.length(text))
+    clean = F.when(F.col("spans").isNotNull(), F.concat(F.array_join(piece, ""), tail)).otherwise(text)
+    return shown(rows.join(found, same, "left"), names, text=clean)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import fields, with_columns
+from claimloom.llm.common import fields, hidden, shown, with_columns
 
 #: Hashed features; rated documents used for fitting; shapes and bins count so many times a word.
 WIDTH, SAMPLE, LOUD = 1 << 17, 8000, 3.0
@@ -161,5 +161,5 @@ LEAST = 0.5
 
 def select(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
     """The documents, with their columns, whose best grade has a tail probability of `least` or more."""
-    names = docs.columns
-    return score(docs, model, tuple(names)).where(F.col("p_at_least_2") >= least).select(*names)
+    rows, names = hidden(docs)
+    return shown(score(rows, model, tuple(names.values()), names["text"]).where(F.col("p_at_least_2") >= least), names)

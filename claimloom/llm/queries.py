@@ -53,8 +53,8 @@ def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "lines.n_lines", "lines.n_removed", "lines.n_runs", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    kept = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
