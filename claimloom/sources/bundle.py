@@ -50,12 +50,10 @@ def write(tables: dict[str, DataFrame], path: str, hashes: DataFrame | None = No
 
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a bundle by their fixed schemas; lines that aren't JSON become rows of `corrupt` and nowhere else."""
-    out = {}
-    for name, ddl in {**schemas.BUNDLE, "manifest": schemas.MANIFEST}.items():
-        rows = spark.read.schema(f"{ddl}, _corrupt_record string").option("mode", "PERMISSIVE").json(f"{path}/{name}")
-        out[name] = rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return out
+    """The tables of a bundle by their fixed schemas; lines that aren't JSON, or that name no document, are left out."""
+    tables = {**schemas.BUNDLE, "manifest": schemas.MANIFEST}
+    row = lambda name, ddl: spark.read.text(f"{path}/{name}").select(F.from_json("value", ddl).alias("r")).select("r.*").where("doc_id is not null")
+    return {name: row(name, ddl) for name, ddl in tables.items()}
 
 
 def bucket(name: Column) -> Column:
