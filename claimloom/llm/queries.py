@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, lines, pieces, private, quality, shards, simhash, substrings, topk
+from claimloom.llm import decontaminate, licences, lines, pieces, private, quality, shards, simhash, substrings, topk
 from claimloom.llm.common import table
 from claimloom.llm.sql import SQL
 
@@ -46,6 +46,12 @@ def op4_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licences(table(spark, sf_dir, "documents"))
+    text = F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["licence"], x["n"])), ",")
+    return found.select("doc_id", "n_sentences", text.alias("licences"))
+
+
 def op6_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.benchmark_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
@@ -70,5 +76,5 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal, op2_simhash, op3_pii, op4_difference_cover, op6_fm_index, op7_suffix_array, op8_sentencepiece, op9_shards, op10_top_k)}
+QUERIES = {f.__name__: f for f in (op1_ordinal, op2_simhash, op3_pii, op4_difference_cover, op5_licences, op6_fm_index, op7_suffix_array, op8_sentencepiece, op9_shards, op10_top_k)}
 __all__ = ["QUERIES", "SQL", "model_path"]

@@ -61,4 +61,27 @@ FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT J
 """
 
 
-SQL = {"op4_difference_cover": OP4, "op6_fm_index": OP6, "op7_suffix_array": op7(), "op10_top_k": OP10}
+def op5() -> str:
+    """One row for each sentence, islands of known ones as strings, and the rules in order on these."""
+    from claimloom.llm import licences
+
+    case = " ".join(f"WHEN regexp_full_match(s, '{one}') THEN '{name}'" for name, one in licences.SENTENCES)
+    step, last = [], "seq"
+    for number, (_, sequence) in enumerate(licences.RULES):
+        pattern = licences.rule_pattern(sequence)
+        step.append(f"r{number} AS (SELECT *, len(regexp_extract_all({last}, '{pattern}')) AS n{number}, regexp_replace({last}, '{pattern}', '<=>', 'g') AS q{number} FROM {'seqs' if not number else f'r{number - 1}'})")
+        last = f"q{number}"
+    names = sorted({name for name, _ in licences.RULES})
+    total = {name: " + ".join(f"n{k}" for k, (n, _) in enumerate(licences.RULES) if n == name) for name in names}
+    listed = ", ".join(f"CASE WHEN {total[n]} > 0 THEN '{n}:' || ({total[n]}) END" for n in names)
+    return f"""
+WITH cut AS (SELECT doc_id, string_split(regexp_replace(text, '([.;!?])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)) AS ss FROM documents WHERE text IS NOT NULL),
+one AS (SELECT doc_id, generate_subscripts(ss, 1) AS p, trim(regexp_replace(regexp_replace(lower(unnest(ss)), '[^a-z0-9.-]+', ' ', 'g'), '\\.(?: |$)', ' ', 'g')) AS s FROM cut),
+named AS (SELECT doc_id, p, CASE {case} END AS id FROM one),
+seqs AS (SELECT doc_id, count(id) AS n, string_agg('<' || coalesce(id, '-') || '>', '' ORDER BY p) AS seq FROM named GROUP BY doc_id),
+{", ".join(step)}
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, CASE WHEN n IS NULL THEN '' ELSE concat_ws(',', {listed}) END AS licences FROM documents d LEFT JOIN r{len(licences.RULES) - 1} USING (doc_id)
+"""
+
+
+SQL = {"op5_licences": op5(), "op4_difference_cover": OP4, "op6_fm_index": OP6, "op7_suffix_array": op7(), "op10_top_k": OP10}

@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pytest
 
-from claimloom.llm import common, components, decontaminate, lines, pieces, private, quality, queries, shards, simhash, substrings, topk
+from claimloom.llm import common, components, decontaminate, licences, lines, pieces, private, quality, queries, shards, simhash, substrings, topk
 
 rng = random.Random(5)
 WORDS = [f"w{i}" for i in range(40)] + ["Ünïcode", "日本", "😀", "Mixed", "a-b"]
@@ -305,3 +305,32 @@ def test_operators_recover_nothing_from_local_folders(spark, docs):
 
 def test_digest_of_kept_words_matches_sha(docs):
     assert hashlib.sha256(b"").hexdigest() == brute.sha("")
+
+
+LICENSED = [
+    ("Licensed under the Apache License, Version 2.0.", [("Apache-2.0", 1)]),
+    ("Prose. Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.\nMore prose.", [("Apache-2.0", 1)]),
+    ("Released under the MIT License. Released under the MIT License.", [("MIT", 2)]),
+    ("This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.", [("CC-BY-NC-4.0", 1), ("GPL-3.0", 1)]),
+    ("Copyright (c) 2020 A. All rights reserved.", [("Proprietary", 1)]),
+    ("SPDX-License-Identifier: BSD-3-Clause", [("BSD-3-Clause", 1)]),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted:\nRedistributions of source code must retain the above copyright notice.\nRedistributions in binary form must reproduce the above copyright notice.", [("BSD-2-Clause", 1)]),
+    ("A note on licences in general.", []), (None, []), ("", []), ("license " * 20000, []),
+]
+
+
+def test_licences(spark, empty):
+    rows = [(i, t, "x") for i, (t, _) in enumerate(LICENSED)] + [(0, LICENSED[0][0], "y")]
+    got = licences.licences(spark.createDataFrame(rows, "doc_id long, text string, licences string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [tuple(x) for x in r["licences"]] == LICENSED[r["doc_id"]][1], LICENSED[r["doc_id"]][0]
+    assert licences.licences(empty).collect() == []
+
+
+def test_known_sentences_hold_cue_words():
+    import re
+
+    for name, one in licences.SENTENCES:
+        plain = re.sub(r"\(\?:|[()?*|\\]|\.\*", " ", one)
+        assert re.search(licences.CUE.replace("[sc]", "."), re.sub(r"\[sc\]", "s", plain)), name
