@@ -63,6 +63,14 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most so many rows from now on, as the texts of a batch stand in memory several times."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The rows under column names that clash with no operator's own, and the hidden name of each column."""
     names = {c: f"_col{k}" for k, c in enumerate(docs.columns)}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import fields, hidden, shown, with_columns
+from claimloom.llm.common import fields, hidden, modest_batches, shown, with_columns
 
 #: Lower-cases A-Z; ASCII bytes other than letters and digits become spaces; bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
@@ -219,6 +219,7 @@ def benchmark_spans(docs: DataFrame, items: DataFrame, window: int = 13, keep: t
     With `cut` also `left`, the text without its spans.  Items go to the executors in blocks of about block_bytes at
     most; each block is one pass over the documents' rows, without a shuffle.
     """
+    modest_batches(docs.sparkSession)
     keep = list(keep)
     items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

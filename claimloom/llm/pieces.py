@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import fields, with_columns
+from claimloom.llm.common import fields, modest_batches, with_columns
 
 SPACE = "▁"
 #: Characters that one suffix array holds, and units whose encoding a worker remembers.
@@ -218,7 +218,7 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-def _encode(batches: Iterator[pa.RecordBatch], pieces: list, keep: list[str], check: bool, rows: int = 800) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], pieces: list, keep: list[str], check: bool, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     model = Pieces(pieces)
@@ -240,12 +240,14 @@ def _encode(batches: Iterator[pa.RecordBatch], pieces: list, keep: list[str], ch
 
 def encode(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns and `ids`, array<int>."""
+    modest_batches(docs.sparkSession)
     pieces, keep = model_pieces(model), list(keep)
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(lambda batches: _encode(batches, pieces, keep, False), fields(docs, keep, "ids array<int>"))
 
 
 def encode_digest(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns, n_ids, the SHA-256 of the ids as little-endian 32-bit numbers, and whether decoding restores the text."""
+    modest_batches(docs.sparkSession)
     pieces, keep = model_pieces(model), list(keep)
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(lambda batches: _encode(batches, pieces, keep, True), fields(docs, keep, "n_ids long, ids_sha256 string, restored boolean"))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import fields, hidden, shown, with_columns
+from claimloom.llm.common import fields, hidden, modest_batches, shown, with_columns
 
 #: Hashed features; rated documents used for fitting; shapes and bins count so many times a word.
 WIDTH, SAMPLE, LOUD = 1 << 17, 8000, 3.0
@@ -124,6 +124,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rated(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text: str = "text") -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Features and grades of at most `sample` rated documents."""
+    modest_batches(docs.sparkSession)
     whole = ratings.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     graded = whole.groupBy(F.col(id_col).alias("_id")).agg(F.min(grade(F.col("quality"), F.col("toxic"))).alias("grade"))
     chosen = graded.orderBy(F.xxhash64("_id"), "_id").limit(sample)
@@ -150,6 +151,7 @@ def _scored(batches: Iterator[pa.RecordBatch], weights: bytes, thresholds: list[
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns, expected_grade, p_at_least_1 and p_at_least_2."""
+    modest_batches(docs.sparkSession)
     keep, weights, thresholds = list(keep), model.weights.tobytes(), model.thresholds.tolist()
     rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
     return rows.mapInArrow(lambda batches: _scored(batches, weights, thresholds, keep), fields(docs, keep, "expected_grade double, p_at_least_1 double, p_at_least_2 double"))

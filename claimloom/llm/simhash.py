@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import fields, release, small, with_columns, written
+from claimloom.llm.common import fields, modest_batches, release, small, with_columns, written
 from claimloom.llm.components import components
 
 #: The seed of a shingle's XXH64.
@@ -82,6 +82,7 @@ def _sign(batches: Iterator[pa.RecordBatch], keep: list[str], words: int, many:
 
 def signatures(docs: DataFrame, words: int = 3, many: int = 1, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """The kept columns and `signature`: many * 8 bytes, the first 8 of which are the fingerprint."""
+    modest_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).cast("binary").alias("_text"))
     return rows.mapInArrow(lambda batches: _sign(batches, list(keep), words, many), fields(docs, list(keep), "signature binary"))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import release, small, written
+from claimloom.llm.common import modest_batches, release, small, written
 
 #: The differences of these six residues modulo 31 are all residues.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -142,6 +142,7 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
 
 def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: the id, n_words, n_removed and `kept`, the words that stay, joined by spaces (binary)."""
+    modest_batches(docs.sparkSession)
     spark, size = docs.sparkSession, window - PERIOD + 1
     if size < 1:
         raise ValueError(f"a window has at least {PERIOD} words")
