@@ -251,18 +251,33 @@ def _homes(pairs: np.ndarray) -> np.ndarray:
     return np.where((pairs[:, 0] * 31 + pairs[:, 1] * 17) % 2 == 0, pairs[:, 0], pairs[:, 1])
 
 
-def _deal(batches: Iterator[pa.RecordBatch], starts: np.ndarray, pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint to its own leaf as home and to the other homes of its leaf's pairs."""
+def _deal(batches: Iterator[pa.RecordBatch], starts: np.ndarray, pairs: np.ndarray, parts: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """Each row to its own leaf as home and to the other homes of its leaf's pairs.
+
+    A home of `parts` has that many parts: a row's `_salt` names one, and it goes to every pair of parts that holds it.
+    """
     home = _homes(pairs)
     at = np.unique(np.concatenate((np.stack((pairs[:, 0], home), 1), np.stack((pairs[:, 1], home), 1))), axis=0)
     first = np.searchsorted(at[:, 0], np.arange(len(starts) + 1))
+    many_parts = np.ones(len(starts), np.int64)
+    for k, n in parts.items():
+        many_parts[k] = n
     for batch in batches:
         prints = batch.column("_print").to_numpy(zero_copy_only=False).view(np.uint64)
         own = np.searchsorted(starts, prints, "right") - 1
         many = first[own + 1] - first[own]
         row = np.repeat(np.arange(len(own)), many)
         goes = at[np.repeat(first[own], many) + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many), 1]
-        yield pa.RecordBatch.from_arrays([pa.array(goes, pa.int64()), pa.array(own[row], pa.int64()), pa.array(prints[row].view(np.int64)), batch.column("_rep").take(pa.array(row))], ["_home", "_leaf", "_print", "_rep"])
+        split = many_parts[goes]
+        salt = batch.column("_salt").to_numpy(zero_copy_only=False) if "_salt" in batch.schema.names else np.zeros(batch.num_rows, np.int64)
+        part = salt[row] % split
+        twice = np.repeat(np.arange(len(row)), split)
+        other = np.arange(len(twice)) - np.repeat(np.cumsum(split) - split, split)
+        low, high = np.minimum(part[twice], other), np.maximum(part[twice], other)
+        row, goes = row[twice], goes[twice]
+        piece = low * many_parts[goes] + high
+        columns = [pa.array(goes, pa.int64()), pa.array(piece, pa.int64()), pa.array(own[row], pa.int64())] + [c.take(pa.array(row)) for c in batch.columns]
+        yield pa.RecordBatch.from_arrays(columns, ["_home", "_piece", "_leaf", *batch.schema.names])
 
 
 class Partners:
@@ -291,34 +306,119 @@ class Partners:
         return both[:, 1], both[:, 0]
 
 
-def _home_links(group: pa.Table, pairs: np.ndarray, bits: int, budget: int, exact: int, forest: bool) -> pa.Table:
+def _order(group: pa.Table, *by: str) -> pa.Table:
+    return group.take(pa.array(np.lexsort([group.column(c).to_numpy().view(np.uint64) for c in reversed(by)])))
+
+
+def _met(group: pa.Table, pairs: np.ndarray, bits: int, budget: int, exact: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct fingerprints of a home, of rows in their order, and the pairs of them that link."""
     home = group.column("_home")[0].as_py()
-    prints, rep, leaf = (group.column(c).to_numpy() for c in ("_print", "_rep", "_leaf"))
-    prints = prints.view(np.uint64)
-    order = np.argsort(prints, kind="stable")
-    prints, rep, leaf = prints[order], rep[order], leaf[order]
+    prints, first = np.unique(group.column("_print").to_numpy().view(np.uint64), return_index=True)
+    leaf = group.column("_leaf").to_numpy()[first]
     bounds = lambda k: (int(np.searchsorted(leaf, k)), int(np.searchsorted(leaf, k, "right")))
     roots = [(*bounds(a), *bounds(b)) for a, b in pairs[_homes(pairs) == home]]
     roots = [r for r in roots if r[0] < r[1] and r[2] < r[3]]
+    return prints, trie_links(prints, roots, bits, budget, exact)
+
+
+def _linked(group: pa.Table, met, forest: bool) -> pa.Table:
+    group = _order(group, "_print")
+    prints, links = met(group)
     found = Forest(len(prints)) if forest else Partners(prints)
-    for x, y in trie_links(prints, roots, bits, budget, exact):
+    for x, y in links:
         found.add(x, y)
     child, parent = found.links()
+    rep = group.column("_rep").to_numpy()
     return pa.table({"a": pa.array(rep[child], pa.int64()), "b": pa.array(rep[parent], pa.int64())})
 
 
-def print_links(prints: DataFrame, bits: int = 64, budget: int = 2, exact: int = 0, forest: bool = True, leaf: int = 1 << 17) -> DataFrame:
-    """Links (a, b) between the `_rep`s of prints(_print long, _rep long), one row for each fingerprint.
+def _open(group: pa.Table, met) -> pa.Table:
+    """The fingerprints that more than one group has or that meet a fingerprint of another group."""
+    group = _order(group, "_print")
+    prints, links = met(group)
+    low, high = (group.column(c).to_numpy() for c in ("_low", "_high"))
+    found = low != high
+    for x, y in links:
+        foreign = np.minimum(low[x], low[y]) != np.maximum(high[x], high[y])
+        found[x[foreign]] = found[y[foreign]] = True
+    return pa.table({"_print": pa.array(prints[found].view(np.int64))})
 
-    With `forest` they span all links; without, each fingerprint is linked to its least, last smaller and nearest partner.
+
+def _blocks(a_low, a_n, b_low, b_n, limit: int = 1 << 15):
+    """The ranges' index pairs in blocks of not many more than `limit`."""
+    step = np.maximum(1, np.minimum(a_n, limit // np.maximum(b_n, 1)))
+    pieces = -(-a_n // step)
+    of = np.repeat(np.arange(len(a_n)), pieces)
+    skip = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * step[of]
+    low, n = a_low[of] + skip, np.minimum(step[of], a_n[of] - skip)
+    block = np.cumsum(n * b_n[of]) // limit
+    for some in np.split(np.arange(len(of)), np.flatnonzero(np.diff(block)) + 1):
+        if len(some):
+            yield of[some], low[some], n[some], b_low[of[some]], b_n[of[some]]
+
+
+def _compared(group: pa.Table, met, most: int) -> pa.Table:
+    """Links between groups of which two members meet and whose whole signatures differ in at most `most` bits.
+
+    Rows of one fingerprint and one group are a cell; only cells of different groups that aren't yet linked are compared.
+    """
+    group = _order(group, "_print", "_root")
+    prints, links = met(group)
+    names, root = np.unique(group.column("_root").to_numpy(), return_inverse=True)
+    rows = group.column("_print").to_numpy().view(np.uint64)
+    signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint64).reshape(len(rows), -1)
+    first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (root[1:] != root[:-1]))))
+    size, owner = np.diff(np.concatenate((first, [len(rows)]))), root[first]
+    low = np.searchsorted(rows[first], prints)
+    held = np.searchsorted(rows[first], prints, "right") - low
+    found = Forest(len(names))
+
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        for _, a_low, a_n, b_low, b_n in _blocks(low[x], held[x], low[y], held[y]):
+            a, b = _pairs(a_low, a_n, b_low, b_n)
+            new = found.root[owner[a]] != found.root[owner[b]]
+            a, b = a[new], b[new]
+            for of, *ranges in _blocks(first[a], size[a], first[b], size[b]):
+                if (found.root[owner[a[of]]] == found.root[owner[b[of]]]).all():
+                    continue
+                i, j = _pairs(*ranges)
+                near = np.bitwise_count(signature[i] ^ signature[j]).sum(1, dtype=np.int64) <= most
+                found.add(root[i[near]], root[j[near]])
+
+    several = np.flatnonzero(held > 1)
+    compare(several, several)
+    for x, y in links:
+        compare(x, y)
+    child, parent = found.links()
+    return pa.table({"a": pa.array(names[child], pa.int64()), "b": pa.array(names[parent], pa.int64())})
+
+
+def walked(prints: DataFrame, work, result: str, bits: int, budget: int, exact: int, leaf: int, most_rows: int | None = None) -> DataFrame:
+    """work(rows of a home, met) for each home; the rows are prints(_print long, ...), and met walks the home's pairs.
+
+    Equal fingerprints may make a home larger than its leaves; with `most_rows` such a home falls into parts by `_salt`,
+    and each pair of parts is a home of its own.
     """
     tops = leaves(prints, leaf, bits)
     if not tops:
-        return prints.sparkSession.createDataFrame([], "a long, b long")
+        return prints.sparkSession.createDataFrame([], result)
     pairs = np.array(leaf_pairs(tops, bits, budget, exact), np.int64).reshape(-1, 2)
     starts = np.array([first for first, _ in tops], np.uint64)
-    dealt = prints.select("_print", "_rep").mapInArrow(lambda batches: _deal(batches, starts, pairs), "_home long, _leaf long, _print long, _rep long")
-    return dealt.groupBy("_home").applyInArrow(lambda group: _home_links(group, pairs, bits, budget, exact, forest), "a long, b long")
+    deal = lambda frame, parts: frame.mapInArrow(lambda batches: _deal(batches, starts, pairs, parts), f"_home long, _piece long, _leaf long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in frame.schema.fields)}")
+    parts = {}
+    if most_rows:
+        crowded = deal(prints.select("_print"), {}).groupBy("_home").count().where(F.col("count") > most_rows)
+        parts = {r[0]: -(-r[1] // most_rows) for r in crowded.collect()}
+    met = lambda group: _met(group, pairs, bits, budget, exact)
+    return deal(prints, parts).groupBy("_home", "_piece").applyInArrow(lambda group: work(group, met), result)
+
+
+def print_links(prints: DataFrame, bits: int = 64, budget: int = 2, exact: int = 0, forest: bool = True, leaf: int = 1 << 17) -> DataFrame:
+    """Links (a, b) between the `_rep`s of prints(_print long, _rep long), one row for each fingerprint.
+
+    With `forest` they span all links; without, each fingerprint is linked to its least, last smaller and nearest partner.
+    """
+    return walked(prints.select("_print", "_rep"), lambda group, met: _linked(group, met, forest), "a long, b long", bits, budget, exact, leaf)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, leaf: int = 1 << 17) -> DataFrame:
@@ -339,6 +439,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, leaf: int
 
 #: Long signatures: MANY * 64 bits, cut into tables of KEY bits, each walked as a trie with BUDGET errors.
 MANY, KEY, BUDGET = 16, 32, 2
+#: Rows with whole signatures that a leaf holds.
+REST_LEAF = 1 << 15
 
 
 def bit_budget(similarity: float, bits: int = MANY * 64) -> int:
@@ -381,10 +483,28 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, leaf:
     most = bit_budget(similarity)
     alike = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_sig_a", "_sig_b").mapInArrow(lambda batches: _alike(batches, most), "a long, b long")
     roots = components(alike)
-    grouped = one.join(small(roots), one["_rep"] == roots["node"], "left").select("signature", F.coalesce("root", "_rep").alias("component_id"))
+    grouped = written(one.join(small(roots), one["_rep"] == roots["node"], "left").select("signature", F.coalesce("root", "_rep").alias("_root"), F.xxhash64("_rep").alias("_salt")), "grouped")
+    later = components(_rest(grouped, part, tables, KEY + lead, lead, most, leaf))
+    grouped = grouped.join(small(later), grouped["_root"] == later["node"], "left").select("signature", F.coalesce("root", "_root").alias("component_id"))
     return signed.join(grouped, "signature").select("doc_id", "component_id").where("doc_id <> component_id")
 
 
+def _rest(grouped: DataFrame, part, tables: int, bits: int, lead: int, most: int, leaf: int) -> DataFrame:
+    """Links (a, b) between the groups found so far: every pair of different groups that meets in a table is compared.
+
+    The first walk keeps three partners of a fingerprint in a table.  This one finds the fingerprints that still meet
+    another group; only their rows, with the whole signatures, meet once more and are compared in their homes.
+    """
+    spark = grouped.sparkSession
+    keys = lambda *cols: grouped.select(*cols, F.explode(F.array(*[part(t) for t in range(tables)])).alias("_print"))
+    spans = written(keys("_root").groupBy("_print").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")), "spans")
+    open_ = written(walked(spans, _open, "_print long", bits, BUDGET, lead, leaf).distinct(), "open")
+    release(spark)
+    rows = written(keys("_root", "_salt", "signature").join(small(open_), "_print").select("_print", "_root", F.expr("_salt & 9223372036854775807").alias("_salt"), "signature"), "rest")
+    compare = lambda group, met: _compared(group, met, most)
+    return written(walked(rows, compare, "a long, b long", bits, BUDGET, lead, REST_LEAF, 2 * REST_LEAF).distinct(), "later")
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents, with their columns, without all but the smallest id of each group; one row for each id."""
     gone = written(near_copies(docs, words, similarity).select("doc_id").distinct(), "gone")

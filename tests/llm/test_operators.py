@@ -103,6 +103,46 @@ def test_near_copies(spark, empty):
     assert simhash.one_of_each(empty).collect() == []
 
 
+def near_groups(docs, words=5, similarity=0.8):
+    """The least id of each document's group, from all pairs that meet in a table and whose signatures are alike."""
+    sig = {}
+    for d, t in docs.items():
+        hashes = simhash.shingle_hashes(t.encode(), words)
+        sig[d] = np.frombuffer(simhash.majority(simhash.mixed(hashes, simhash.MANY)).tobytes(), ">u4") if len(hashes) else np.zeros(32, ">u4")
+    root = {d: d for d in docs}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(docs), 2):
+        differ = np.bitwise_count(sig[a] ^ sig[b])
+        if differ.min() <= simhash.BUDGET and differ.sum(dtype=int) <= simhash.bit_budget(similarity):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in docs}
+
+
+@pytest.mark.parametrize("leaf,rest", [(1 << 17, 1 << 15), (16, 8)])
+def test_near_copies_lose_no_link(spark, monkeypatch, leaf, rest):
+    """Families whose members meet in many tables but are alike only in part, so that partners are often refuted."""
+    monkeypatch.setattr(simhash, "REST_LEAF", rest)
+    r = random.Random(3)
+    docs = {}
+    for _ in range(8):
+        base = [f"f{r.randrange(10**6)}" for _ in range(120)]
+        for _ in range(25):
+            many = r.choice((1, 2, 3, 4, 5))
+            spots = set(r.sample(range(120), many))
+            docs[len(docs)] = " ".join(f"g{r.randrange(10**6)}" if k in spots else w for k, w in enumerate(base))
+    want = near_groups(docs)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copies(frame, leaf=leaf).collect()}
+    assert got == {d: g for d, g in want.items() if d != g}
+    assert 8 < len(set(want.values())) < len(docs)
+
+
 def test_private(docs, empty, both_ways):
     got = private.private_spans(docs)
     rows = got.collect()
