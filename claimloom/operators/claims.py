@@ -42,6 +42,30 @@ def claims_block(c: Column) -> Column:
     return F.when(c.rlike(ANCHOR), F.element_at(F.split(c, ANCHOR, 2), 2))
 
 
+def claims_tail(docs: DataFrame, text: str = "text", key: str = "doc_id", share: float = 0.6, reach: int = 25_000, least: int = 5) -> DataFrame:
+    """key, start, end, markers, increases, steps, falls, score of the best claims region in a text's last part (offsets from 0).
+
+    A region begins at a claim number and holds those that begin within `reach` characters.  Numbers, increases and steps
+    by one raise its score, falls by more than 3 lower it; the first of the best counts.
+    """
+    body = F.translate(F.col(text), _CUT, " ")
+    begins = F.floor(F.length(body) * share).cast("int")
+    cut = F.regexp_replace(F.substring(body, begins + 1, F.length(body)), f"({MARKER})", f"{_CUT}$1{_CUT}")
+    parts = docs.select(key, begins.alias("_begins"), F.length(body).alias("_length"), F.posexplode(F.split(cut, _CUT, -1)).alias("k", "part"))
+    by = Window.partitionBy(key).orderBy("k")
+    at = F.col("_begins") + F.coalesce(F.sum(F.length("part")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marks = parts.withColumn("start", at).where("k % 2 = 1").withColumn("n", F.regexp_extract("part", r"\d+", 0).try_cast("int"))
+    step = F.col("n") - F.lag("n").over(Window.partitionBy(key).orderBy("k"))
+    facts = {"increases": step > 0, "steps": step == 1, "falls": step < -3}
+    marks = marks.select("*", *[F.coalesce(c, F.lit(False)).cast("int").alias(f"_{name}") for name, c in facts.items()])
+    ahead = Window.partitionBy(key).orderBy("start").rangeBetween(0, reach - 1)
+    found = marks.withColumn("markers", F.count("*").over(ahead)).select("*", *[(F.sum(f"_{name}").over(ahead) - F.col(f"_{name}")).alias(name) for name in facts])
+    score = 2 * F.col("markers") + 2 * F.col("increases") + 3 * F.col("steps") - 10 * F.col("falls")
+    fine = found.where(F.col("markers") >= least).withColumn("score", score).withColumn("end", F.least(F.col("start") + reach, F.col("_length")))
+    best = F.max_by(F.struct("start", "end", "markers", *facts, "score"), F.struct("score", -F.col("start")))
+    return fine.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+
+
 def split_claims(docs: DataFrame, text: str = "text", key: str = "doc_id", expected: str | None = None) -> DataFrame:
     """key, pos, number, text, depends_on, is_independent of the claims in a block of text.
 

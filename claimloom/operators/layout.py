@@ -11,6 +11,7 @@ from claimloom.operators.sections import line_role, section_key
 DATE = r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)\.?\s+\d{1,2},\s+\d{4}\b"
 SHEET_OF = r"(?i)\b(?:sheet|page)\s+\d+\s+(?:of|/)\s+\d+\b"
 PUBLISHED = (r"(?i)\bUS\s*\d{4}\s*/?\s*\d{6,8}\s*[A-Z0-9]{1,2}\b", r"(?i)\bUS\s*\d[\d,\s]*\s*[A-Z0-9]{1,2}\b", r"(?i)\bUS\d{7,11}[A-Z0-9]{1,2}\b")
+LABEL = r"^\s*\(\s*(\d+)\s*\)"
 KIND = r"(?i)\b(?:A1|A2|A9|B1|B2)\b"
 
 
@@ -57,6 +58,74 @@ def densest_band(lines: DataFrame, page: list[str], tall: int = 30) -> DataFrame
     return near.groupBy(*page).agg(F.max_by(F.struct("low", F.col("y").alias("high"), "n"), F.struct("n", -F.col("y"))).alias("b")).where("b.n >= 2").select(*page, "b.*")
 
 
+def split_header(lines: DataFrame, page: list[str], height: float) -> DataFrame:
+    """The lines(page, pos, y, text) with `region`, header or body.
+
+    The header ends 4 below the densest band of the page's upper 22 %.  If the band reads like a running header, it ends
+    by 80 or a tenth of the page; else the first wide gap from there on, if any, ends it.  Without a band all is body.
+    """
+    band = densest_band(lines.where(F.col("y") <= 0.22 * height), page).drop("n")
+    rows = lines.join(band, page, "left")
+    within = F.when(F.col("y").between(F.col("low"), F.col("high")), F.struct("y", "pos", F.trim("text").alias("text")))
+    title = F.array_join(F.transform(F.array_sort(F.collect_list(within)), lambda r: r["text"]), " ")
+    by = Window.partitionBy(*page).orderBy("y", "pos")
+    scan = rows.where((F.col("y") <= 0.45 * height) & (F.col("y") >= F.col("low") - 2)).withColumn("gap", F.lead("y").over(by) - F.col("y"))
+    facts = scan.groupBy(*page).agg(title.alias("title"), F.count("*").alias("n"), F.coalesce(F.median(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(10.0)).alias("typical"))
+    wide = scan.join(facts.where("n >= 6"), page).where((F.col("y") >= F.col("high") + 4) & (F.col("gap") >= F.greatest(F.lit(24.0), 2.5 * F.col("typical"))))
+    ends = facts.join(band, page).join(wide.groupBy(*page).agg(F.min("y").alias("edge")), page, "left")
+    running = F.greatest(*[F.col("title").rlike(p) for p in (*PUBLISHED[:2], DATE, SHEET_OF, KIND)])
+    end = F.when(running, F.least(F.col("high") + 4, F.lit(min(80.0, 0.1 * height)))).otherwise(F.coalesce("edge", "high") + 4)
+    split = lines.join(ends.select(*page, end.alias("_end")), page, "left")
+    return split.withColumn("region", F.when(F.col("y") <= F.col("_end"), "header").otherwise("body")).drop("_end")
+
+
+def rescue(lines: DataFrame, page: list[str], code: int = 54, most: int = 4, reach: float = 20.0) -> DataFrame:
+    """lines(page, col, pos, y, text, region): up to `most` header lines of a column that stand close above the body's first "(code)" join the body.
+
+    They are taken from the header's end upwards, as far as the first field label or line out of reach.
+    """
+    anchor = F.min(F.when((F.col("region") == "body") & F.trim("text").startswith(f"({code})"), F.col("y"))).over(Window.partitionBy(*page))
+    up = Window.partitionBy(*page, "col", "region").orderBy(F.desc("y"), F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("_above", anchor - F.col("y")).withColumn("_text", F.trim("text"))
+    near = (F.col("_above") > 0) & (F.col("_above") <= reach) & ~F.col("_text").rlike(LABEL)
+    rows = rows.withColumn("_near", F.coalesce(near, F.lit(False))).withColumn("_open", F.min("_near").over(up)).withColumn("_n", F.count_if(F.col("_text") != "").over(up))
+    moved = (F.col("region") == "header") & F.col("_open") & (F.col("_text") != "") & (F.col("_n") <= most)
+    return rows.withColumn("region", F.when(moved, "body").otherwise(F.col("region"))).drop("_above", "_text", "_near", "_open", "_n")
+
+
+def field_blocks(lines: DataFrame, column: list[str], window: float = 90.0, span: float = 900.0, gap: float = 70.0) -> DataFrame:
+    """column, first, kind, tag, text, y0, y1 of lines(column, pos, y, y0, y1, text): field blocks and runs without label.
+
+    A label "(n)" takes the lines below it, up to min(window, 0.4 distance) before the next label or to a gap over `gap`,
+    and lines within that distance above it that the label before didn't take.  The text is label, above, below.
+    """
+    by = Window.partitionBy(*column).orderBy("pos")
+    before, after = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(1, Window.unboundedFollowing)
+    label = F.col("text").rlike(LABEL)
+    rows = lines.withColumn("_tag", F.when(label, F.regexp_extract("text", LABEL, 1).try_cast("int"))).withColumn("_gap", F.col("y") - F.lag("y").over(by))
+    rows = rows.withColumn("_next", F.first(F.when(label, F.col("y")), ignorenulls=True).over(after))
+    buffer = F.when(F.col("_next").isNull(), F.lit(window)).otherwise(F.least(F.lit(window), 0.4 * F.greatest(F.lit(0.0), F.col("_next") - F.col("y"))))
+    stop = F.when(F.col("_next").isNull(), F.col("y") + span).otherwise(F.greatest(F.col("y") + 1e-3, F.col("_next") - buffer))
+    rows = rows.withColumn("_own", F.when(label, F.struct(F.col("pos"), F.col("y"), buffer.alias("buffer"), stop.alias("stop"))))
+    rows = rows.withColumn("_up", F.last("_own", ignorenulls=True).over(before)).withColumn("_down", F.first("_own", ignorenulls=True).over(after))
+    mine = Window.partitionBy(*column, "_up.pos").orderBy("pos")
+    far = ~label & ((F.col("y") >= F.col("_up.stop")) | (F.col("_gap") > gap))
+    start = F.greatest(F.col("_up.stop"), F.col("_down.y") - F.col("_down.buffer"))
+    low = F.col("y") < start
+    rows = rows.withColumn("_below", F.col("_up").isNotNull() & ~F.coalesce(F.max(far).over(mine.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False)))
+    rows = rows.withColumn("_above", F.col("_down").isNotNull() & ~label & ~F.coalesce(F.max(low).over(mine.rowsBetween(0, Window.unboundedFollowing)), F.lit(True)))
+    place = F.when(label, 0).when(F.col("_above"), 1).when(F.col("_below"), 2)
+    first = F.when(label | (F.col("_below") & ~F.col("_above")), F.col("_up.pos")).when(F.col("_above"), F.col("_down.pos"))
+    rows = rows.withColumn("_place", place).withColumn("_label", first)
+    bare = F.when(F.col("_label").isNull() & F.coalesce(F.lag("_label").over(by).isNotNull() | (F.lag("pos").over(by).isNull()), F.lit(True)), 1).otherwise(0)
+    rows = rows.withColumn("_run", F.when(F.col("_label").isNull(), F.sum(bare).over(before)))
+    parts = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("_place", "pos", "text"))))
+    out = rows.groupBy(*column, "_label", "_run").agg(
+        F.min("pos").alias("first"), F.max("_tag").alias("tag"), F.trim(F.array_join(F.transform(parts, lambda r: r["text"]), "\n")).alias("text"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    kind = F.when(F.col("_label").isNull(), "unlabelled").otherwise("inid")
+    return out.where("_label is not null or text <> ''").select(*column, "first", kind.alias("kind"), "tag", "text", "y0", "y1")
+
+
 def median_width(lines: DataFrame, page: list[str], width: str) -> DataFrame:
     """page, median (true), upper (the upper one of the two middles)."""
     return lines.groupBy(*page).agg(F.median(width).alias("median"), F.element_at(F.array_sort(F.collect_list(width)), (F.floor(F.count("*") / 2) + 1).cast("int")).alias("upper"))

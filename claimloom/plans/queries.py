@@ -522,6 +522,36 @@ def header_lines(spark, sf):
     return lenses.frame(spark, sf, f"{HEADER} SELECT * FROM h").select("doc_id", layout.header_metadata(F.col("text")).alias("is_header"))
 
 
+TOP = "SELECT CAST(doc_id AS BIGINT) AS doc_id, pos, CAST(30 + 14 * pos + CASE WHEN pos > 4 THEN 60 ELSE 0 END AS DOUBLE) AS y, CASE WHEN pos = 0 AND doc_id % 2 = 0 THEN 'Sheet 4 of 10' ELSE text END AS text FROM ({lines})"
+
+
+def top_lines(spark, sf):
+    return lenses.frame(spark, sf, TOP.replace("{lines}", lenses.LINES))
+
+
+@query()
+def page_header_split(spark, sf):
+    """Lines of the header and of the body of each page (tested on small pages)."""
+    split = layout.split_header(top_lines(spark, sf), ["doc_id"], 800.0)
+    return split.groupBy("doc_id").agg(F.count_if(F.col("region") == "header").alias("n_header"), F.count_if(F.col("region") == "body").alias("n_body"))
+
+
+@query()
+def page_field_blocks(spark, sf):
+    """Field blocks of each page; every seventh line stands as a label (tested against a plain version)."""
+    label = F.when(F.col("pos") % 7 == 3, F.concat(F.lit("("), (F.col("pos") % 90 + 10).cast("string"), F.lit(") "), "text")).otherwise(F.col("text"))
+    rows = top_lines(spark, sf).select("doc_id", "pos", "y", (F.col("y") - 4).alias("y0"), (F.col("y") + 4).alias("y1"), label.alias("text"))
+    return layout.field_blocks(rows, ["doc_id"]).select("doc_id", "first", "kind", "tag", F.length("text").alias("chars"))
+
+
+@query(f"""WITH c AS ({lenses.CLAIMS}), o AS (SELECT *, number - lag(number) OVER (PARTITION BY doc_id ORDER BY pos) AS d FROM c),
+t AS (SELECT doc_id, CAST(20 AS INT) AS start, CAST(least(25020, 19 + sum(length(concat(number, '. ', text)) + 1)) AS INT) AS "end", count(*) AS markers, count(*) FILTER (d > 0) AS increases, count(*) FILTER (d = 1) AS steps, count(*) FILTER (d < -3) AS falls FROM o GROUP BY doc_id)
+SELECT *, 2 * markers + 2 * increases + 3 * steps - 10 * falls AS score FROM t WHERE markers >= 5""")
+def claims_tail(spark, sf):
+    """The claims region of the whole text, found by its numbers alone."""
+    return claims.claims_tail(bodies(spark, sf), share=0.0)
+
+
 # --- identifiers ----------------------------------------------------------------------------------------------------
 
 IDS = """WITH r AS (SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(1000000 + o_orderkey AS INT) AS n, CAST(10 + o_orderkey % 90 AS INT) AS d FROM {orders}),
