@@ -461,8 +461,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, leaf:
 
     Two documents are near copies if their signatures differ in at most the bits that `similarity` leaves.  The signature's
     tables are walked together, the table's number as leading bits that must agree; candidates are then held against the
-    whole signature.  Two documents at the threshold meet in some table with a probability of about 0.98, closer ones
-    more surely.
+    whole signature.  This is an estimate, weakest for short and repetitive texts; `one_of_each` doesn't use it.
     """
     spark = docs.sparkSession
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -506,8 +505,13 @@ def _rest(grouped: DataFrame, part, tables: int, bits: int, lead: int, most: int
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents, with their columns, without all but the smallest id of each group; one row for each id."""
-    gone = written(near_copies(docs, words, similarity).select("doc_id").distinct(), "gone")
+    """The documents, with their columns, without all but the smallest id of each group; one row for each id.
+
+    Groups are those of the exact similarity (`jaccard`), not of the signatures' estimate.
+    """
+    from claimloom.llm import jaccard
+
+    gone = written(jaccard.near_copies(docs, words, similarity).select("doc_id").distinct(), "gone")
     if not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
         null = docs.where(F.col("doc_id").isNull())
         docs = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(null)
