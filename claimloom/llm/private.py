@@ -1,11 +1,11 @@
 """Personal data: base spans by pattern, further spans by disclosure; DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.  Each valid base span names a protected
-entity.  The words within REACH code points of it are its context.  Over the whole corpus, the pointwise mutual
-information of an entity and a context word, divided by the entity's own information, is the share of the entity that
-the word discloses.  A word whose share reaches `generalise` is replaced by a class, one that reaches `remove` is
-deleted, and both are added as spans of kind `term`.  A word and an entity count only if at least `support` documents
-hold them together.
+entity.  The words of a document outside its base spans are the context of all its entities.  Over the whole corpus, the
+pointwise mutual information of an entity and a word, counted by documents and divided by the entity's own information,
+is the share of the entity that the word discloses.  Every occurrence of a word whose share reaches `generalise`, in
+every document that holds the entity, is replaced by a class; where it reaches `remove`, it is deleted; both are added
+as spans of kind `term`.  A word and an entity count only if at least `support` documents hold them together.
 
 Positions come without user functions: splitting a text by a pattern gives the gaps and extracting all matches gives
 the matches, in the same order; sums of their lengths are code-point offsets.
@@ -29,8 +29,8 @@ PATTERNS = (
     ("card", "", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", "+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
-#: Code points on either side of a span that are its context, and the words taken from it.
-REACH, TERM = 64, r"\p{L}{3,}"
+#: The words that may disclose.
+TERM = r"\p{L}{3,}"
 
 
 def _valid(kind: Column, hit: Column) -> Column:
@@ -42,71 +42,93 @@ def _valid(kind: Column, hit: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc key, kind (number in PATTERNS), start, end, value and the text on either side, of each valid match in `docs(_id, _h, _text)`."""
+    """doc key, kind (number in PATTERNS), start, end and value of each valid match in `docs(_id, _h, _text)`."""
     found = []
     for number, (_, needs, pattern) in enumerate(PATTERNS):
         holds = F.col("_text").contains(needs) if needs else F.col("_text").rlike("[0-9][ -]?[0-9]")
         gaps, hits = F.split("_text", pattern, -1), F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))
         found.append(F.when(holds, F.struct(F.lit(number).alias("kind"), gaps.alias("gaps"), hits.alias("hits"))))
     one = docs.select("_id", "_h", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).where(F.size("x.hits") > 0)
-    near = F.transform("x.gaps", lambda g: F.struct(F.length(g).alias("n"), F.substring(g, 1, REACH + 1).alias("head"), F.right(g, F.lit(REACH + 1)).alias("tail")))
-    one = one.select("_id", "_h", "x.kind", near.alias("gaps"), "x.hits")
-    rows = one.select("_id", "_h", "kind", F.posexplode(F.arrays_zip(F.slice("gaps", F.lit(1), F.size("hits")).alias("left"), F.slice("gaps", F.lit(2), F.size("hits")).alias("right"), F.col("hits").alias("hit"))).alias("i", "m"))
+    one = one.select("_id", "_h", "x.kind", F.transform("x.gaps", F.length).alias("gaps"), "x.hits")
+    rows = one.select("_id", "_h", "kind", F.posexplode(F.arrays_zip(F.slice("gaps", F.lit(1), F.size("hits")).alias("left"), F.col("hits").alias("hit"))).alias("i", "m"))
     upto = Window.partitionBy("_id", "_h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("m.left.n") + F.length("m.hit")).over(upto)
-    rows = rows.select("_id", "_h", "kind", end.alias("end"), F.col("m.hit").alias("value"), F.col("m.left.tail").alias("left"), F.col("m.right.head").alias("right"))
+    end = F.sum(F.col("m.left") + F.length("m.hit")).over(upto)
+    rows = rows.select("_id", "_h", "kind", end.alias("end"), F.col("m.hit").alias("value"))
     rows = rows.where(_valid(F.col("kind"), F.col("value")))
     return rows.withColumn("start", F.col("end") - F.length("value"))
 
 
-def _words(side: Column) -> Column:
-    """The words of a short text, lower-cased, with their offsets."""
-    words, gaps = F.regexp_extract_all(side, F.lit(TERM), F.lit(0)), F.split(side, TERM, -1)
-    both = F.arrays_zip(words.alias("w"), gaps.alias("g"))
-    before = lambda i: F.aggregate(F.slice(both, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x["g"]) + F.length(x["w"]))
-    return F.transform(words, lambda w, i: F.struct(F.lower(w).alias("term"), (before(i) + F.length(F.get(gaps, i))).alias("at"), F.length(w).alias("n")))
-
-
-def context_terms(spans: DataFrame) -> DataFrame:
-    """The words in each span's context, up to the next spans on either side."""
-    by = Window.partitionBy("_id", "_h").orderBy("start", "kind")
-    past = F.coalesce(F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    coming = F.min("start").over(by.rowsBetween(1, Window.unboundedFollowing))
-    whole = lambda side, cut: F.when(F.length(side) > REACH, F.regexp_replace(side, cut, "")).otherwise(side)
-    left = F.col("left")
-    clipped = spans.withColumns({"_past": past, "_next": coming})
-    clipped = clipped.withColumn("left", F.when(F.col("_past") > F.col("start") - F.length(left), F.right(left, F.greatest(F.lit(0), F.col("start") - F.col("_past")))).otherwise(whole(left, r"^\p{L}+")))
-    clipped = clipped.withColumn("right", F.when(F.col("_next") < F.col("end") + F.length("right"), F.left(F.col("right"), F.greatest(F.lit(0), F.col("_next") - F.col("end")))).otherwise(whole(F.col("right"), r"\p{L}+$")))
-    moved = lambda words, base: F.transform(words, lambda w: F.struct(w["term"].alias("term"), (base + w["at"]).alias("start"), (base + w["at"] + w["n"]).alias("end")))
-    words = F.concat(moved(_words(F.col("left")), F.col("start") - F.length("left")), moved(_words(F.col("right")), F.col("end")))
-    entity = F.concat_ws(":", F.col("kind"), F.when(F.col("kind") == 0, F.lower("value")).otherwise(F.regexp_replace("value", "[ ().-]", "")))
-    return clipped.select("_id", "_h", entity.alias("entity"), F.explode(words).alias("w")).select("_id", "_h", "entity", "w.*")
+def same(a: DataFrame, b: DataFrame) -> Column:
+    """Whether rows are of one document; ids may be null."""
+    return a["_id"].eqNullSafe(b["_id"]) & (a["_h"] == b["_h"])
 
 
-def disclosing(docs: DataFrame, terms: DataFrame, support: int, generalise: float) -> DataFrame:
-    """entity, term, share of the entity's information that the term discloses."""
-    key = ["_id", "_h"]
-    joint = terms.select(*key, "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    joint = written(joint, "joint")
-    entities = terms.select(*key, "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    wanted = written(joint.select("term").distinct(), "terms")
-    held = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    in_docs = held.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term"))
-    total = docs.count()
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("of_entity"))
-    mutual = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.col("of_entity") * F.col("of_term")))
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with blanks for the sorted spans, as long as before."""
+    reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda s: s["end"])), F.lit(0))
+    piece = F.transform(spans, lambda s, i: F.concat(
+        F.substring(text, (reach(i) + 1).cast("int"), F.greatest(F.lit(0), s["start"] - reach(i)).cast("int")),
+        F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(reach(i), s["start"])).cast("int"))))
+    return F.concat(F.array_join(piece, ""), F.substring(text, (reach(F.size(spans)) + 1).cast("int"), F.length(text)))
+
+
+def masked(docs: DataFrame, masks: DataFrame, how: str) -> DataFrame:
+    """docs(_id, _h, _text) with blanks for their base spans, masks(_id, _h, spans)."""
+    m = small(masks).alias("m")
+    text = F.when(F.col("m.spans").isNull(), docs["_text"]).otherwise(_masked(docs["_text"], F.col("m.spans")))
+    on = docs["_id"].eqNullSafe(F.col("m._id")) & (docs["_h"] == F.col("m._h"))
+    return docs.join(m, on, how).select(docs["_id"], docs["_h"], text.alias("_text"))
+
+
+def _terms(text: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.col(text), F.lit(TERM), F.lit(0)), F.lower))
+
+
+def disclosing(docs: DataFrame, masks: DataFrame, named: DataFrame, support: int, generalise: float) -> DataFrame:
+    """_id, _h, term, share: the words that disclose an entity of named(_id, _h, entity), in each document that holds both."""
+    total = float(max(docs.count(), 1))
+    entities = written(named.groupBy("entity").agg(F.count("*").alias("of_entity")).where(F.col("of_entity") >= support), "entities")
+    holders = written(named.join(small(entities), "entity"), "holders")
+    wanted_docs = written(holders.select("_id", "_h").distinct().join(masks.withColumnsRenamed({"_id": "_i", "_h": "_g"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g"))).select("_id", "_h", "spans"), "held")
+    terms = masked(docs, wanted_docs, "inner").dropDuplicates(["_id", "_h"]).select("_id", "_h", F.explode(_terms("_text")).alias("term"))
+    terms = written(terms, "terms")
+    wanted = written(terms.groupBy("term").count().where(F.col("count") >= support).select("term"), "wanted")
+    held = masked(docs, masks, "left").select(F.explode(_terms("_text")).alias("term"))
+    in_docs = written(held.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term")), "counted")
+    # A word that even in all of an entity's documents would tell too little needn't be paired with it.
+    t, h = terms.join(small(in_docs), "term"), holders
+    able = F.col("of_term") <= 1.000001 * total * F.pow(F.col("of_entity") / total, F.lit(float(generalise)))
+    pairs = written(t.join(h, same(t, h) & able).select(t["_id"], t["_h"], "entity", "term", "of_entity", "of_term"), "joint")
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("of_entity").alias("of_entity"), F.first("of_term").alias("of_term")).where(F.col("both") >= support)
+    information = F.log2(F.lit(total) / F.col("of_entity"))
+    mutual = F.log2(F.lit(total) * F.col("both") / (F.col("of_entity") * F.col("of_term")))
     share = F.when(information > 0, mutual / information).otherwise(0.0)
-    return joint.join(entities, "entity").join(in_docs, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    told = written(joint.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "told")
+    return pairs.join(small(told), ["entity", "term"]).groupBy("_id", "_h", "term").agg(F.max("share").alias("share"))
+
+
+def occurrences(docs: DataFrame, masks: DataFrame, told: DataFrame) -> DataFrame:
+    """told(_id, _h, term, share) with start and end of every occurrence of the term in its document."""
+    keys = told.select(F.col("_id").alias("_i"), F.col("_h").alias("_g")).distinct()
+    some = written(masks.join(keys, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left_semi"), "marked")
+    texts = masked(docs, some, "inner").dropDuplicates(["_id", "_h"])
+    words, gaps = F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)), F.transform(F.split("_text", TERM, -1), F.length)
+    rows = texts.select("_id", "_h", F.posexplode(F.arrays_zip(words.alias("w"), F.slice(gaps, F.lit(1), F.size(words)).alias("g"))).alias("i", "m"))
+    upto = Window.partitionBy("_id", "_h").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select("_id", "_h", F.lower("m.w").alias("term"), F.length("m.w").alias("n"), F.sum(F.col("m.g") + F.length("m.w")).over(upto).alias("end"))
+    return rows.join(told, same(rows, told) & (rows["term"] == told["term"])).select(rows["_id"], rows["_h"], (F.col("end") - F.col("n")).alias("start"), "end", "share")
 
 
 def private_spans(docs: DataFrame, support: int = 2, generalise: float = 0.5, remove: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: the id, and spans array<struct<start, kind, end, action>> in order of start and kind."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     base = written(base_spans(rows), "base")
-    terms = written(context_terms(base), "context")
-    told = written(disclosing(rows, terms, support, generalise), "disclosing")
-    action = F.when(F.max("share") >= remove, "remove").otherwise("generalise")
-    added = terms.join(small(told), ["entity", "term"]).groupBy("_id", "_h", "start", "end").agg(action.alias("action"))
+    masks = written(base.groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "masks")
+    entity = F.concat_ws(":", F.col("kind"), F.when(F.col("kind") == 0, F.lower("value")).otherwise(F.regexp_replace("value", "[ ().-]", "")))
+    named = written(base.select("_id", "_h", entity.alias("entity")).distinct(), "named")
+    told = written(disclosing(rows, masks, named, support, generalise), "disclosing")
+    action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
+    added = occurrences(rows, masks, told).withColumn("action", action)
     span = lambda kind, action: F.struct(F.col("start").cast("long").alias("start"), kind.cast("int").alias("kind"), F.col("end").cast("long").alias("end"), action.alias("action")).alias("span")
     key = ["_id", "_h"]
     nothing = F.lit(None).cast("struct<start:bigint,kind:int,end:bigint,action:string>").alias("span")
