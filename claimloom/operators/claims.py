@@ -137,23 +137,23 @@ def context(claims: DataFrame, key: str = "doc_id") -> DataFrame:
     return own.join(dependents(claims, key), [key, "number"], "left").select(key, "number", "parents", F.coalesce("children", F.expr("cast(array() as array<int>)")).alias("children"), "figures")
 
 
-def tree(claims: DataFrame, key: str = "doc_id", most: int = 64) -> DataFrame:
+def tree(claims: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, root, number, depth, path of every chain of dependencies from an independent claim; cycles end a chain.
 
-    Levels are joined one at a time; their number is the length of the longest chain, which `most` bounds.
+    Levels are joined one at a time until one is empty; their number is the length of the longest chain.
     """
     links = stable(edges(claims, key))
     roots = claims.where("is_independent").select(key, F.col("number").alias("root"), "number").distinct()
     level = stable(roots.withColumn("depth", F.lit(0)).withColumn("path", F.array("number")))
-    out = level
-    for depth in range(1, most + 1):
+    out, depth = level, 0
+    while True:
+        depth += 1
         step = links.select(key, F.col("parent").alias("number"), F.col("number").alias("child"))
         level = level.join(step, [key, "number"]).where(~F.array_contains("path", F.col("child"))).select(key, "root", F.col("child").alias("number"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"))
         level = stable(level)
         if level.isEmpty():
             return out
         out = out.unionByName(level)
-    return out
 
 
 def statistics(claims: DataFrame, key: str = "doc_id") -> DataFrame:
