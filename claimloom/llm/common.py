@@ -8,11 +8,15 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-#: A small side is broadcast up to this many bytes of written Parquet; beyond, the join shuffles.
-BROADCAST_BYTES = 16 << 20
+#: A small side is broadcast up to this many bytes in memory, by its rows and their width; beyond, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+#: Rows of one key that a join sends to one task; keys with more are joined apart, without a shuffle.
+HOT_ROWS = 100_000
+#: The scratch folder of each application.
+_scratch: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,35 +30,81 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    own = tempfile.mkdtemp(prefix="claimloom-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = f"local {spark.sparkContext.applicationId}"
+    if app not in _scratch:
+        _scratch[app] = tempfile.mkdtemp(prefix="claimloom-")
+        atexit.register(shutil.rmtree, _scratch[app], ignore_errors=True)
+    return _scratch[app]
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = f"{shared_dir(spark)}/claimloom/{app}"
+        path, store = _path(spark, _scratch[app])
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return _scratch[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/claimloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark, seen = df.sparkSession, Observation()
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path, int(seen.get["rows"])
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes frames from written() that no plan still to run reads."""
+    for df in frames:
+        path, store = _path(df.sparkSession, df._written[0])
+        store.delete(path, True)
+
+
+def rows_of(df: DataFrame) -> int:
+    return df._written[1] if hasattr(df, "_written") else df.count()
 
 
 def bytes_of(df: DataFrame) -> int:
-    """Bytes of the files that a frame from written() reads."""
-    spark, total = df.sparkSession, 0
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for f in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    """Bytes that the rows of a frame from written() take in memory, about: 8 a column and 48 a row, lists and texts by their files' size, times 4."""
+    total = rows_of(df) * (48 + 8 * len(df.columns))
+    if any(f.dataType.simpleString().startswith(("array", "string", "binary", "struct")) for f in df.schema):
+        for f in df.inputFiles():
+            path, store = _path(df.sparkSession, f)
+            total += 4 * store.getFileStatus(path).getLen()
     return total
 
 
 def small(df: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if the files behind it have at most `bound` bytes; df is from written()."""
+    """df, marked for broadcast if its rows take at most `bound` bytes; df is from written()."""
     return F.broadcast(df) if bytes_of(df) <= bound else df
 
 
+def meet(rows: DataFrame, names: DataFrame, on: list[str], many: str, hot: int | None = None) -> DataFrame:
+    """The inner join of rows with names from written(), one row for each key, that say in column `many` how many rows have it.
+
+    Small names are broadcast.  Else the keys of more than `hot` rows, of which there are fewer than rows / hot, are
+    broadcast, and only the other keys' rows are shuffled, so that no task gets more than `hot` rows of a key.
+    """
+    hot = hot or HOT_ROWS
+    if bytes_of(names) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(names), on)
+    crowded = written(names.where(F.col(many) > hot), "hot")
+    if not rows_of(crowded):
+        return rows.join(names, on)
+    cold = rows.join(F.broadcast(crowded.select(*on)), on, "left_anti").join(names.where(F.col(many) <= hot), on)
+    return rows.join(small(crowded), on).unionByName(cold)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished phases, so disk use stays that of one phase."""
     import gc

@@ -3,18 +3,21 @@
 Every line start is a suffix of its document's line sequence.  Prefix doubling ranks the suffixes by their first 1, 2,
 4, ... lines: a level's rank is the order-preserving name of a pair of ranks of the level before, given by a range
 partitioned sort of the distinct pairs.  Suffixes whose rank no other suffix has leave the table, so a level holds only
-the members of intervals whose longest common prefix reaches the level's length.  Levels end when no interval is left.
+the members of intervals whose longest common prefix reaches the level's length.
 
-A repeated run of n lines is the union of its repeated runs of 2**floor(log2 n) lines.  An occurrence of such a run is
-deleted if an equal run starts earlier (in a document with a smaller id, or earlier in the same document) and the run
-holds at least `min_chars` characters; overlapping deletions merge into maximal runs.
+A line goes if any run of lines around it, of whatever length, holds `min_chars` characters or more and equals a run that
+starts earlier (in a document with a smaller id, or earlier in the same document).  Runs within a run that stands earlier
+stand earlier too, so it is enough to judge two runs for each line: the shortest that starts there and holds enough
+characters, and the shortest that ends there.  All lines of a longer repeated run lie in one of these.  A run of n lines
+is named by n and the ranks of its first and its last 2**floor(log2 n) lines; equal names are one interval of the
+suffix array.  Deletions that touch merge, which gives the maximal repeated runs.
 
-A line that very many documents share is one key: first occurrences come from partial minima and names return by joins
-that Spark may split.
+A line that very many documents share is one key: first occurrences come from partial minima, and names return by joins
+that take hot names apart.
 
 Defined results: a null text has no lines and stays null; an empty text is one empty line; rows with equal id and text
 count as one document and are each rewritten alike; rows that share an id but not the text don't delete each other's
-lines; rows with a null id keep all lines; an empty table gives an empty result.
+lines; rows with a null id keep all lines; an empty table gives an empty result; ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import hidden, release, shown, small, written
+from claimloom.llm.common import hidden, meet, release, rows_of, shown, small, written
 
 KEY = ["_id", "_h"]
 
@@ -33,26 +36,62 @@ def named(pairs: DataFrame, *cols: str) -> DataFrame:
 
 
 def interval(rows: DataFrame, *cols: str) -> DataFrame:
-    """The values that two rows or more have, ranked, with the least id that has them."""
-    found = rows.groupBy(*cols).agg(F.count("*").alias("n"), F.min("_id").alias("least")).where("n > 1").drop("n")
-    return named(found, *cols)
+    """The values that two rows or more have, ranked, and how many have them."""
+    return named(rows.groupBy(*cols).agg(F.count("*").alias("many")).where("many > 1"), *cols)
+
+
+def shortest_runs(lines: DataFrame, min_chars: int) -> DataFrame:
+    """(_id, _h, at, n): for each of lines(_id, _h, at, chars) the shortest runs of adjoining lines with `min_chars` characters that start or end there.
+
+    With the characters before and up to each line as its start and stop, the run from a line ends at the first stop of
+    start + min_chars or more; one that ends at a line begins at the last start of stop - min_chars or less.
+    """
+    by = Window.partitionBy(*KEY).orderBy("at")
+    rows = lines.select(*KEY, "at", "chars", (F.col("at") - F.row_number().over(by)).alias("_run"))
+    run = Window.partitionBy(*KEY, "_run")
+    rows = rows.withColumn("stop", F.sum("chars").over(run.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("stop") - F.col("chars"))
+    event = lambda place, asks: F.struct(place.alias("place"), F.lit(asks).alias("asks"))
+    ask = lambda place, wanted: rows.select(*KEY, "_run", "at", F.inline(F.array(event(place, False), event(wanted, True))))
+    met = F.when(~F.col("asks"), F.col("at"))
+    upto = lambda *order: run.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = ask(F.col("stop"), F.col("start") + min_chars).withColumn("end", F.min(met).over(upto(F.desc("place"), "asks"))).where("asks and end is not null")
+    back = ask(F.col("start"), F.col("stop") - min_chars).withColumn("first", F.max(met).over(upto("place", "asks"))).where("asks and first is not null")
+    both = ahead.select(*KEY, "at", (F.col("end") - F.col("at") + 1).alias("n")).unionByName(back.select(*KEY, F.col("first").alias("at"), (F.col("at") - F.col("first") + 1).alias("n")))
+    return both.where("n > 0").distinct()
+
+
+def later_runs(runs: DataFrame, *name: str) -> DataFrame:
+    """(_id, _h, start, end) of the runs(_id, _h, at, n, name) whose name starts earlier elsewhere."""
+    runs = written(runs, "runs")
+    first = written(runs.groupBy(*name).agg(F.min("_id").alias("least"), F.count("*").alias("many")).where("many > 1"), "first")
+    twin = Window.partitionBy(*KEY, *name).orderBy("at")
+    met = meet(runs.withColumn("_twin", F.row_number().over(twin)), first, list(name), "many")
+    return met.where((F.col("_id") > F.col("least")) | (F.col("_twin") > 1)).select(*KEY, F.col("at").alias("start"), (F.col("at") + F.col("n")).alias("end"))
 
 
 def repeated_runs(rows: DataFrame, min_chars: int) -> DataFrame:
     """(_id, _h, start, end) of the maximal runs of lines to delete, for rows(_id, _h, _text)."""
     lines = rows.select(*KEY, F.posexplode(F.split("_text", "\n", -1)).alias("at", "line"))
     lines = lines.select(*KEY, "at", F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b"), F.length("line").cast("long").alias("chars"))
-    level = written(lines.join(small(interval(lines, "a", "b")), ["a", "b"]).select(*KEY, "at", "chars", "rank", "least"), "level")
+    level = written(meet(lines, interval(lines, "a", "b"), ["a", "b"], "many").select(*KEY, "at", "chars", "rank"), "level")
     release(rows.sparkSession)
-    size, found = 1, None
-    while not level.isEmpty():
-        twin = Window.partitionBy(*KEY, "rank").orderBy("at")
-        later = level.withColumn("_twin", F.row_number().over(twin)).where(((F.col("_id") > F.col("least")) | (F.col("_twin") > 1)) & (F.col("chars") >= min_chars))
-        runs = later.select(*KEY, F.col("at").alias("start"), (F.col("at") + size).alias("end"))
-        found = runs if found is None else found.unionByName(runs)
-        ahead = Window.partitionBy(*KEY).orderBy("at").rangeBetween(size, size)
-        pairs = level.select(*KEY, "at", F.col("rank").alias("a"), F.max("rank").over(ahead).alias("b"), (F.col("chars") + F.max("chars").over(ahead)).alias("chars")).where("b is not null")
-        level = written(pairs.join(small(interval(pairs, "a", "b")), ["a", "b"]).select(*KEY, "at", "chars", "rank", "least"), "level")
+    runs = written(shortest_runs(level, max(min_chars, 1)), "shortest")
+    size, most, found = 1, runs.agg(F.max("n")).first()[0] or 0, None
+    while size <= most and rows_of(level):
+        here = runs.where(F.col("n").between(size, 2 * size - 1))
+        one, rank = KEY + ["at"], level.select(*KEY, "at", "rank")
+        named_runs = here.join(rank.withColumnRenamed("rank", "a"), one)
+        last = rank.select(*KEY, F.col("at").alias("_last"), F.col("rank").alias("b"))
+        if size > 1:
+            named_runs = named_runs.withColumn("_last", F.col("at") + F.col("n") - size).join(last, [*KEY, "_last"])
+        else:
+            named_runs = named_runs.withColumn("b", F.col("a"))
+        gone = later_runs(named_runs.select(*KEY, "at", "n", "a", "b"), "n", "a", "b")
+        found = gone if found is None else found.unionByName(gone)
+        if 2 * size <= most:
+            ahead = Window.partitionBy(*KEY).orderBy("at").rangeBetween(size, size)
+            pairs = level.select(*KEY, "at", F.col("rank").alias("a"), F.max("rank").over(ahead).alias("b")).where("b is not null")
+            level = written(meet(pairs, interval(pairs, "a", "b"), ["a", "b"], "many").select(*KEY, "at", "rank"), "level")
         size *= 2
     if found is None:
         return rows.sparkSession.createDataFrame([], "_id long, _h long, start int, end int")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-#: Levels of doubling in op7's SQL: runs of up to 2**LEVELS lines.
-LEVELS = 12
-
 OP4 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS s FROM w WHERE len(ws) >= 50),
@@ -42,18 +39,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
-def op7(min_chars: int = 40) -> str:
-    """Runs of 1, 2, 4, ... lines by name; a run that starts earlier elsewhere is gone if it has min_chars characters."""
-    level = ["l0 AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS p, md5(unnest(ls)) AS k, length(unnest(ls)) AS n FROM t)"]
-    for step in range(LEVELS):
-        level.append(f"l{step + 1} AS (SELECT a.doc_id, a.p, md5(a.k || b.k) AS k, a.n + b.n AS n FROM l{step} a JOIN l{step} b ON a.doc_id = b.doc_id AND b.p = a.p + {1 << step} WHERE a.k IN (SELECT k FROM l{step} GROUP BY k HAVING count(*) > 1))")
-    run = " UNION ALL ".join(f"SELECT doc_id, unnest(range(p, p + {1 << step})) AS p FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM l{step}) WHERE nth > 1 AND n >= {min_chars}" for step in range(LEVELS + 1))
-    return f"""
+OP7 = """
 WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-{", ".join(level)},
-gone AS (SELECT DISTINCT doc_id, p FROM ({run})),
-starts AS (SELECT doc_id, count(*) AS n FROM gone g WHERE NOT EXISTS (SELECT 1 FROM gone h WHERE h.doc_id = g.doc_id AND h.p = g.p - 1) GROUP BY doc_id),
 line AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS p, unnest(ls) AS line FROM t),
+pair AS (SELECT a.doc_id AS d, a.p AS p, b.doc_id AS e, b.p AS q, length(a.line) AS n FROM line a JOIN line b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.p < a.p))),
+run AS (SELECT *, p - row_number() OVER (PARTITION BY d, e, p - q ORDER BY p) AS k FROM pair),
+common AS (SELECT d, min(p) AS first, max(p) AS last FROM run GROUP BY d, e, p - q, k HAVING sum(n) >= 40),
+gone AS (SELECT DISTINCT d AS doc_id, unnest(range(first, last + 1)) AS p FROM common),
+starts AS (SELECT doc_id, count(*) AS n FROM gone g WHERE NOT EXISTS (SELECT 1 FROM gone h WHERE h.doc_id = g.doc_id AND h.p = g.p - 1) GROUP BY doc_id),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS t FROM line ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - coalesce(kept.n, 0), 0)::BIGINT AS n_removed,
   coalesce(starts.n, 0)::BIGINT AS n_runs, CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(kept.t, '')) END AS kept_sha256
@@ -84,4 +77,4 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, CASE WHEN n IS NULL THEN
 """
 
 
-SQL = {"op5_licences": op5(), "op4_difference_cover": OP4, "op6_fm_index": OP6, "op7_suffix_array": op7(), "op10_top_k": OP10}
+SQL = {"op5_licences": op5(), "op4_difference_cover": OP4, "op6_fm_index": OP6, "op7_suffix_array": OP7, "op10_top_k": OP10}

@@ -55,8 +55,9 @@ def one_each(rows):
 def both_ways(request, monkeypatch):
     """The joins with and without broadcast sides."""
     if request.param == "shuffle":
-        for module in (components, lines, private, shards, simhash, substrings):
+        for module in (common, components, lines, private, shards, simhash, substrings):
             monkeypatch.setattr(module, "small", lambda df, bound=0: df)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
 
 
 def test_simhash(docs, empty, both_ways):
@@ -219,21 +220,40 @@ def test_fm_index_against_scanning():
 
 
 def plain_lines(rows, min_chars=40):
+    """All runs of all lengths; rows {id: text}."""
     seqs = {d: t.split("\n") for d, t in rows.items() if t is not None}
     gone = {d: set() for d in seqs}
-    size = 1
-    while any(len(s) >= size for s in seqs.values()):
-        first = {}
+    for size in range(1, max(map(len, seqs.values()), default=0) + 1):
+        first, some = {}, False
         for d in sorted(seqs):
             for i in range(len(seqs[d]) - size + 1):
                 run = tuple(seqs[d][i : i + size])
-                if run in first and sum(map(len, run)) >= min_chars:
-                    gone[d] |= set(range(i, i + size))
+                if run in first:
+                    some = True
+                    if sum(map(len, run)) >= min_chars:
+                        gone[d] |= set(range(i, i + size))
                 first.setdefault(run, (d, i))
-        size *= 2
+        if not some:
+            break
     return {d: "\n".join(x for i, x in enumerate(s) if i not in gone[d]) for d, s in seqs.items()}
 
 
+def test_lines_of_any_length(spark, both_ways, monkeypatch):
+    """Runs of few and many short lines, empty ones among them, in documents and across them."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    r = random.Random(8)
+    parts = [["x" * 15] * 3, ["y" * 19, "z" * 19, "w" * 19], ["v" * 9] * 7, ["u" * 2] * 31, ["a" * 39, "", "", "", "b" * 39], ["p" * 20, "q" * 20, "r" * 5], ["", "", ""], ["c" * 60], ["d" * 39], [f"{k}" for k in range(50)]]
+    rows = {}
+    for d in range(40):
+        some = [f"own {d} {k} {r.random()}" if r.random() < 0.3 else r.choice(parts) for k in range(r.randint(1, 9))]
+        rows[d] = "\n".join(x for s in some for x in ([s] if isinstance(s, str) else s[r.randint(0, 1) : len(s) - r.randint(0, 1)]))
+    want = plain_lines(rows)
+    frame = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    assert {x["doc_id"]: x["text"] for x in lines.line_dedup(frame).collect()} == want
+    assert sum(w != rows[d] for d, w in want.items()) > 25
+
+
 def test_lines(docs, empty, both_ways):
     want = plain_lines(UNIQUE)
     got = lines.line_dedup(docs).collect()
