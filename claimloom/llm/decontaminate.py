@@ -241,7 +241,10 @@ def contaminated(n_hit, n_words):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """Documents that aren't contaminated, with their columns; the spans that they share with items are cut out."""
+    """Documents that aren't contaminated, with their columns; the spans that they share with items are cut out.
+
+    Null and empty texts stay as they are; without items all documents stay; rows that repeat are treated alike.
+    """
     rows, names = hidden(docs)
     keep = tuple(h for c, h in names.items() if c != "text")
     found = benchmark_spans(rows, items, window, keep, text=names["text"], cut=True)

@@ -8,8 +8,9 @@ fingerprints in small nodes directly, and returns a spanning forest of its links
 into all their pairs.
 
 Defined results: a null text counts as empty; an empty text has fingerprint zero and links like any other; documents
-with equal fingerprints are linked; rows that repeat an id count as one document for each text; rows with null ids take
-no part in groups (their component is null); an empty table gives an empty result.
+with equal fingerprints are linked; rows that repeat an id count as one document for each text and give one result row
+each; rows with null ids take no part in groups (their component is null); an empty table gives an empty result; ids are
+whole numbers.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import fields, modest_batches, release, small, with_columns, written
+from claimloom.llm.common import fields, hidden, meet, modest_batches, release, rows_of, shown, small, with_columns, written
 from claimloom.llm.components import components
 
 #: The seed of a shingle's XXH64.
@@ -32,6 +33,8 @@ SEED = 42
 DIRECT = 64
 #: Node pairs that the walk holds at a level; more are walked in halves, one after the other.
 FRONT = 1 << 16
+#: Fingerprints of a leaf of the planned top, leaves that it has at most (about twice as many), rows that a home holds.
+LEAF, LEAVES, MOST_ROWS = 1 << 17, 2048, 1 << 22
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -180,12 +183,12 @@ class Forest:
 def leaves(prints: DataFrame, leaf: int, bits: int) -> list[tuple[int, int]]:
     """(first fingerprint, depth) of the subtries with at most `leaf` fingerprints, in order, for prints(_print long).
 
-    Counts come by 8 more bits at a time, below crowded nodes only, so about 256 * rows / leaf counts reach the driver.
+    Counts come by 4 more bits at a time, below crowded nodes only, so at most 16 * rows / leaf counts a step reach the driver.
     """
     crowded, out = {0: 0}, []
     sign = 1 << 63
-    for depth in range(0, bits, 8):
-        step = min(8, bits - depth)
+    for depth in range(0, bits, 4):
+        step = min(4, bits - depth)
         shift = bits - depth - step
         prefix = F.shiftrightunsigned("_print", shift)
         rows = prints
@@ -332,187 +335,53 @@ def _linked(group: pa.Table, met, forest: bool) -> pa.Table:
     return pa.table({"a": pa.array(rep[child], pa.int64()), "b": pa.array(rep[parent], pa.int64())})
 
 
-def _open(group: pa.Table, met) -> pa.Table:
-    """The fingerprints that more than one group has or that meet a fingerprint of another group."""
-    group = _order(group, "_print")
-    prints, links = met(group)
-    low, high = (group.column(c).to_numpy() for c in ("_low", "_high"))
-    found = low != high
-    for x, y in links:
-        foreign = np.minimum(low[x], low[y]) != np.maximum(high[x], high[y])
-        found[x[foreign]] = found[y[foreign]] = True
-    return pa.table({"_print": pa.array(prints[found].view(np.int64))})
-
-
-def _blocks(a_low, a_n, b_low, b_n, limit: int = 1 << 15):
-    """The ranges' index pairs in blocks of not many more than `limit`."""
-    step = np.maximum(1, np.minimum(a_n, limit // np.maximum(b_n, 1)))
-    pieces = -(-a_n // step)
-    of = np.repeat(np.arange(len(a_n)), pieces)
-    skip = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * step[of]
-    low, n = a_low[of] + skip, np.minimum(step[of], a_n[of] - skip)
-    block = np.cumsum(n * b_n[of]) // limit
-    for some in np.split(np.arange(len(of)), np.flatnonzero(np.diff(block)) + 1):
-        if len(some):
-            yield of[some], low[some], n[some], b_low[of[some]], b_n[of[some]]
-
-
-def _compared(group: pa.Table, met, most: int) -> pa.Table:
-    """Links between groups of which two members meet and whose whole signatures differ in at most `most` bits.
-
-    Rows of one fingerprint and one group are a cell; only cells of different groups that aren't yet linked are compared.
-    """
-    group = _order(group, "_print", "_root")
-    prints, links = met(group)
-    names, root = np.unique(group.column("_root").to_numpy(), return_inverse=True)
-    rows = group.column("_print").to_numpy().view(np.uint64)
-    signature = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint64).reshape(len(rows), -1)
-    first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (root[1:] != root[:-1]))))
-    size, owner = np.diff(np.concatenate((first, [len(rows)]))), root[first]
-    low = np.searchsorted(rows[first], prints)
-    held = np.searchsorted(rows[first], prints, "right") - low
-    found = Forest(len(names))
-
-    def compare(x: np.ndarray, y: np.ndarray) -> None:
-        for _, a_low, a_n, b_low, b_n in _blocks(low[x], held[x], low[y], held[y]):
-            a, b = _pairs(a_low, a_n, b_low, b_n)
-            new = found.root[owner[a]] != found.root[owner[b]]
-            a, b = a[new], b[new]
-            for of, *ranges in _blocks(first[a], size[a], first[b], size[b]):
-                if (found.root[owner[a[of]]] == found.root[owner[b[of]]]).all():
-                    continue
-                i, j = _pairs(*ranges)
-                near = np.bitwise_count(signature[i] ^ signature[j]).sum(1, dtype=np.int64) <= most
-                found.add(root[i[near]], root[j[near]])
-
-    several = np.flatnonzero(held > 1)
-    compare(several, several)
-    for x, y in links:
-        compare(x, y)
-    child, parent = found.links()
-    return pa.table({"a": pa.array(names[child], pa.int64()), "b": pa.array(names[parent], pa.int64())})
-
+def print_links(prints: DataFrame, bits: int = 64, budget: int = 2, exact: int = 0, forest: bool = True, leaf: int = LEAF, most_rows: int = MOST_ROWS) -> DataFrame:
+    """Links (a, b) between the `_rep`s of prints(_print long, _rep long), from written(), one row for each fingerprint.
 
-def walked(prints: DataFrame, work, result: str, bits: int, budget: int, exact: int, leaf: int, most_rows: int | None = None) -> DataFrame:
-    """work(rows of a home, met) for each home; the rows are prints(_print long, ...), and met walks the home's pairs.
-
-    Equal fingerprints may make a home larger than its leaves; with `most_rows` such a home falls into parts by `_salt`,
-    and each pair of parts is a home of its own.
+    With `forest` they span all links; without, each fingerprint is linked to its least, last smaller and nearest partner.
+    The plan on the driver has at most about 2 * LEAVES leaves: beyond leaf * LEAVES fingerprints leaves grow, and a home
+    of more than `most_rows` rows falls into parts by `_salt`, each pair of which is a home of its own.
     """
-    tops = leaves(prints, leaf, bits)
+    tops = leaves(prints, max(leaf, rows_of(prints) // LEAVES), bits)
     if not tops:
-        return prints.sparkSession.createDataFrame([], result)
+        return prints.sparkSession.createDataFrame([], "a long, b long")
     pairs = np.array(leaf_pairs(tops, bits, budget, exact), np.int64).reshape(-1, 2)
     starts = np.array([first for first, _ in tops], np.uint64)
-    deal = lambda frame, parts: frame.mapInArrow(lambda batches: _deal(batches, starts, pairs, parts), f"_home long, _piece long, _leaf long, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in frame.schema.fields)}")
-    parts = {}
-    if most_rows:
-        crowded = deal(prints.select("_print"), {}).groupBy("_home").count().where(F.col("count") > most_rows)
-        parts = {r[0]: -(-r[1] // most_rows) for r in crowded.collect()}
+    rows = prints.select("_print", "_rep", F.expr("xxhash64(_print) & 9223372036854775807").alias("_salt"))
+    kind = "_home long, _piece long, _leaf long, _print long, _rep long, _salt long"
+    deal = lambda parts: rows.mapInArrow(lambda batches: _deal(batches, starts, pairs, parts), kind)
+    crowded = deal({}).groupBy("_home").count().where(F.col("count") > most_rows).collect()
+    parts = {r[0]: -(-2 * r[1] // most_rows) for r in crowded}
     met = lambda group: _met(group, pairs, bits, budget, exact)
-    return deal(prints, parts).groupBy("_home", "_piece").applyInArrow(lambda group: work(group, met), result)
-
-
-def print_links(prints: DataFrame, bits: int = 64, budget: int = 2, exact: int = 0, forest: bool = True, leaf: int = 1 << 17) -> DataFrame:
-    """Links (a, b) between the `_rep`s of prints(_print long, _rep long), one row for each fingerprint.
-
-    With `forest` they span all links; without, each fingerprint is linked to its least, last smaller and nearest partner.
-    """
-    return walked(prints.select("_print", "_rep"), lambda group, met: _linked(group, met, forest), "a long, b long", bits, budget, exact, leaf)
+    return deal(parts).groupBy("_home", "_piece").applyInArrow(lambda group: _linked(group, met, forest), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, leaf: int = 1 << 17) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, budget: int = 2, leaf: int = LEAF) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id (smallest doc_id reachable)."""
     spark = docs.sparkSession
     signed = signatures(docs.select("doc_id", "text"), words)
     number = F.conv(F.hex("signature"), 16, -10).cast("long")
-    signed = written(signed.select("doc_id", number.alias("_print")).distinct(), "signed")
-    prints = written(signed.where(F.col("doc_id").isNotNull()).groupBy("_print").agg(F.min("doc_id").alias("_rep")), "prints")
+    signed = written(signed.select("doc_id", number.alias("_print")), "signed")
+    prints = written(signed.where(F.col("doc_id").isNotNull()).groupBy("_print").agg(F.min("doc_id").alias("_rep"), F.count("*").alias("many")), "prints")
     release(spark)
     roots = components(print_links(prints, 64, budget, leaf=leaf))
-    grouped = written(prints.join(small(roots), prints["_rep"] == roots["node"], "left").select("_print", F.coalesce("root", "_rep").alias("component_id")), "grouped")
-    full = signed.join(small(grouped), "_print", "left")
-    return full.select("doc_id", F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-# --- one of each group of near copies -------------------------------------------------------------------------------
-
-#: Long signatures: MANY * 64 bits, cut into tables of KEY bits, each walked as a trie with BUDGET errors.
-MANY, KEY, BUDGET = 16, 32, 2
-#: Rows with whole signatures that a leaf holds.
-REST_LEAF = 1 << 15
-
-
-def bit_budget(similarity: float, bits: int = MANY * 64) -> int:
-    """Bits that signatures of two shingle sets of equal size and this Jaccard similarity differ in on average."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def _alike(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("_sig_a", "_sig_b"))
-            fine = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fine))
-
-
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, leaf: int = 1 << 17) -> DataFrame:
-    """(doc_id, component_id) of documents that aren't the smallest of their group of near copies.
-
-    Two documents are near copies if their signatures differ in at most the bits that `similarity` leaves.  The signature's
-    tables are walked together, the table's number as leading bits that must agree; candidates are then held against the
-    whole signature.  This is an estimate, weakest for short and repetitive texts; `one_of_each` doesn't use it.
-    """
-    spark = docs.sparkSession
-    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(signatures(known, words, MANY).distinct(), "signed")
-    one = written(signed.groupBy("signature").agg(F.min("doc_id").alias("_rep")), "signatures")
-    release(spark)
-    tables = MANY * 64 // KEY
-    lead = (tables - 1).bit_length()
-    part = lambda t: F.conv(F.hex(F.substring("signature", t * KEY // 8 + 1, KEY // 8)), 16, 10).cast("long") + F.lit(t << KEY)
-    keys = one.select("_rep", F.explode(F.array(*[part(t) for t in range(tables)])).alias("_print"))
-    prints = written(keys.groupBy("_print").agg(F.min("_rep").alias("_rep"), F.max("_rep").alias("_most")), "prints")
-    shared = prints.where("_rep < _most").select("_print", F.col("_rep").alias("b"))
-    equal = keys.join(shared, "_print").select(F.col("_rep").alias("a"), "b").where("a <> b")
-    trie = print_links(prints, KEY + lead, BUDGET, lead, forest=False, leaf=leaf)
-    pairs = written(equal.unionByName(trie).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    release(spark)
-    side = lambda name: one.select(F.col("_rep").alias(name), F.col("signature").alias(f"_sig_{name}"))
-    most = bit_budget(similarity)
-    alike = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_sig_a", "_sig_b").mapInArrow(lambda batches: _alike(batches, most), "a long, b long")
-    roots = components(alike)
-    grouped = written(one.join(small(roots), one["_rep"] == roots["node"], "left").select("signature", F.coalesce("root", "_rep").alias("_root"), F.xxhash64("_rep").alias("_salt")), "grouped")
-    later = components(_rest(grouped, part, tables, KEY + lead, lead, most, leaf))
-    grouped = grouped.join(small(later), grouped["_root"] == later["node"], "left").select("signature", F.coalesce("root", "_root").alias("component_id"))
-    return signed.join(grouped, "signature").select("doc_id", "component_id").where("doc_id <> component_id")
-
-
-def _rest(grouped: DataFrame, part, tables: int, bits: int, lead: int, most: int, leaf: int) -> DataFrame:
-    """Links (a, b) between the groups found so far: every pair of different groups that meets in a table is compared.
-
-    The first walk keeps three partners of a fingerprint in a table.  This one finds the fingerprints that still meet
-    another group; only their rows, with the whole signatures, meet once more and are compared in their homes.
-    """
-    spark = grouped.sparkSession
-    keys = lambda *cols: grouped.select(*cols, F.explode(F.array(*[part(t) for t in range(tables)])).alias("_print"))
-    spans = written(keys("_root").groupBy("_print").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")), "spans")
-    open_ = written(walked(spans, _open, "_print long", bits, BUDGET, lead, leaf).distinct(), "open")
-    release(spark)
-    rows = written(keys("_root", "_salt", "signature").join(small(open_), "_print").select("_print", "_root", F.expr("_salt & 9223372036854775807").alias("_salt"), "signature"), "rest")
-    compare = lambda group, met: _compared(group, met, most)
-    return written(walked(rows, compare, "a long, b long", bits, BUDGET, lead, REST_LEAF, 2 * REST_LEAF).distinct(), "later")
+    grouped = written(prints.join(small(roots), prints["_rep"] == roots["node"], "left").select("_print", F.coalesce("root", "_rep").alias("component_id"), "many"), "grouped")
+    full = meet(signed.where(F.col("doc_id").isNotNull()), grouped, ["_print"], "many").select("doc_id", "_print", "component_id").unionByName(signed.where(F.col("doc_id").isNull()).withColumn("component_id", F.lit(None).cast("long")))
+    return full.select("doc_id", F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents, with their columns, without all but the smallest id of each group; one row for each id.
+    """The documents, with their columns, without all but the smallest id of each group of near copies (`jaccard`).
 
-    Groups are those of the exact similarity (`jaccard`), not of the signatures' estimate.
+    Of rows that repeat an id the first by text, then by the other columns as JSON, is the document; rows with a null id
+    stay.  A null text counts as empty, and of all empty texts one stays; an empty table gives an empty result.
     """
     from claimloom.llm import jaccard
 
-    gone = written(jaccard.near_copies(docs, words, similarity).select("doc_id").distinct(), "gone")
-    if not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
-        null = docs.where(F.col("doc_id").isNull())
-        docs = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(null)
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows, names = hidden(docs)
+    key, text = names["doc_id"], names["text"]
+    if not rows.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        order = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first(), F.to_json(F.struct(*names.values())))
+        rows = written(rows.withColumn("_n", F.row_number().over(order)).where(F.col(key).isNull() | (F.col("_n") == 1)).drop("_n"), "first")
+    gone = written(jaccard.near_copies(rows.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), words, similarity).select("doc_id"), "gone")
+    return shown(rows.join(small(gone), rows[key] == gone["doc_id"], "left_anti"), names)
