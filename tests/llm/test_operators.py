@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+import textwrap
 
 import brute
 import numpy as np
@@ -351,8 +353,61 @@ def test_licences(spark, empty):
 
 
 def test_known_sentences_hold_cue_words():
-    import re
+    for _, sentences in licences.known():
+        for name, one in sentences:
+            plain = re.sub(r"\(\?:|[()?*|\\]|\.\*", " ", one)
+            assert re.search(licences.CUE.replace("[sc]", "."), re.sub(r"\[sc\]", "s", plain)), name
 
-    for name, one in licences.SENTENCES:
-        plain = re.sub(r"\(\?:|[()?*|\\]|\.\*", " ", one)
-        assert re.search(licences.CUE.replace("[sc]", "."), re.sub(r"\[sc\]", "s", plain)), name
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE."""
+APACHE = """Copyright 2020 A. Body
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY."""
+PUBLISHED = [(MIT, "MIT"), (BSD2 + BSD_END, "BSD-2-Clause"), (BSD2 + BSD3 + BSD_END, "BSD-3-Clause"), (ISC, "ISC"), (APACHE, "Apache-2.0"), (GPL, "GPL-3.0"), (GPL.replace(":", ";").replace("version 3", "version 2"), "GPL-2.0")]
+
+
+def forms(text):
+    """The text as it is, wrapped, and as comments."""
+    fill = lambda width: "\n".join(textwrap.fill(line, width, initial_indent=line[: len(line) - len(line.lstrip())]) for line in text.split("\n"))
+    return [text, fill(80), fill(38), fill(70).replace("\n", "\r\n"), *("\n".join(f"{lead} {line}".rstrip() for line in fill(72).split("\n")) for lead in ("#", "//", " *", "--")), f"A heading of some kind\nThe title\n\n{fill(80)}\n\nOther words follow.\nAnd more."]
+
+
+def test_published_licences_wrapped_and_not(spark):
+    rows = [(k, form, name) for k, (form, name) in enumerate((form, name) for text, name in PUBLISHED for form in forms(text))]
+    got = {r["doc_id"]: [tuple(x) for x in r["licences"]] for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string, name string")).collect()}
+    assert {k: got[k] for k, _, _ in rows} == {k: [(name, 1)] for k, _, name in rows}
+
+
+def test_names_and_notices(spark):
+    rows = {
+        "Released under CC  BY 4.0.": "CC-BY-4.0", "Licensed under the Creative Commons Attribution-NonCommercial 3.0 Unported License": "CC-BY-NC-3.0", "Some prose\nwithout marks\nReleased under the\nMIT License": "MIT",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0", "# SPDX-License-Identifier: CC-BY-SA-4.0": "CC-BY-SA-4.0", "SPDX-License-Identifier: Unknown-1.0": None, "licensed under the Mozilla Public License v2.0": "MPL-2.0",
+        "This file is in the public domain.": "Public-Domain", "Copyright (c) 2001\nAll rights reserved.": "Proprietary", "Released under the MIT License and others": None, "Licensed under the EUPL": None,
+    }
+    listed = list(rows)
+    got = licences.licences(spark.createDataFrame(list(enumerate(listed)), "doc_id long, text string")).collect()
+    assert {listed[r["doc_id"]]: (r["licences"][0]["licence"] if r["licences"] else None) for r in got} == rows
