@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import fields, hidden, modest_batches, shown, with_columns
+from claimloom.llm.common import discard, fields, hidden, modest_batches, shown, with_columns, written
 
 #: Lower-cases A-Z; ASCII bytes other than letters and digits become spaces; bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
@@ -72,7 +72,8 @@ class FmIndex:
             counts = np.concatenate(([0], np.cumsum(ones, dtype=np.int32)))
             self.levels.append((bit, counts, len(row) - int(counts[-1])))
             row = np.concatenate((row[~ones], row[ones]))
-        self.place = np.where((order % SAMPLE == 0) | (last == 0), order, -1)
+        self.sampled = np.flatnonzero((order % SAMPLE == 0) | (last == 0)).astype(np.int32)
+        self.places = order[self.sampled].astype(np.int32)
 
     def rank(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each row of the transform."""
@@ -99,35 +100,41 @@ class FmIndex:
         return low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
-        at, steps = rows.copy(), np.zeros(len(rows), np.int64)
-        open_ = np.flatnonzero(self.place[at] < 0)
-        while len(open_):
+        """The positions of the rows' suffixes: each steps back to a sampled one."""
+        at, steps, k = rows.copy(), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        open_ = np.arange(len(rows))
+        while True:
+            k[open_] = np.searchsorted(self.sampled, at[open_])
+            open_ = open_[self.sampled[np.minimum(k[open_], len(self.sampled) - 1)] != at[open_]]
+            if not len(open_):
+                return self.places[k] + steps
             symbol = self.last[at[open_]]
             at[open_] = self.before[symbol] + self.rank(symbol, at[open_])
             steps[open_] += 1
-            open_ = open_[self.place[at[open_]] < 0]
-        return self.place[at] + steps
 
 
 class Phrases:
-    """All windows of the items, as rows of vocabulary numbers, and the items of each window."""
+    """The distinct windows of the items as rows of vocabulary numbers, filled up with 0 on the left, and the items of each.
+
+    A window takes 4 bytes a word and about 12 more.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = {}
         self.names = sorted({name for name, _ in items})
         number = {name: k for k, name in enumerate(self.names)}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
         for name, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for start in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[start : start + window]), set()).add(number[name])
-        self.length = np.array([len(p) for p in owners], np.int64)
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                padded = np.concatenate((np.zeros(max(0, window - len(ids)), np.int32), ids))
+                rows.append(np.unique(np.lib.stride_tricks.sliding_window_view(padded, window), axis=0))
+                owners.append(np.full(len(rows[-1]), number[name], np.int32))
+        self.rows, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.length = (self.rows > 0).sum(1)
         self.shortest = int(self.length.min(initial=window))
-        self.rows = np.zeros((len(owners), window), np.int64)
-        for k, p in enumerate(owners):
-            self.rows[k, window - len(p) :] = p
-        self.owner_at = np.concatenate(([0], np.cumsum([len(x) for x in owners.values()], dtype=np.int64)))
-        self.owner = np.array([x for own in owners.values() for x in sorted(own)], np.int64)
+        self.owner = np.concatenate(owners)[np.argsort(which.ravel(), kind="stable")]
+        self.owner_at = np.concatenate(([0], np.cumsum(np.bincount(which.ravel(), minlength=len(self.rows)), dtype=np.int64)))
 
 
 def _spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,23 +220,30 @@ def _mark(batches: Iterator[pa.RecordBatch], phrases: Phrases, keep: list[str],
         })
 
 
-def benchmark_spans(docs: DataFrame, items: DataFrame, window: int = 13, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 32 << 20, cut: bool = False) -> DataFrame:
+def benchmark_spans(docs: DataFrame, items: DataFrame, window: int = 13, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 4 << 20, cut: bool = False) -> DataFrame:
     """The kept columns, n_words, n_hit, spans array<struct<start,end>> (merged word spans, end exclusive), items array<string>.
 
-    With `cut` also `left`, the text without its spans.  Items go to the executors in blocks of about block_bytes at
-    most; each block is one pass over the documents' rows, without a shuffle.
+    With `cut` also `left`, the text without its spans.  The driver and each task hold the phrases of one block of items, of
+    about block_bytes, at a time; each block is one pass over the documents, without a shuffle, and all passes but the
+    last are written to the shared folder, so that their phrases can go.
     """
     modest_batches(docs.sparkSession)
     keep = list(keep)
-    items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text"))
+    items = written(items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("name"), F.col(item_text).cast("binary").alias("text")), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     out = docs.select(*keep, F.col(text).cast("binary").alias("_text"), F.lit(None).cast("string").alias("_left"), F.lit(0).cast("long").alias("_n"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_items"))
     kind = fields(docs, keep, "_text binary, _left string, _n bigint, _spans array<struct<start:bigint,end:bigint>>, _items array<string>")
+    past = None
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).collect()
-        phrases = Phrases([(r["name"], bytes(r["text"])) for r in rows], window)
-        out = out.mapInArrow(lambda batches, phrases=phrases, last=block == blocks - 1: _mark(batches, phrases, keep, cut and last), kind)
+        rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block).collect()
+        phrases, last = Phrases([(r["name"], bytes(r["text"])) for r in rows], window), block == blocks - 1
+        out = out.mapInArrow(lambda batches, phrases=phrases, last=last: _mark(batches, phrases, keep, cut and last), kind)
+        if not last:
+            done, out = past, written(out, "marked")
+            past = out
+            if done is not None:
+                discard(done)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     left = [F.col("_left").alias("left")] if cut else []
     return out.select(*keep, F.col("_n").alias("n_words"), hit.alias("n_hit"), F.col("_spans").alias("spans"), F.array_sort(F.array_distinct("_items")).alias("items"), *left)

@@ -169,6 +169,16 @@ def test_decontaminate(spark, docs, empty):
     assert all(brute.benchmark_hits(r["text"], real)[2] == 0 or r["text"] == UNIQUE[d] for d, r in rows.items())
 
 
+def test_phrases_stay_small():
+    import pickle
+
+    r = random.Random(1)
+    items = [(str(k), " ".join(f"w{r.randrange(20000)}" for _ in range(150)).encode()) for k in range(1200)]
+    size = sum(len(t) for _, t in items)
+    phrases = decontaminate.Phrases(items, 13)
+    assert len(phrases.rows) == 1200 * 138 and len(pickle.dumps(phrases)) < 12 * size
+
+
 def test_fm_index_against_scanning():
     r = np.random.default_rng(3)
     text = np.append(r.integers(0, 4, 400), 0)
@@ -294,6 +304,24 @@ def test_top_k(spark):
     assert topk.top_k(frame.limit(0)).collect() == []
 
 
+def test_top_k_of_repeated_ids(spark):
+    """A query for each distinct vector; candidates with its id take no part, however often others repeat."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), *[(1, [3.0, 1.0])] * 3, (2, [1.0, 4.0])]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect()))
+    one, other = [(0, 1, 1, 3 << 20), (0, 2, 1, 3 << 20)], [(0, 1, 2, 4 << 20), (0, 2, 1, 1 << 20)]
+    assert got == sorted(one + other)
+
+
+def test_approximations_bound_all_products():
+    r = np.random.default_rng(6)
+    vectors = (r.normal(size=(500, 16)) * 1000).astype(np.int64)
+    cells, low, width = topk.approximated(vectors)
+    file = {"size": 16, "ids": np.arange(500).tobytes(), "cells": cells.tobytes(), "low": low.tobytes(), "width": width.tobytes()}
+    middle, half, _ = topk.bounds(vectors[:40], np.full(40, -1), file)
+    exact = vectors[:40] @ vectors.T
+    assert (np.abs(exact - middle) <= half[:, None]).all()
+
+
 def test_top_k_of_large_numbers(spark):
     rows = [(i, [float((-1) ** i * 2**20 + i), 2.0**20]) for i in range(150)]
     got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
