@@ -2,7 +2,7 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers.  Each valid base span names a protected
 entity.  The words of a document outside its base spans are the context of all its entities.  Over the whole corpus, the
-pointwise mutual information of an entity and a word, counted by documents and divided by the entity's own information,
+pointwise mutual information of an entity and a word, counted by documents (words over all rows) and divided by the entity's own information,
 is the share of the entity that the word discloses.  Every occurrence of a word whose share reaches `generalise`, in
 every document that holds the entity, is replaced by a class; where it reaches `remove`, it is deleted; both are added
 as spans of kind `term`.  A word and an entity count only if at least `support` documents hold them together.
@@ -10,8 +10,8 @@ as spans of kind `term`.  A word and an entity count only if at least `support`
 Positions come without user functions: splitting a text by a pattern gives the gaps and extracting all matches gives
 the matches, in the same order; sums of their lengths are code-point offsets.
 
-Defined results: a null text counts as empty; rows with equal id and text count once, as do their spans; a row that
-shares an id with another text stays a row of its own; an empty table gives an empty result; other columns play no part.
+Defined results: a null text counts as empty; rows with equal id and text count as one document and give a result
+row each; a row that shares an id with another text is a document of its own; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -119,8 +119,8 @@ def occurrences(docs: DataFrame, masks: DataFrame, told: DataFrame) -> DataFrame
     return rows.join(told, same(rows, told) & (rows["term"] == told["term"])).select(rows["_id"], rows["_h"], (F.col("end") - F.col("n")).alias("start"), "end", "share")
 
 
-def private_spans(docs: DataFrame, support: int = 2, generalise: float = 0.5, remove: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: the id, and spans array<struct<start, kind, end, action>> in order of start and kind."""
+def _grouped(docs: DataFrame, support: int = 2, generalise: float = 0.5, remove: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, _h, n, spans: the spans of the n rows that share id and text."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     base = written(base_spans(rows), "base")
     masks = written(base.groupBy("_id", "_h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), "masks")
@@ -133,20 +133,29 @@ def private_spans(docs: DataFrame, support: int = 2, generalise: float = 0.5, re
     key = ["_id", "_h"]
     nothing = F.lit(None).cast("struct<start:bigint,kind:int,end:bigint,action:string>").alias("span")
     every = rows.select(*key, nothing).unionByName(base.select(*key, span(F.col("kind"), F.lit("remove")))).unionByName(added.select(*key, span(F.lit(len(PATTERNS)), F.col("action"))))
-    return every.groupBy(*key).agg(F.array_sort(F.collect_set("span")).alias("spans")).select(F.col("_id").alias(id_col), "_h", "spans")
+    return every.groupBy(*key).agg(F.array_sort(F.collect_set("span")).alias("spans"), F.count_if(F.col("span").isNull()).alias("n")).select(F.col("_id").alias(id_col), "_h", "n", "spans")
+
+
+def private_spans(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """A row for each document: the id, and spans array<struct<start, kind, end, action>> in order of start and kind."""
+    return _grouped(docs, id_col=id_col, **options).select(id_col, "_h", "spans", F.explode(F.sequence(F.lit(1), "n")).alias("_n")).drop("_n")
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """The documents with spans replaced: base spans and removed terms by their kind's name, others by <WORD>."""
+    """The documents with base spans replaced by their kind's name, removed terms by nothing, other terms by their class.
+
+    A term's class is its form: <ABBREVIATION> in capitals, <NAME> with a capital at its start, else <WORD>.
+    """
     kinds = F.array(*[F.lit(f"<{k.upper()}>") for k, _, _ in PATTERNS], F.lit(""))
     rows, names = hidden(docs)
-    found = private_spans(docs, **options).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), "spans").where(F.size("spans") > 0)
+    found = _grouped(docs, **options).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_g"), "spans").where(F.size("spans") > 0)
     text = F.col(names["text"])
     same = F.col(names["doc_id"]).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_g"))
+    form = lambda word: F.when(word.rlike(r"^\p{Lu}+$"), "<ABBREVIATION>").when(word.rlike(r"^\p{Lu}"), "<NAME>").otherwise("<WORD>")
     reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda s: s["end"])), F.lit(0))
     piece = F.transform("spans", lambda s, i: F.concat(
         F.substring(text, (reach(i) + 1).cast("int"), F.greatest(F.lit(0), s["start"] - reach(i)).cast("int")),
-        F.when(s["start"] < reach(i), "").when(s["action"] == "generalise", "<WORD>").otherwise(F.get(kinds, s["kind"]))))
+        F.when(s["start"] < reach(i), "").when(s["action"] == "generalise", form(F.substring(text, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))).otherwise(F.get(kinds, s["kind"]))))
     tail = F.substring(text, (reach(F.size("spans")) + 1).cast("int"), F.length(text))
     clean = F.when(F.col("spans").isNotNull(), F.concat(F.array_join(piece, ""), tail)).otherwise(text)
     return shown(rows.join(found, same, "left"), names, text=clean)
