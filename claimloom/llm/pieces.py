@@ -10,6 +10,9 @@ is a byte-pair one, for which that path is not the encoder's result: its units s
 scored edge that spans two neighbours, leftmost first, joins them until no such edge is left.  Characters without a piece
 fall back to the pieces of their UTF-8 bytes.
 
+The units of a batch that aren't known from earlier ones are indexed together, at most INDEXED characters at a time.  A longer
+unit (a text without spaces) is cut where no piece crosses; a part that is still longer is joined by a heap over its edges.
+
 Defined results: a null text has null ids, an empty one none; U+2581 in a text counts as a space; rows that repeat are
 encoded alike; other columns are passed on only if named in `keep`.
 """
@@ -71,8 +74,8 @@ class Pieces:
 
     # --- matching ---------------------------------------------------------------------------------------------------
 
-    def edges(self, text: str) -> np.ndarray:
-        """edge[position, length]: the piece that stands there, or -1, from the suffix array of the text."""
+    def matches(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, length and number of all pieces that stand in a text, by position, from its suffix array."""
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         alphabet, dense = np.unique(codes, return_inverse=True)
         dense = np.append(dense + 1, np.zeros(self.depth, np.int64)).astype(np.uint64)
@@ -111,10 +114,76 @@ class Pieces:
         many = np.maximum(high - low, 0)
         which = np.repeat(np.arange(len(some)), many)
         at = suffixes[low[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)]
-        edge = np.full((n, self.depth + 1), -1, np.int32)
-        edge[at, sizes[which]] = ids[which]
+        by = np.argsort(at, kind="stable")
+        return at[by], sizes[which][by], ids[which][by]
+
+    def edges(self, text: str) -> np.ndarray:
+        """edge[position, length]: the piece that stands there, or -1."""
+        at, size, piece = self.matches(text)
+        edge = np.full((len(text), self.depth + 1), -1, np.int32)
+        edge[at, size] = piece
         return edge
 
+    def sliced(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """position * (depth + 1) + length, in order, and number of the pieces in a long text, INDEXED characters at a time."""
+        keys, pieces = [], []
+        for start in range(0, len(text), INDEXED):
+            at, size, piece = self.matches(text[start : start + INDEXED + self.depth])
+            own = at < INDEXED
+            key = (at[own] + start) * (self.depth + 1) + size[own]
+            order = np.argsort(key)
+            keys.append(key[order])
+            pieces.append(piece[own][order])
+        return np.concatenate(keys), np.concatenate(pieces)
+
+    def parts(self, unit: str) -> list[str]:
+        """A long unit cut where no piece crosses; its parts are encoded each by itself."""
+        keys, _ = self.sliced(unit)
+        at, size = np.divmod(keys, self.depth + 1)
+        over = np.zeros(len(unit) + 2, np.int32)
+        np.add.at(over, at + 1, 1)
+        np.add.at(over, at + size, -1)
+        cuts = np.flatnonzero(np.cumsum(over[1 : len(unit)]) == 0) + 1
+        ends = [0, *cuts.tolist(), len(unit)]
+        return [unit[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def joined(self, text: str) -> bytes:
+        """The ids of one long unit that can't be cut: a heap over its edges, about 100 bytes a character."""
+        keys, pieces = self.sliced(text)
+        n, step = len(text), self.depth + 1
+        length, before = np.ones(n, np.int32), np.arange(-1, n - 1, dtype=np.int32)
+
+        def edge(p: int, joined: int) -> int:
+            k = int(np.searchsorted(keys, p * step + joined))
+            return int(pieces[k]) if k < len(keys) and keys[k] == p * step + joined else -1
+
+        # Each entry is a piece's order, its place and its length in one number.
+        two = np.flatnonzero(keys % step == 2)
+        heap = ((self.order[pieces[two]] * n + keys[two] // step) * step + 2).tolist()
+        heapq.heapify(heap)
+
+        def offer(p: int) -> None:
+            q = p + int(length[p])
+            if q < n and (joined := q + int(length[q]) - p) <= self.depth and (piece := edge(p, joined)) >= 0:
+                heapq.heappush(heap, (int(self.order[piece]) * n + p) * step + joined)
+
+        while heap:
+            place, joined = divmod(heapq.heappop(heap), step)
+            p = place % n
+            q = p + int(length[p])
+            if not length[p] or q >= n or q + int(length[q]) - p != joined:
+                continue
+            length[p], length[q] = joined, 0
+            if p + joined < n:
+                before[p + joined] = p
+                offer(p)
+            if p:
+                offer(int(before[p]))
+        out: list[int] = []
+        for p in np.flatnonzero(length).tolist():
+            out += self._alone(text[p]) if length[p] == 1 else [edge(p, int(length[p]))]
+        return np.array(out, np.int32).tobytes()
+
     # --- relaxation -------------------------------------------------------------------------------------------------
 
     def relax(self, edge: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +243,8 @@ class Pieces:
 
     def learn(self, units: list[str]) -> None:
         """Encodes units that aren't known yet, as many as one suffix array holds at a time."""
-        start = 0
+        self.known.update((u, self.joined(u)) for u in units if len(u) > INDEXED)
+        units, start = [u for u in units if len(u) <= INDEXED], 0
         while start < len(units):
             chars, stop = 0, start
             while stop < len(units) and (stop == start or chars + len(units[stop]) < INDEXED):
@@ -209,6 +279,7 @@ class Pieces:
         if len(self.known) > KNOWN:
             self.known.clear()
         cut = [None if t is None else self.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        cut = [u if not u or max(map(len, u)) <= INDEXED else [p for one in u for p in (self.parts(one) if len(one) > INDEXED else [one])] for u in cut]
         fresh = set().union(*(u for u in cut if u)) - self.known.keys() if any(cut) else set()
         self.learn(sorted(fresh))
         return [None if u is None else b"".join(map(self.known.__getitem__, u)) for u in cut]

@@ -48,7 +48,7 @@ class Features:
         if got is None:
             if len(self.known) > 1 << 17:
                 self.known.clear()
-            shape = _RUNS.sub(rb"\1", w.translate(_SHAPE))[:12]
+            shape = _RUNS.sub(rb"\1", w.translate(_SHAPE))
             got = self.known[w] = _slot(b"w" + w.strip(_EDGE).lower()), _slot(b"s" + shape)
         return got
 

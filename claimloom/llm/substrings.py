@@ -11,7 +11,7 @@ minima.  Texts move once, and only those of documents that hold a shared anchor.
 
 Defined results: a null or empty text has no words; documents shorter than a window lose none; rows that repeat an id
 are treated as one document whose windows are those of all its rows, and give one result row each; rows with a null id
-keep all words; an empty table gives an empty result.
+keep all words; an empty table gives an empty result; ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import modest_batches, release, small, written
+from claimloom.llm.common import discard, meet, modest_batches, release, small, written
 
 #: The differences of these six residues modulo 31 are all residues.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
@@ -154,17 +154,18 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     rows = rows.join(marked, ["_id", "_h"], "left")
     kind = "key long, _id long, _h long, at int"
     anchors = rows.where(F.col("copy").isNull() & F.col("_id").isNotNull()).select("_id", "_h", "_text").mapInArrow(lambda batches: _anchors(batches, size), kind)
-    shared = written(anchors.groupBy("key").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).where("a < b").select("key"), "shared")
+    shared = written(anchors.groupBy("key").agg(F.min("_id").alias("a"), F.max("_id").alias("b"), F.count("*").alias("many")).where("a < b").select("key", "many"), "shared")
     release(spark)
-    hits = anchors.join(small(shared), "key", "left_semi").groupBy("_id", "_h").agg(F.collect_set("at").alias("anchors"))
+    hits = meet(anchors, shared, ["key"], "many").groupBy("_id", "_h").agg(F.collect_set("at").alias("anchors"))
     hits = written(hits, "hits")
     release(spark)
     windows = rows.join(small(hits), ["_id", "_h"]).select("_id", "_h", "_text", "anchors").mapInArrow(lambda batches: _extended(batches, window), "one long, two long, _id long, _h long, at int")
     windows = written(windows, "windows")
     release(spark)
-    first = written(windows.groupBy("one", "two").agg(F.min("_id").alias("a"), F.max("_id").alias("b")).where("a < b").select("one", "two", "a"), "first")
-    later = windows.join(first, ["one", "two"]).where(F.col("_id") > F.col("a"))
+    first = written(windows.groupBy("one", "two").agg(F.min("_id").alias("a"), F.max("_id").alias("b"), F.count("*").alias("many")).where("a < b").select("one", "two", "a", "many"), "first")
+    later = meet(windows, first, ["one", "two"], "many").where(F.col("_id") > F.col("a"))
     starts = written(later.groupBy("_id", "_h").agg(F.collect_set("at").alias("starts")), "starts")
+    discard(windows, first, hits, shared)
     release(spark)
     full = rows.join(small(starts), ["_id", "_h"], "left").select("_id", "_text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
     kept = full.mapInArrow(lambda batches: _kept(batches, window), "_id long, n_words long, n_removed long, kept binary")

@@ -2,13 +2,16 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import textwrap
+from collections import Counter
 
 import brute
 import numpy as np
 import pytest
+import xxhash
 
 from claimloom.llm import common, components, decontaminate, licences, lines, pieces, private, quality, queries, shards, simhash, substrings, topk
 
@@ -263,6 +266,27 @@ def test_pieces_equal_the_library(model):
     assert own.encode([None, ""]) == [None, b""]
 
 
+def test_long_units_equal_the_library(model, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "INDEXED", 64)
+    r = random.Random(2)
+    own, given = pieces.Pieces(pieces.model_pieces(model)), sentencepiece.SentencePieceProcessor(model_file=model)
+    some = ["x" * 700, "".join(r.choice("ABCDEFGHabcdefgh0123+/") for _ in range(900)), "ab" * 300 + " then " + "=" * 200, "日本語" * 90, "the" * 120, "an unbroken" + "ing" * 100, "1234567890" * 40]
+    for t, x in zip(some, own.encode(some), strict=True):
+        assert np.frombuffer(x, np.int32).tolist() == given.encode(t), t[:30]
+
+
+def test_digests_equal_the_library(docs, model):
+    import sentencepiece
+
+    given = sentencepiece.SentencePieceProcessor(model_file=model)
+    for r in pieces.encode_digest(docs, model).collect():
+        if r["doc_id"] is not None and UNIQUE[r["doc_id"]] is not None:
+            ids = given.encode(UNIQUE[r["doc_id"]])
+            assert (r["n_ids"], r["ids_sha256"]) == (len(ids), brute.sha(np.array(ids, "<i4").tobytes()))
+
+
 def test_pieces_frames(docs, empty, model):
     encoded = pieces.encode(docs, model)
     back = pieces.decode(encoded, model).collect()
@@ -349,6 +373,64 @@ def test_quality(spark, docs, empty):
     assert quality.score(docs, quality.train(docs, rated.limit(0))).count() == len(ROWS)
 
 
+def plain_features(text):
+    """{slot: value} of one text, from the definition."""
+    words = (text or "").encode().split()
+    shape = lambda w: "".join(k for k, _ in itertools.groupby("a" if chr(b).islower() or b >= 128 else "A" if chr(b).isupper() else "0" if chr(b).isdigit() else chr(b) for b in w))
+    slot = lambda f: xxhash.xxh64_intdigest(f) % quality.WIDTH
+    size, solid = max(1, len((text or "").encode())), [b for b in (text or "").encode() if b not in b" \n\t"]
+    capitals = sum(65 <= b <= 90 for b in solid) / size
+    marks = sum(b < 128 and not chr(b).isalnum() for b in solid) / size
+    bins = {"repeat": 1 - len(set(words)) / max(1, len(words)), "capital": capitals, "mark": marks}
+    loud = {slot(b"s" + shape(w).encode("latin1")) for w in words} | {slot(f"b:{k}:{int(v * 10)}".encode()) for k, v in bins.items()} | {slot(f"length:{max(1, len(words)).bit_length()}".encode())}
+    soft = {slot(b"w" + w.strip(b".,;:!?\"'()[]{}").lower()) for w in words} - loud
+    return {**dict.fromkeys(soft, 1.0), **dict.fromkeys(loud, quality.LOUD / math.sqrt(len(loud)))}
+
+
+def plain_fit(rows, grades, rounds=300, rate=0.05, ridge=2e-4, lasso=0.1):
+    """(weights, thresholds) by the same steps, one document and weight at a time."""
+    seen = Counter(s for r in rows for s in r)
+    rows = [{s: v for s, v in r.items() if seen[s] >= max(3, len(rows) // 800)} for r in rows]
+    n, sigmoid = len(rows), lambda x: 1 / (1 + math.exp(-max(-40, min(40, x))))
+    odds = [math.log((sum(g < k for g in grades) / n + 1e-3) / (sum(g >= k for g in grades) / n + 1e-3)) for k in (1, 2)]
+    state = {s: 0.0 for r in rows for s in r} | {"low": odds[0], "gap": math.log(math.exp(max(odds[1] - odds[0], 0.1)) - 1)}
+    first, second = dict.fromkeys(state, 0.0), dict.fromkeys(state, 0.0)
+    for step in range(1, rounds + 1):
+        low, gap = state["low"], math.log1p(math.exp(state["gap"]))
+        grad = {s: 0.0 if s in ("low", "gap") else ridge * w for s, w in state.items()}
+        for r, g in zip(rows, grades, strict=True):
+            score = sum(v * state[s] for s, v in r.items())
+            upto = [0.0, sigmoid(low - score), sigmoid(low + gap - score), 1.0]
+            slope = [u * (1 - u) for u in upto]
+            p = max(upto[g + 1] - upto[g], 1e-12)
+            for s, v in r.items():
+                grad[s] += v * (slope[g + 1] - slope[g]) / p / n
+            by = [(-slope[1] if g == 0 else slope[1] if g == 1 else 0) / p / n, (-slope[2] if g == 1 else slope[2] if g == 2 else 0) / p / n]
+            grad["low"] += sum(by)
+            grad["gap"] += by[1] * sigmoid(state["gap"])
+        for s, d in grad.items():
+            first[s], second[s] = 0.9 * first[s] + 0.1 * d, 0.999 * second[s] + 0.001 * d * d
+            state[s] -= rate * (first[s] / (1 - 0.9**step)) / (math.sqrt(second[s] / (1 - 0.999**step)) + 1e-8)
+            if s not in ("low", "gap"):
+                state[s] = math.copysign(max(abs(state[s]) - rate * lasso, 0), state[s])
+    return state, (state["low"], state["low"] + math.log1p(math.exp(state["gap"])))
+
+
+def test_quality_equals_a_plain_refit(spark):
+    r = random.Random(7)
+    kinds = [lambda: " ".join(r.choice(WORDS[:12]) for _ in range(12)) + " horrid!", lambda: " | ".join(r.choice(WORDS[:12]) + "$$" for _ in range(12)), lambda: " ".join(r.choice(WORDS).capitalize() for _ in range(14)) + "."]
+    rows = [(k, kinds[k % 3]()) for k in range(90)] + [(90, ""), (91, None), (92, "averyverylongword" * 3 + "-A1-A1-A1-A1-A1")]
+    ratings = [(k, 0 if k % 3 == 1 else 1, 1 if k % 3 == 0 else 0) for k in range(93)]
+    frame, rated = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ratings, "doc_id long, quality int, toxic int")
+    features = [plain_features(t) for _, t in rows]
+    weights, thresholds = plain_fit(features, [k % 3 for k, _ in rows])
+    got = {x["doc_id"]: x for x in quality.score(frame, quality.train(frame, rated)).collect()}
+    for (k, _), f in zip(rows, features, strict=True):
+        score = sum(v * weights.get(s, 0.0) for s, v in f.items())
+        tails = [1 / (1 + math.exp(t - score)) for t in thresholds]
+        assert np.allclose([got[k]["p_at_least_1"], got[k]["p_at_least_2"], got[k]["expected_grade"]], [*tails, sum(tails)], atol=2e-3)
+
+
 def test_operators_recover_nothing_from_local_folders(spark, docs):
     """Tables that cut the lineage stand in the shared folder."""
     files = common.written(docs.select("doc_id"), "probe").inputFiles()
