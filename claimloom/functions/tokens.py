@@ -17,9 +17,15 @@ PCT = r"(?i)\bPCT\s*/\s*[A-Z]{2}\s*\d{2,4}\s*/\s*\d{4,6}\b"
 IPC = r"(?i)\b[A-H][0-9OIL]{2}[A-Z]\s*[0-9OIL]{1,3}\s*/\s*[0-9OIL]{1,4}\b"
 USCL = r"\b\d{1,4}\s*/\s*\d{1,4}(?:\.\d+)?\b"
 KINDS = ("A1", "A2", "A9", "B1", "B2")
+# References to figures and claims.
 FIGURES = r"(?i)\bFIGS?\.?\s+((?:\d+[A-Z]?)(?:\s*[-\x{2013}]\s*\d+[A-Z]?)?(?:\s*(?:,|and)\s*\d+[A-Z]?)*)"
 
 
+CLAIM_RANGE = r"(?i)\bclaims?\s+(\d+)\s*(?:-|to)\s*(\d+)\b"
+CLAIM_LIST = r"(?i)\bclaims?\s+((?:\d+\s*(?:,|and|or)?\s*)+)\b"
+CLAIM_ONE = r"(?i)\bclaim\s+(\d+)\b"
+
+
 def every(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
@@ -37,7 +43,7 @@ def patent_token(c: Column) -> Column:
 
 
 def _canonical(t: Column) -> Column:
-    t = F.when(t.startswith("US"), F.concat(F.lit("US"), codeish_digits(F.substring(t, 3, 100), bar=False))).otherwise(t)
+    t = F.when(t.startswith("US"), F.concat(F.lit("US"), codeish_digits(F.substr(t, F.lit(3)), bar=False))).otherwise(t)
     return let(F.translate(t, "/,", ""), lambda t: F.when(F.length(t) >= 2, F.concat(F.left(t, F.length(t) - 2), kind_code(F.right(t, F.lit(2))))).otherwise(t))
 
 
@@ -71,7 +77,7 @@ def application_ids(c: Column) -> Column:
 def ipc_codes(c: Column, ref_compat: bool = False) -> Column:
     """IPC symbols; by default only digit places are corrected, with ref_compat the whole symbol is."""
     whole = lambda t: codeish_digits(_bare(t))
-    fixed = lambda t: F.concat(F.left(_bare(t), F.lit(1)), codeish_digits(F.substring(_bare(t), 2, 2)), F.substring(_bare(t), 4, 1), codeish_digits(F.substring(_bare(t), 5, 20)))
+    fixed = lambda t: F.concat(F.left(_bare(t), F.lit(1)), codeish_digits(F.substring(_bare(t), 2, 2)), F.substring(_bare(t), 4, 1), codeish_digits(F.substr(_bare(t), F.lit(5))))
     return as_set(F.transform(every(for_matching(c), IPC), whole if ref_compat else fixed))
 
 
@@ -82,11 +88,11 @@ def us_classes(c: Column) -> Column:
 def depends_on(c: Column, ref_compat: bool = False) -> Column:
     """Claim numbers that a claim refers to: ranges of up to 200, lists and single mentions."""
     number = lambda t: t.try_cast("int")
-    both = r"(?i)\bclaims?\s+(\d+)\s*(?:-|to)\s*(\d+)\b"
+    both = CLAIM_RANGE
     ends = F.transform(every(c, both), lambda m: F.struct(F.least(number(F.regexp_extract(m, both, 1)), number(F.regexp_extract(m, both, 2))).alias("a"), F.greatest(number(F.regexp_extract(m, both, 1)), number(F.regexp_extract(m, both, 2))).alias("b")))
     ranges = F.flatten(F.transform(F.filter(ends, lambda e: e["b"] - e["a"] <= 200), lambda e: F.sequence(e["a"], e["b"])))
-    lists = F.flatten(F.transform(every(c, r"(?i)\bclaims?\s+((?:\d+\s*(?:,|and|or)?\s*)+)\b", 1), lambda m: F.transform(every(m, r"\d+"), number)))
-    single = F.transform(every(c, r"(?i)\bclaim\s+(\d+)\b", 1), number)
+    lists = F.flatten(F.transform(every(c, CLAIM_LIST, 1), lambda m: F.transform(every(m, r"\d+"), number)))
+    single = F.transform(every(c, CLAIM_ONE, 1), number)
     found = as_set(F.filter(F.concat(ranges, lists, single), lambda n: n.isNotNull()))
     guard = r"(?i)\bclaim\b" if ref_compat else r"(?i)\bclaims?\b"
     return F.when(c.rlike(guard), found).otherwise(F.expr("cast(array() as array<int>)"))

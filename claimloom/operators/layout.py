@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimloom.operators.sections import line_role, section_key
 
+# Dates, sheet counts, publication numbers, field labels and kind codes; body headings, claims and their phrases.
 DATE = r"(?i)\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)\.?\s+\d{1,2},\s+\d{4}\b"
 SHEET_OF = r"(?i)\b(?:sheet|page)\s+\d+\s+(?:of|/)\s+\d+\b"
 PUBLISHED = (r"(?i)\bUS\s*\d{4}\s*/?\s*\d{6,8}\s*[A-Z0-9]{1,2}\b", r"(?i)\bUS\s*\d[\d,\s]*\s*[A-Z0-9]{1,2}\b", r"(?i)\bUS\d{7,11}[A-Z0-9]{1,2}\b")
 LABEL = r"^\s*\(\s*(\d+)\s*\)"
 KIND = r"(?i)\b(?:A1|A2|A9|B1|B2)\b"
+BODY_HEADINGS = ("BACKGROUND", "BACKGROUND OF THE INVENTION", "SUMMARY", "SUMMARY OF THE INVENTION", "BRIEF DESCRIPTION OF THE DRAWINGS", "DETAILED DESCRIPTION",
+                 "DETAILED DESCRIPTION OF THE EMBODIMENTS", "FIELD", "TECHNICAL FIELD", "DESCRIPTION", "CLAIMS")
+BODY_START = r"(?i)^\s*(?:TECHNICAL FIELD|FIELD|BACKGROUND(?: ART| OF THE INVENTION)?|SUMMARY(?: OF THE INVENTION)?|DETAILED DESCRIPTION(?: OF THE EMBODIMENTS)?|BRIEF DESCRIPTION OF THE DRAWINGS|CLAIMS)\s*$"
+CLAIMED = r"(?i)\bwhat\s+is\s+claimed\s+is\b"
+CLAIM_LINE = r"^\s*\d{1,3}\.\s+\S"
+ADMIN_PAGE = r"(?i)\bCERTIFICATE\s+OF\s+CORRECTION\b|\bUNITED\s+STATES\s+PATENT\s+AND\s+TRADEMARK\s+OFFICE\b"
+SENTENCE_END = r"[.!?][\"')\]]?\s*$"
 
 
 def likely_line_number(c: Column) -> Column:
@@ -138,19 +147,68 @@ def binned_mode(lines: DataFrame, page: list[str], value: str, bin_: float = 2.0
 
 
 def page_signals(lines: DataFrame, page: list[str]) -> DataFrame:
-    """page, kind: drawing, admin, inid, body or unknown, from the lines in order."""
-    text, pos = F.trim("text"), F.row_number().over(Window.partitionBy(*page).orderBy("pos"))
-    rows = lines.where(text != "").withColumn("n", pos).withColumn("t", text)
-    some = lambda p, upto: F.max(F.when(F.col("n") <= upto, F.col("t").rlike(p)).otherwise(F.lit(False)))
+    """page, kind: drawing, admin, inid, body or unknown; from lines(page, pos, text), with col and region where they are known.
+
+    Sheet counts are looked for in the header, or in the first three lines where no region is known; the rest in the
+    body: heading lines among the first 80, the claims phrase in the first 60, a line CLAIMS among the first 80, two claims
+    among the first 120, or many lines of some length.
+    """
+    has = lambda c: c in lines.columns
+    rows = lines.withColumn("t", F.trim("text")).where("t <> ''")
+    order = [c for c in ("col", "pos") if has(c)]
+    if has("region"):
+        region = F.col("region")
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*page, "region").orderBy(*order)))
+        sheet = F.max(F.col("t").rlike(r"(?i)\bSheet\s+\d+\s+of\s+\d+\b") & (region == "header"))
+        body = region == "body"
+    else:
+        rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*page).orderBy(*order)))
+        sheet, body = F.max(F.when(F.col("n") <= 3, F.col("t").rlike(SHEET_OF)).otherwise(F.lit(False))), F.lit(True)
+    first = lambda k: body & (F.col("n") <= k)
+    head = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(first(k), F.struct("n", "t")))), lambda r: r["t"]), " ")
     facts = rows.groupBy(*page).agg(
-        some(SHEET_OF, 3).alias("sheet"), some(r"(?i)certificate of correction|united states patent and trademark office", 60).alias("admin"),
-        F.count_if(F.col("t").rlike(r"^\(\s*\d+\s*\)")).alias("inids"), F.max((F.col("n") <= 80) & section_key(F.col("t")).isNotNull()).alias("heading"),
-        F.count_if((F.col("n") <= 120) & F.col("t").rlike(r"^\d{1,3}\s*[.)]\s+\S")).alias("numbered"), F.count("*").alias("lines"), F.median(F.length("t")).cast("int").alias("median"))
-    body = F.col("heading") | (F.col("numbered") >= 2) | ((F.col("lines") >= 18) & (F.col("median") >= 18))
-    kind = F.when(F.col("sheet"), "drawing").when(F.col("admin"), "admin").when(F.col("inids") >= 3, "inid").when(body, "body").otherwise("unknown")
+        sheet.alias("sheet"), head(60).alias("head"), F.count_if(body & F.col("t").rlike(r"^\(\s*\d+\s*\)")).alias("inids"),
+        F.max(first(80) & F.upper("t").isin(*BODY_HEADINGS)).alias("heading"), F.count_if(first(120) & F.col("t").rlike(CLAIM_LINE)).alias("numbered"),
+        F.count_if(body).alias("lines"), F.coalesce(F.median(F.when(body, F.length("t"))), F.lit(0)).cast("int").alias("median"))
+    kind = (
+        F.when(F.col("sheet"), "drawing").when(F.col("head").rlike(ADMIN_PAGE), "admin").when(F.col("inids") >= 3, "inid")
+        .when(F.col("heading") | F.col("head").rlike(CLAIMED) | (F.col("numbered") >= 2) | ((F.col("lines") >= 18) & (F.col("median") >= 18)), "body").otherwise("unknown"))
     return facts.select(*page, kind.alias("kind"), "inids", "lines", "median")
 
 
+def body_starts(lines: DataFrame, page: list[str]) -> DataFrame:
+    """page, starts: whether the first 120 lines hold a body heading, the claims phrase or two claims."""
+    order = [c for c in ("col", "pos") if c in lines.columns]
+    region = [F.desc("region")] if "region" in lines.columns else []  # headers before bodies
+    rows = lines.withColumn("t", F.trim(F.regexp_replace(F.translate("text", "\u00a0", " "), r"\s+", " "))).where("t <> ''")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*page).orderBy(*region, *order))).where("n <= 120")
+    head = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda r: r["t"]), " ")
+    starts = F.max(F.col("t").rlike(BODY_START)) | head.rlike(CLAIMED) | (F.count_if(F.col("t").rlike(CLAIM_LINE)) >= 2)
+    return rows.groupBy(*page).agg(starts.alias("starts"))
+
+
+def front_matter_pages(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """pages(doc, page, kind, starts) with front matter continued.
+
+    If the first page that isn't admin is an inid page, the pages after it up to the first drawing, admin or body page,
+    or the first whose text starts the body, are inid pages too.
+    """
+    by = Window.partitionBy(doc)
+    first = F.min(F.when(F.col("kind") != "admin", F.struct("page", "kind"))).over(by)
+    rows = pages.withColumn("_first", first)
+    stops = (F.col("page") > F.col("_first.page")) & (F.col("kind").isin("drawing", "admin", "body") | F.coalesce("starts", F.lit(False)))
+    rows = rows.withColumn("_stop", F.min(F.when(stops, F.col("page"))).over(by))
+    inside = (F.col("_first.kind") == "inid") & (F.col("page") > F.col("_first.page")) & (F.col("_stop").isNull() | (F.col("page") < F.col("_stop")))
+    return rows.select(doc, "page", F.when(inside, "inid").otherwise(F.col("kind")).alias("kind"))
+
+
+def page_sets(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, drawing, body, inid: the pages of each kind in order; inid pages are those before the cutoff."""
+    pick = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("page"))))
+    rows = pages.join(inid_cutoff(pages, doc), doc)
+    return rows.groupBy(doc).agg(pick(F.col("kind") == "drawing").alias("drawing"), pick(F.col("kind") == "body").alias("body"), pick(F.col("page") < F.col("cutoff")).alias("inid"))
+
+
 def smooth_drawings(pages: DataFrame, doc: str = "doc_id", most: int = 2) -> DataFrame:
     """pages(doc, page, kind): up to `most` unknown pages in a row between drawings become drawings."""
     by = Window.partitionBy(doc).orderBy("page")
@@ -168,24 +226,83 @@ def inid_cutoff(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     return rows.groupBy(doc).agg(F.when(F.max("first").isNull(), F.lit(0)).otherwise(F.coalesce(stop, F.max("page") + 1)).alias("cutoff"))
 
 
-def paragraphs(lines: DataFrame, page: list[str]) -> DataFrame:
-    """page, block, kind, text, y0, y1: lines gathered to headings and paragraphs.
+def paragraphs(lines: DataFrame, page: list[str], left: str = "x", right: str | None = None) -> DataFrame:
+    """page, block, kind, text, y0, y1: lines(page, pos, y, text, left, right) gathered to headings, subheadings and paragraphs.
 
-    A paragraph starts after a heading, after a gap of at least max(16, 2.4 median gaps), at an indent of 10 or more
-    after a line that ended a sentence, at a claim number alone on its line, and at a paragraph number.
+    A heading or subheading is a block.  A claim number alone on its line and a paragraph number start a paragraph; other
+    labels never do.  Another line starts one after a gap of at least max(16, 2.4 median gaps); at an indent of 10 or more
+    after a line at the margin that ended a sentence or was short; at the margin after an indented line; and at the margin
+    after a short line that ended a sentence.  The margin is the binned mode of long lines, which are of prose and have 35
+    characters or more; short is under 0.62 of their median width or, without widths, under 45 characters.
     """
     by = Window.partitionBy(*page).orderBy("pos")
-    rows = lines.where(F.trim("text") != "").withColumn("role", line_role(F.col("text"))).withColumn("gap", F.col("y") - F.lag("y").over(by))
-    typical = rows.groupBy(*page).agg(F.median("gap").alias("_typical")).join(binned_mode(rows.where(F.length("text") >= 35), page, "x").withColumnRenamed("mode", "_margin"), page, "left")
+    rows = lines.where(F.trim("text") != "").withColumn("_t", F.trim("text")).withColumn("role", line_role(F.col("text"))).withColumn("gap", F.col("y") - F.lag("y").over(by))
+    alone = F.col("role").isin("section_heading", "subheading")
+    long = rows.where(~alone & (F.length("_t") >= 35) & F.col(left).isNotNull() & (F.col(right).isNotNull() if right else F.lit(True)))
+    width = F.col(right) - F.col(left) if right else F.lit(None).cast("double")
+    typical = rows.groupBy(*page).agg(F.coalesce(F.median(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(10.0)).alias("_gap"))
+    typical = typical.join(binned_mode(long, page, left).withColumnRenamed("mode", "_margin"), page, "left").join(long.groupBy(*page).agg(F.median(width).alias("_width")), page, "left")
     rows = rows.join(typical, page)
-    head = F.col("role") == "section_heading"
-    last = F.lag("text").over(by)
+    at_margin = lambda x: F.coalesce(F.abs(x - F.col("_margin")) <= 3.5, F.lit(False))
+    indented = lambda x: F.coalesce(x - F.col("_margin") >= 10, F.lit(False))
+    own = F.when(F.col("_width").isNull() | width.isNull(), F.length("_t") < 45).otherwise(width < 0.62 * F.col("_width"))
+    rows = rows.withColumn("_short", own).withColumn("_ends", F.col("_t").rlike(SENTENCE_END))
+    last = lambda c: F.lag(c).over(by)
+    geometry = (
+        (F.col("gap") >= F.greatest(F.lit(16.0), 2.4 * F.col("_gap"))) | (indented(F.col(left)) & (at_margin(last(left)) | last(left).isNull()) & (last("_ends") | last("_short")))
+        | (at_margin(F.col(left)) & indented(last(left))) | (last("_short") & last("_ends") & at_margin(F.col(left))))
     opens = (
-        head | F.coalesce(F.lag("role").over(by) == "section_heading", F.lit(True)) | (F.col("gap") >= F.greatest(F.lit(16.0), 2.4 * F.col("_typical")))
-        | ((F.col("x") - F.col("_margin") >= 10) & last.rlike(r"[.!?][\"')\]]?\s*$")) | F.col("text").rlike(r"^\d{1,3}\.$") | (F.col("role") == "para_marker"))
-    rows = rows.withColumn("_opens", F.coalesce(opens, F.lit(False)).cast("int")).withColumn("block", F.sum("_opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: F.trim(r["text"])), " ")
-    return rows.groupBy(*page, "block").agg(F.when(F.max(head), "section_heading").otherwise("paragraph").alias("kind"), text.alias("text"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+        F.when(alone | F.coalesce(last("role").isin("section_heading", "subheading"), F.lit(True)) | (F.col("role") == "para_marker"), F.lit(True))
+        .when(F.col("role") == "enumerator", F.col("_t").rlike(r"^\d{1,3}\s*\.$")).otherwise(F.coalesce(geometry, F.lit(False))))
+    rows = rows.withColumn("_opens", opens.cast("int")).withColumn("block", F.sum("_opens").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_t"))), lambda r: r["_t"]), "\n")
+    return rows.groupBy(*page, "block").agg(F.coalesce(F.max(F.when(alone, F.col("role"))), F.lit("paragraph")).alias("kind"), text.alias("text"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+
+
+def merged_headings(blocks: DataFrame, doc: list[str], gap: float = 6.0, overlap: float = 4.0) -> DataFrame:
+    """blocks(doc, page, col, pos, kind, text, y0, y1) with headings over several lines as one.
+
+    A section heading joins the one before it on its page and column if it starts at most `gap` below and `overlap` above
+    that one's end, is no longer than 120 characters and ends no sentence.
+    """
+    by = Window.partitionBy(*doc).orderBy("pos")
+    head = F.col("kind") == "section_heading"
+    same = F.coalesce(head & (F.lag("kind").over(by) == "section_heading") & (F.lag("page").over(by) == F.col("page")) & (F.lag("col").over(by) == F.col("col")), F.lit(False))
+    rows = blocks.withColumn("_run", F.sum((~same).cast("int")).over(by))
+    fields = ["pos", "page", "col", "kind", "text", "y0", "y1"]
+    runs = rows.groupBy(*doc, "_run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("b"))
+    begun = lambda b: F.struct(b["pos"].alias("pos"), b["page"].alias("page"), b["col"].alias("col"), b["kind"].alias("kind"), F.trim(b["text"]).alias("text"), b["y0"].alias("y0"), b["y1"].alias("y1"))
+    plain = lambda b: F.struct(*[b[f].alias(f) for f in fields])
+
+    def step(out: Column, b: Column) -> Column:
+        last, t = F.element_at(out, -1), F.trim(b["text"])
+        joins = (b["y0"] - last["y1"]).between(-overlap, gap) & (t != "") & (F.length(t) <= 120) & ~t.rlike(r"[.!?]\s*$")
+        grown = F.struct(last["pos"].alias("pos"), last["page"].alias("page"), last["col"].alias("col"), last["kind"].alias("kind"), F.trim(F.concat(last["text"], F.lit(" "), t)).alias("text"), last["y0"].alias("y0"), F.greatest(last["y1"], b["y1"]).alias("y1"))
+        return F.when(joins, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(grown))).otherwise(F.concat(out, F.array(begun(b))))
+
+    first = F.get("b", F.lit(0))
+    folded = F.aggregate(F.slice("b", F.lit(2), F.size("b")), F.array(begun(first)), step)
+    whole = F.when(first["kind"] == "section_heading", folded).otherwise(F.transform("b", plain))
+    return runs.select(*doc, F.inline(whole))
+
+
+def stitched(blocks: DataFrame, doc: str = "doc_id", top: float = 220.0) -> DataFrame:
+    """blocks(doc, page, pos, col, y0, kind, tag, text) with field texts continued across pages.
+
+    Text that stands at the top of a page before any field, where the page's top holds no field label, joins the last field
+    of its column on earlier pages, or else the last field of any column, and goes from its own page.
+    """
+    labelled = (F.col("kind") == "inid") & F.col("tag").isNotNull()
+    page = Window.partitionBy(doc, "page")
+    down = page.orderBy("y0", "col", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = blocks.withColumn("_stops", F.max((F.col("kind") == "inid") | (F.col("y0") > top)).over(down)).withColumn("_fresh", F.max(labelled & (F.col("y0") <= top)).over(page))
+    field = F.when(labelled, F.struct("page", "pos"))
+    earlier = lambda *by: F.max(field).over(Window.partitionBy(doc, *by).orderBy("page").rangeBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_to", F.when(~F.col("_stops") & ~F.col("_fresh") & (F.trim("text") != ""), F.coalesce(earlier("col"), earlier())))
+    moved = rows.where("_to is not null").groupBy(doc, F.col("_to.page").alias("page"), F.col("_to.pos").alias("pos"))
+    added = moved.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("page").alias("p"), "y0", "col", F.col("pos").alias("k"), F.trim("text").alias("text")))), lambda r: r["text"]), "\n").alias("_added"))
+    out = rows.where("_to is null").join(added, [doc, "page", "pos"], "left")
+    return out.withColumn("text", F.when(F.col("_added").isNull(), F.col("text")).otherwise(F.trim(F.concat(F.rtrim("text"), F.lit("\n"), F.col("_added"))))).select(*blocks.columns)
 
 
 def tagged_texts(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -203,16 +320,25 @@ def carry_forward(rows: DataFrame, by: list[str], order: str, value: str, out: s
 def group_lines(words: DataFrame, page: list[str], near: float = 3.0) -> DataFrame:
     """The words with `line`: each joins the first line, in order of their making, whose key is within `near` of its middle.
 
-    The result depends on the words' order, so it is made page by page in order of word_no.
+    Keys are whole numbers, so each word looks at a few of them.  The result depends on the words' order, so it is made
+    page by page in order of word_no.
     """
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, keys, line = rows.sort_values("word_no"), [], []
-        for y in (rows["y0"] + rows["y1"]) / 2:
-            hit = next((k for k, key in enumerate(keys) if abs(key - y) <= near), None)
-            if hit is None:
-                keys.append(int(y))
-                hit = len(keys) - 1
-            line.append(hit)
-        return rows.assign(line=line)
-
-    return words.groupBy(*page).applyInPandas(one, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + ", line int")
+    import math
+
+    def numbered(batches):
+        for batch in batches:
+            out = []
+            for middles in batch.column("_y").to_pylist():
+                keys, line = {}, []
+                for y in middles:
+                    hits = [keys[k] for k in range(math.ceil(y - near), math.floor(y + near) + 1) if k in keys]
+                    line.append(min(hits) if hits else keys.setdefault(int(y), len(keys)))
+                out.append(line)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "_line"])
+
+    rest = [c for c in words.columns if c not in page]
+    whole = words.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("word_no", *[c for c in rest if c != "word_no"]))).alias("_w"))
+    whole = whole.withColumn("_y", F.transform("_w", lambda w: (w["y0"] + w["y1"]) / 2))
+    made = whole.mapInArrow(numbered, T.StructType([*whole.schema, T.StructField("_line", T.ArrayType(T.IntegerType()))]))
+    fields = lambda w, k: F.struct(*[w[c].alias(c) for c in rest], k.alias("line"))
+    return made.select(*page, F.inline(F.zip_with("_w", "_line", fields)))

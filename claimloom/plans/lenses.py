@@ -55,11 +55,11 @@ FROM {lineitem}
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    names = set(re.findall(r"\{(\w+)\}", sql)) - {"posline"}
+    names = set(re.findall(r"\{([a-z]\w*)\}", sql)) - {"posline"}
     sql = sql.replace("{posline}", "posexplode(split(text, '\\n', -1)) AS (pos, text)")
     return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
 
 def duck(sql: str) -> str:
     sql = sql.replace("{posline}", "unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos")
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return re.sub(r"\{([a-z]\w*)\}", r"\1", sql)

@@ -126,18 +126,19 @@ def citation_graph(spark, sf):
     return citations.graph(cites(spark, sf))
 
 
-@query(f"""{E}, k AS (SELECT DISTINCT src AS id FROM e), s AS (SELECT src AS id FROM e JOIN k ON k.id = e.dst GROUP BY src ORDER BY count(*) DESC, src LIMIT 20),
-l1 AS (SELECT id AS start, id, 1 AS n, id AS path FROM s),
-l2 AS (SELECT start, dst AS id, 2 AS n, min(path || '>' || dst) AS path FROM l1 JOIN e ON e.src = l1.id JOIN k ON k.id = e.dst WHERE dst <> start GROUP BY start, dst),
-s2 AS (SELECT start, id FROM l1 UNION SELECT start, id FROM l2),
-l3 AS (SELECT start, dst AS id, 3 AS n, min(path || '>' || dst) AS path FROM l2 JOIN e ON e.src = l2.id JOIN k ON k.id = e.dst WHERE (start, dst) NOT IN (SELECT start, id FROM s2) GROUP BY start, dst)
-SELECT start, id, n AS n_nodes, path FROM l1 UNION ALL SELECT start, id, n, path FROM l2 UNION ALL SELECT start, id, n, path FROM l3""")
+CHAIN = "".join(
+    f"""l{n} AS (SELECT start, dst AS id, min(path || '>' || dst) AS path FROM l{n - 1} JOIN e ON e.src = l{n - 1}.id JOIN k ON k.id = e.dst ANTI JOIN s{n - 1} s ON s.start = l{n - 1}.start AND s.id = e.dst GROUP BY l{n - 1}.start, dst),
+s{n} AS (SELECT start, id FROM s{n - 1} UNION ALL SELECT start, id FROM l{n}),\n""".replace("(SELECT start, dst", f"(SELECT l{n - 1}.start AS start, dst")
+    for n in range(2, 6)
+)
+
+
+@query(f"""{E}, k AS (SELECT DISTINCT src AS id FROM e), l1 AS (SELECT id AS start, id, id AS path FROM k), s1 AS (SELECT start, id FROM l1),
+{CHAIN.rstrip().rstrip(",")} {" UNION ALL ".join(f"SELECT start, id, {n} AS n_nodes, path FROM l{n}" for n in range(1, 6))}""")
 def citation_chains(spark, sf):
-    """Shortest chains of up to three ids from the twenty that cite most."""
-    e = cites(spark, sf).cache()
-    k = e.select(F.col("src").alias("dst")).distinct()
-    starts = e.join(k, "dst", "left_semi").groupBy(F.col("src").alias("id")).count().orderBy(F.desc("count"), "id").limit(20).select("id")
-    return citations.chains(e, starts, 3).select("start", "id", "n_nodes", joined("path", ">").alias("path"))
+    """Shortest chains of up to five ids from every id that cites."""
+    e = cites(spark, sf)
+    return citations.chains(e, e.select(F.col("src").alias("id")).distinct()).select("start", "id", "n_nodes", joined("path", ">").alias("path"))
 
 
 @query(f"{E} SELECT src, dst, regexp_extract(dst, '[0-9]+') AS number, length(regexp_extract(dst, '[0-9]+')) = 11 AS is_publication FROM e")
@@ -336,7 +337,7 @@ def page_left_margin(spark, sf):
 
 
 @query(f"""{L}, t AS (SELECT doc_id, trim(text) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l WHERE trim(text) <> ''),
-f AS (SELECT doc_id, count(*) FILTER (regexp_matches(t, '^\\(\\s*[0-9]+\\s*\\)')) AS inids, count(*) FILTER (n <= 120 AND regexp_matches(t, '^[0-9]{{1,3}}\\s*[.)]\\s+\\S')) AS k, count(*) AS lines, CAST(floor(median(length(t))) AS INT) AS median FROM t GROUP BY doc_id)
+f AS (SELECT doc_id, count(*) FILTER (regexp_matches(t, '^\\(\\s*[0-9]+\\s*\\)')) AS inids, count(*) FILTER (n <= 120 AND regexp_matches(t, '^[0-9]{{1,3}}[.]\\s+\\S')) AS k, count(*) AS lines, CAST(floor(median(length(t))) AS INT) AS median FROM t GROUP BY doc_id)
 SELECT doc_id, CASE WHEN inids >= 3 THEN 'inid' WHEN k >= 2 OR (lines >= 18 AND median >= 18) THEN 'body' ELSE 'unknown' END AS kind, inids, lines, median FROM f""".replace("{{1,3}}", "{1,3}"))
 def page_kinds(spark, sf):
     return layout.page_signals(lines(spark, sf), ["doc_id"])
@@ -362,13 +363,23 @@ def page_inid_cutoff(spark, sf):
     return layout.inid_cutoff(runs(spark, sf))
 
 
-@query()
+ROLE = """CASE WHEN regexp_matches(upper(t), '^(BACKGROUND|SUMMARY|FIELD|CLAIMS|TECHNICAL FIELD|DETAILED DESCRIPTION)$') THEN 'section_heading' WHEN regexp_matches(t, '^[0-9]{4}') THEN 'para_marker'
+WHEN regexp_matches(t, '^([0-9]+|[IVXLC]+|[A-Z])([.):])?$') OR regexp_matches(t, '^\\([ ]*[0-9]+[ ]*\\)$') THEN 'enumerator' WHEN length(t) <= 90 AND regexp_matches(t, '^[A-Z0-9][A-Z0-9\\s\\-:,]{3,}$') AND NOT suffix(t, '.') THEN 'subheading' ELSE 'paragraph' END"""
+
+
+@query(f"""{L}, t AS (SELECT *, trim(text) AS t FROM l WHERE trim(text) <> ''), r AS (SELECT *, {ROLE} AS role, y - lag(y) OVER w AS gap FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+b AS (SELECT doc_id, round_even(x / 2, 0) * 2 AS m, count(*) AS n FROM r WHERE role NOT IN ('section_heading', 'subheading') AND length(t) >= 35 GROUP BY ALL), m AS (SELECT doc_id, arg_max(m, (n, -m)) AS m FROM b GROUP BY doc_id),
+g AS (SELECT doc_id, coalesce(median(gap) FILTER (gap > 0), 10) AS typical FROM r GROUP BY doc_id),
+p AS (SELECT r.*, m, typical, role IN ('section_heading', 'subheading') AS alone, lag(role) OVER w AS was, lag(x) OVER w AS px, length(lag(t) OVER w) < 45 AS short, regexp_matches(lag(t) OVER w, '[.!?]["'')\\]]?\\s*$') AS ended FROM r LEFT JOIN m USING (doc_id) JOIN g USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+o AS (SELECT *, CASE WHEN alone OR was IS NULL OR was IN ('section_heading', 'subheading') OR role = 'para_marker' THEN true WHEN role = 'enumerator' THEN regexp_matches(t, '^[0-9]{{1,3}}\\s*[.]$')
+  ELSE gap >= greatest(16, 2.4 * typical) OR (m IS NOT NULL AND ((x - m >= 10 AND abs(px - m) <= 3.5 AND (ended OR short)) OR (abs(x - m) <= 3.5 AND px - m >= 10) OR (short AND ended AND abs(x - m) <= 3.5))) END AS opens FROM p),
+k AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS block FROM o)
+SELECT doc_id, block, CASE WHEN max(alone::INT) = 1 THEN max(role) ELSE 'paragraph' END AS kind, string_agg(t, chr(10) ORDER BY pos) AS text, min(y) AS y0, max(y) AS y1 FROM k GROUP BY doc_id, block""".replace("{{1,3}}", "{1,3}"))
 def body_paragraphs(spark, sf):
-    """Headings and paragraphs of every document (properties are tested)."""
     return layout.paragraphs(lines(spark, sf), ["doc_id"]).select("doc_id", "block", "kind", "text", "y0", "y1")
 
 
-TAGS = "WITH b AS (SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn AS INT) AS pos, role AS tag, substr(text, 1, 5) AS text FROM {conversations} WHERE text IS NOT NULL)"
+TAGS = "WITH b AS (SELECT CAST(conv_id AS BIGINT) AS doc_id, CAST(turn AS INT) AS pos, role AS tag, text FROM {conversations} WHERE text IS NOT NULL)"
 
 
 @query(f"{TAGS}, w AS (SELECT *, lag(text) OVER (PARTITION BY doc_id, tag ORDER BY pos) AS l FROM b) SELECT doc_id, tag, string_agg(text, chr(10) ORDER BY pos) AS text FROM w WHERE l IS NULL OR l <> text GROUP BY doc_id, tag")
@@ -605,3 +616,6 @@ def issue_overlap(spark, sf):
 @query(f"{I} SELECT doc_id, count(DISTINCT code) AS n_codes, round(avg(CASE WHEN severity = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate FROM i GROUP BY doc_id")
 def issue_rates(spark, sf):
     return issues(spark, sf).groupBy("doc_id").agg(F.count_distinct("code").alias("n_codes"), F.round(F.avg((F.col("severity") == "error").cast("double")), 6).alias("error_rate"))
+
+
+from claimloom.plans import pages  # noqa: E402, F401  registers its queries
