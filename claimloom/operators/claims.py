@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions import tokens
 from claimloom.functions.text import squeeze
+from claimloom.stored import read, stable
 
 # The marker of a claim's start, the texts that end the claims, and what a claim looks like.
 _OPEN = "['\"‘’“”(\\[{]"
@@ -95,11 +96,6 @@ def dependencies(claims: DataFrame, ref_compat: bool = False) -> DataFrame:
     return claims.withColumn("depends_on", deps).withColumn("is_independent", F.lit(True) if ref_compat else F.size("depends_on") == 0)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """df, computed once: in the shared checkpoint folder if the session names one, else cached."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
-
-
 def edges(claims: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, number, parent, one row for each distinct dependency."""
     return claims.select(key, "number", F.explode("depends_on").alias("parent")).distinct()
@@ -107,6 +103,7 @@ def edges(claims: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def validate(claims: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, code, detail: duplicate and missing numbers, dependencies that don't exist, a first claim that depends."""
+    claims = stable(claims.select(key, "number", "depends_on"))
     per = claims.groupBy(key).agg(F.collect_set("number").alias("have"), F.max("number").alias("most"))
     double = claims.groupBy(key, "number").count().where("count > 1").groupBy(key).agg(F.array_sort(F.collect_list("number")).alias("n"))
     lost = per.select(key, F.array_sort(F.array_except(F.sequence(F.lit(1), "most"), "have")).alias("n")).where("size(n) > 0")
@@ -130,9 +127,10 @@ def dependents(claims: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def context(claims: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, number, parents, children and figures of each claim number."""
+    claims = stable(claims.select(key, "number", "depends_on", tokens.figure_ids(F.col("text")).alias("_figures")))
     own = claims.groupBy(key, "number").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("depends_on")))).alias("parents"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(tokens.figure_ids(F.col("text")))))).alias("figures"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_figures")))).alias("figures"),
     )
     return own.join(dependents(claims, key), [key, "number"], "left").select(key, "number", "parents", F.coalesce("children", F.expr("cast(array() as array<int>)")).alias("children"), "figures")
 
@@ -140,20 +138,19 @@ def context(claims: DataFrame, key: str = "doc_id") -> DataFrame:
 def tree(claims: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, root, number, depth, path of every chain of dependencies from an independent claim; cycles end a chain.
 
-    Levels are joined one at a time until one is empty; their number is the length of the longest chain.
+    Levels are joined one at a time until one is empty; their number is the length of the longest chain.  Claims are read
+    once, and each level is a table that the next one reads.
     """
-    links = stable(edges(claims, key))
+    claims = stable(claims.select(key, "number", "depends_on", "is_independent"))
+    links = stable(edges(claims, key).withColumnsRenamed({"number": "child", "parent": "number"}))
     roots = claims.where("is_independent").select(key, F.col("number").alias("root"), "number").distinct()
     level = stable(roots.withColumn("depth", F.lit(0)).withColumn("path", F.array("number")))
-    out, depth = level, 0
-    while True:
-        depth += 1
-        step = links.select(key, F.col("parent").alias("number"), F.col("number").alias("child"))
-        level = level.join(step, [key, "number"]).where(~F.array_contains("path", F.col("child"))).select(key, "root", F.col("child").alias("number"), F.lit(depth).alias("depth"), F.concat("path", F.array("child")).alias("path"))
-        level = stable(level)
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        step = level.join(links, [key, "number"]).where(~F.array_contains("path", F.col("child")))
+        level = stable(step.select(key, "root", F.col("child").alias("number"), F.lit(len(levels)).alias("depth"), F.concat("path", F.array("child")).alias("path")))
+    return read(level.sparkSession, level.schema, *[n for one in levels for n in one._names]) if levels else level
 
 
 def statistics(claims: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.stored import stable
+
 
 def grams(c: Column) -> Column:
     """Words of two or more characters and their bigrams, in lower case."""
@@ -20,13 +22,15 @@ def similarities(left: DataFrame, right: DataFrame, pair: str = "pair", threshol
     both = left.select(pair, "id", "text", F.lit("a").alias("side")).unionByName(right.select(pair, "id", "text", F.lit("b").alias("side")))
     n = both.groupBy(pair).agg(F.count("*").alias("n"))
     tf = both.select(pair, "side", "id", F.explode(grams(F.col("text"))).alias("gram")).groupBy(pair, "side", "id", "gram").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(pair, "gram").agg(F.count("*").alias("df"))
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
-    weighted = tf.join(df, [pair, "gram"]).join(n, pair).withColumn("w", F.col("tf") * idf)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(pair, "side", "id")))
-    unit = weighted.withColumn("w", F.col("w") / norm).select(pair, "side", "id", "gram", "w")
-    side = lambda s: unit.where(F.col("side") == s).select(pair, "gram", F.col("id").alias(s), F.col("w").alias(f"w{s}"))
-    return side("a").join(side("b"), [pair, "gram"]).groupBy(pair, "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    # A gram's claims stand together, so that its rarity, and the claims of both sides that share it, come from one table.
+    of = lambda s: F.collect_list(F.when(F.col("side") == s, F.struct("id", "tf"))).alias(s)
+    met = tf.groupBy(pair, "gram").agg(of("a"), of("b"), F.count("*").alias("df")).join(n, pair)
+    met = stable(met.select(pair, "a", "b", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    norm = lambda s: met.select(pair, "idf", F.inline(s)).groupBy(pair, F.col("id").alias(s)).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias(f"_{s}"))
+    shared = met.where((F.size("a") > 0) & (F.size("b") > 0)).select(pair, "idf", "b", F.inline("a")).withColumnsRenamed({"id": "x", "tf": "tx"}).select(pair, "idf", "x", "tx", F.inline("b"))
+    dots = shared.groupBy(pair, F.col("x").alias("a"), F.col("id").alias("b")).agg(F.sum(F.col("tx") * F.col("tf") * F.col("idf") ** 2).alias("dot"))
+    scored = dots.join(norm("a"), [pair, "a"]).join(norm("b"), [pair, "b"])
+    return scored.select(pair, "a", "b", (F.col("dot") / (F.col("_a") * F.col("_b"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def align(scored: DataFrame, pair: str = "pair") -> DataFrame:

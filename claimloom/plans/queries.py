@@ -101,9 +101,10 @@ def figure_context(spark, sf):
     return claims.figure_mentions(claim_rows(spark, sf)).select("doc_id", "figure", joined("claims").alias("claims"))
 
 
-@query(f"{C} SELECT doc_id, fig AS figure_number, CAST(NULL AS STRING) AS figure_suffix, count(*) AS n FROM c WHERE fig IS NOT NULL GROUP BY doc_id, fig")
+@query(f"""{C}, n AS (SELECT *, lead(number) OVER w AS next, lead(text) OVER w AS after FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+SELECT doc_id, fig AS figure_number, CAST(NULL AS STRING) AS figure_suffix, 'FIG. ' || fig AS raw_reference, '.' || CASE WHEN next IS NULL THEN '' ELSE ' ' || next || '. ' || trim(substr(after, 1, strpos(after, 'FIG.') - 1)) END AS description FROM n WHERE fig IS NOT NULL""")
 def figure_descriptions(spark, sf):
-    return sections.figures(bodies(spark, sf)).groupBy("doc_id", "figure_number", "figure_suffix").agg(F.count("*").alias("n"))
+    return sections.figures(bodies(spark, sf)).select("doc_id", "figure_number", "figure_suffix", "raw_reference", "description")
 
 
 @query(f"""{C}, g AS (SELECT doc_id, text, 'seen by supplier' AS needle, strpos(lower(text), 'is shown in fig. 4') AS at FROM c)
@@ -618,4 +619,4 @@ def issue_rates(spark, sf):
     return issues(spark, sf).groupBy("doc_id").agg(F.count_distinct("code").alias("n_codes"), F.round(F.avg((F.col("severity") == "error").cast("double")), 6).alias("error_rate"))
 
 
-from claimloom.plans import pages  # noqa: E402, F401  registers its queries
+from claimloom.plans import bodies as _bodies, pages  # noqa: E402, F401  register their queries
