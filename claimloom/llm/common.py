@@ -57,9 +57,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts the lineage, survives lost executors."""
     spark, seen = df.sparkSession, Observation()
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
+    long = {"string": F.octet_length, "binary": F.octet_length}
+    sizes = [F.coalesce((long.get(k) or (lambda c: 16 * F.size(c)))(F.col(f"`{c}`")), F.lit(0)) for c, k in df.dtypes if k in long or k.startswith("array")]
+    more = F.sum(sum(sizes[1:], sizes[0]).cast("long")) if sizes else F.max(F.lit(0))
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), more.alias("more")).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._written = path, int(seen.get["rows"])
+    out._written = path, int(seen.get["rows"]), int(seen.get["more"] or 0)
     return out
 
 
@@ -75,13 +78,8 @@ def rows_of(df: DataFrame) -> int:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """Bytes that the rows of a frame from written() take in memory, about: 8 a column and 48 a row, lists and texts by their files' size, times 4."""
-    total = rows_of(df) * (48 + 8 * len(df.columns))
-    if any(f.dataType.simpleString().startswith(("array", "string", "binary", "struct")) for f in df.schema):
-        for f in df.inputFiles():
-            path, store = _path(df.sparkSession, f)
-            total += 4 * store.getFileStatus(path).getLen()
-    return total
+    """Bytes that the rows of a frame from written() take in memory, about: 8 a column, 48 a row, and their texts and lists."""
+    return df._written[1] * (48 + 8 * len(df.columns)) + df._written[2]
 
 
 def small(df: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
