@@ -114,3 +114,26 @@ def casefolded(c: Column) -> Column:
 def before_first(c: Column, pattern: str) -> Column:
     """The text before the first match."""
     return F.element_at(F.split(c, pattern, 2), 1)
+
+
+def claim_words(c: Column) -> Column:
+    """Lower case and single spaces, as claims are compared."""
+    return F.lower(squeeze(c))
+
+
+def heading_text(c: Column) -> Column:
+    """A heading as headings are compared: compatible forms, dashes as hyphens, upper case."""
+    return F.upper(casefolded(F.translate(c, "−–—‐‑", "-----")))
+
+
+def earliest_cut(c: Column, patterns: list[str]) -> Column:
+    """Struct of the text before the earliest match of any pattern, and its place from 0; the whole text and null without."""
+    before = [F.when(c.rlike(p), F.length(before_first(c, p))) for p in patterns]
+    at = before[0] if len(before) == 1 else F.least(*before)
+    return F.struct(F.when(at.isNull(), c).otherwise(F.left(c, at)).alias("text"), at.alias("at"))
+
+
+def without_label(c: Column, labels: list[str]) -> Column:
+    """Struct of the text after the first of the labels that it begins with, and how many characters went."""
+    one = F.regexp_replace(c, r"(?i)^\s*(?:" + "|".join(rf"\Q{x}\E" for x in labels) + r")\s*[:\x{2014}\-]?\s*", "")
+    return F.struct(one.alias("text"), (F.length(c) - F.length(one)).alias("at"))

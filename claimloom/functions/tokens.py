@@ -26,6 +26,46 @@ CLAIM_LIST = r"(?i)\bclaims?\s+((?:\d+\s*(?:,|and|or)?\s*)+)\b"
 CLAIM_ONE = r"(?i)\bclaim\s+(\d+)\b"
 
 
+# Headings, examiners, dates, numbers of applications, patents and publications in running text.
+ABSTRACT = r"(?i)\(\s*57\s*\)\s*ABSTRACT\b"
+REFERENCES = r"(?i)\bREFERENCES?\s+CITED\b"
+EXAMINER = r"(?i)\b(?:Primary|Assistant)\s+Examiner\s*[\x{2014}:-]"
+EXAMINER_LABEL = r"(?i)\bExaminer\s*:"
+FULL_DATE = r"\b([A-Z][a-z]{2,8})\.?\s+(\d{1,2}),?\s+(\d{4})\b"
+ISO_DATE = r"\b(\d{4})-(\d{2})-(\d{2})\b"
+APPLICATION_NUMBER = r"\b(\d{1,2})\s*/\s*(\d{3})\s*,?\s*(\d{3})\b"
+US_PATENT = r"(?i)\b(?:US\s*)?([0-9]{1,2}),?([0-9]{3}),?([0-9]{3})\s*([A-Z][0-9])?\b"
+US_PUBLICATION = r"\b(20\d{2})/(\d{7})\s*([A-Z]\d)?\b"
+BODY_HEADINGS = {
+    "background": r"(?i)\bBACKGROUND(?:\s+OF)?(?:\s+THE)?(?:\s+INVENTION)?\b", "summary": r"(?i)\bSUMMARY(?:\s+OF)?(?:\s+THE)?(?:\s+INVENTION)?\b", "brief_description": r"(?i)\bBRIEF\s+DESCRIPTION\s+OF\s+THE\s+(?:DRAWINGS|FIGURES)\b",
+    "detailed_description": r"(?i)\bDETAILED\s+DESCRIPTION(?:\s+OF)?(?:\s+THE)?(?:\s+INVENTION)?(?:\s+EMBODIMENT)?\b", "claims": r"(?i)\b(?:CLAIMS?|What\s+is\s+claimed|The\s+invention\s+claimed)\b",
+}
+
+
+def dates(c: Column) -> Column:
+    """The dates of a text in order, as ISO texts: written out ones, then ISO ones."""
+    part = lambda m, k: F.regexp_extract(m, FULL_DATE, k)
+    month = lambda m: F.array_position(F.array(*[F.lit(x) for x in ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")]), F.lower(F.left(part(m, 1), F.lit(3))))
+    written = F.transform(F.filter(every(c, FULL_DATE), lambda m: month(m) > 0), lambda m: F.format_string("%s-%02d-%02d", part(m, 3), month(m).cast("int"), part(m, 2).cast("int")))
+    return F.concat(written, every(c, ISO_DATE))
+
+
+def application_numbers(c: Column) -> Column:
+    """Application numbers of a text as series/serial."""
+    part = lambda m, k: F.regexp_extract(m, APPLICATION_NUMBER, k)
+    return as_set(F.transform(every(c, APPLICATION_NUMBER), lambda m: F.concat(part(m, 1), F.lit("/"), part(m, 2), part(m, 3))))
+
+
+def us_publications(c: Column) -> Column:
+    """Publications such as 2009/0123456 A1, as year and seven digits."""
+    return as_set(F.transform(every(c, US_PUBLICATION), lambda m: F.concat(F.regexp_extract(m, US_PUBLICATION, 1), F.regexp_extract(m, US_PUBLICATION, 2))))
+
+
+def us_patents(c: Column) -> Column:
+    """Grants such as US 7,629,993 B2, as digits."""
+    return as_set(F.transform(every(c, US_PATENT), lambda m: F.concat(*[F.regexp_extract(m, US_PATENT, k) for k in (1, 2, 3)])))
+
+
 def every(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 

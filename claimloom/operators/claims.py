@@ -153,6 +153,30 @@ def tree(claims: DataFrame, key: str = "doc_id") -> DataFrame:
     return read(level.sparkSession, level.schema, *[n for one in levels for n in one._names]) if levels else level
 
 
+def nested(claims: DataFrame, key: str = "doc_id", most: int = 100) -> DataFrame:
+    """key, root, tree: each independent claim as JSON with the claims that depend on it below it, texts cut at `most` characters.
+
+    A claim stands below each claim that it depends on; cycles end.  Trees are put together from their deepest level up.
+    """
+    claims = stable(claims.select(key, "pos", "number", "text", "depends_on", "is_independent"))
+    one = claims.groupBy(key, "number").agg(F.max_by("text", "pos").alias("_t"))
+    cut = F.when(F.length("_t") > most, F.concat(F.left("_t", F.lit(most)), F.lit("..."))).otherwise(F.col("_t"))
+    rows = stable(tree(claims, key).select(key, "root", "number", "depth", F.array_join("path", ">").alias("path")).join(one.select(key, "number", cut.alias("text")), [key, "number"]))
+    node = lambda children: F.concat(F.lit('{"number":'), F.col("number").cast("string"), F.lit(',"text":'), F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", ""), F.lit(',"children":['), children, F.lit("]}"))
+    depth = rows.agg(F.max("depth")).first()[0]
+    below = None
+    for level in range(depth if depth is not None else -1, -1, -1):
+        here = rows.where(F.col("depth") == level)
+        made = here.withColumn("_c", F.lit("")) if below is None else here.join(below, [key, "path"], "left").withColumn("_c", F.coalesce("_c", F.lit("")))
+        made = made.select(key, "root", "number", "path", node(F.col("_c")).alias("tree"))
+        if level:
+            up = F.regexp_replace("path", ">[0-9]+$", "")
+            below = stable(made.groupBy(key, up.alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "tree"))), lambda x: x["tree"]), ",").alias("_c")))
+        else:
+            return made.select(key, "root", "tree")
+    return rows.select(key, "root", F.lit("").alias("tree")).limit(0)
+
+
 def statistics(claims: DataFrame, key: str = "doc_id") -> DataFrame:
     """Counts for each document."""
     return claims.groupBy(key).agg(

@@ -75,6 +75,42 @@ def word_diff(a: Column, b: Column) -> Column:
     return ops(a, b)
 
 
+def line_diff(a: Column, b: Column) -> Column:
+    """The unified differences of two texts by lines, which SQL has no function for."""
+    @F.pandas_udf("string")
+    def lines(x: pd.Series, y: pd.Series) -> pd.Series:
+        import difflib
+
+        one = lambda p, q: "\n".join(difflib.unified_diff((p or "").splitlines(), (q or "").splitlines(), fromfile="submitted", tofile="approved", lineterm=""))
+        return pd.Series([one(p, q) for p, q in zip(x, y, strict=True)])
+
+    return lines(a, b)
+
+
+STATUSES = ("unchanged", "renumbered", "modified", "removed", "added")
+
+
+def summary(changes: DataFrame, pair: str = "pair") -> DataFrame:
+    """pair, a count for each status, and whether one side has no claims at all."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return changes.groupBy(pair).agg(*[n(s).alias(s) for s in STATUSES], (F.count("a") * F.count("b") == 0).alias("claims_empty"))
+
+
+def in_order(changes: DataFrame) -> DataFrame:
+    """The changes by number in the later version, those without one last, then by number in the earlier."""
+    return changes.orderBy("pair", F.col("b").asc_nulls_last(), "b", "a")
+
+
+def versions(submitted: DataFrame, approved: DataFrame, pair: str = "pair", near: float = 0.72, same: float = 0.96) -> dict[str, DataFrame]:
+    """changes, summary and excerpts of two versions' claims(pair, id, text): aligned, held against each other, and their changed phrases found again."""
+    left, right = stable(submitted.select(pair, "id", "text")), stable(approved.select(pair, "id", "text"))
+    changes = stable(diff(left, right, align(similarities(left, right, pair, near), pair), pair, same))
+    changed = changes.where("status in ('modified', 'added') and b is not null").select(pair, F.col("b").alias("id")).join(right, [pair, "id"])
+    wanted = changed.select(pair, F.explode(anchors(F.col("text"))).alias("anchor")).distinct()
+    whole = right.groupBy(pair).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda c: c["text"]), "\n").alias("text"))
+    return {"changes": changes, "summary": summary(changes, pair), "excerpts": excerpts(whole, wanted, pair)}
+
+
 def anchors(c: Column, most: int = 30) -> Column:
     """Distinct phrases between marks, of 12 to 80 characters, longest first."""
     parts = F.transform(F.split(c, r"[,;:.]"), lambda p: F.trim(p))
