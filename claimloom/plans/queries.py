@@ -619,4 +619,4 @@ def issue_rates(spark, sf):
     return issues(spark, sf).groupBy("doc_id").agg(F.count_distinct("code").alias("n_codes"), F.round(F.avg((F.col("severity") == "error").cast("double")), 6).alias("error_rate"))
 
 
-from claimloom.plans import bodies as _bodies, pages, sheets  # noqa: E402, F401  register their queries
+from claimloom.plans import bodies as _bodies, documents, pages, sheets  # noqa: E402, F401  register their queries

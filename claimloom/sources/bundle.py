@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom import schemas
+from claimloom import logs, schemas
+from claimloom.operators import ingest
+from claimloom.options import Export, Parse
+from claimloom.sources.sinks import FolderSink, Sink
 
 
 def documents(spark: SparkSession, path: str, doc_id: Column | None = None) -> DataFrame:
@@ -42,18 +45,68 @@ def manifest(tables: dict[str, DataFrame], hashes: DataFrame | None = None) -> D
     return out.select("doc_id", F.lit(schemas.VERSION).alias("schema_version"), "sha256", "n_claims", "n_figures", "artifacts")
 
 
-def write(tables: dict[str, DataFrame], path: str, hashes: DataFrame | None = None, mode: str = "overwrite") -> None:
+def parse(spark: SparkSession, decode: Callable[[bytes], list[dict]], path: str | None = None, files: DataFrame | None = None, options: Parse = Parse()) -> dict[str, DataFrame]:
+    """The tables of ingest() for the documents below a path or in files(doc_id, sha256, content), one of which is given.
+
+    A document without an id of its own is known by its publication, if one is found, else by its hash's start.
+    """
+    if (path is None) == (files is None):
+        raise ValueError("give either a path or files")
+    rows = files if files is not None else documents(spark, path)
+    out = ingest.ingest(words(rows, decode), options)
+    if files is None:
+        names = out["front"].select("doc_id", F.coalesce("publication_id", "doc_id").alias("_name"))
+        out = {k: t.join(names, "doc_id").withColumn("doc_id", F.col("_name")).drop("_name") for k, t in out.items()}
+    return out
+
+
+def export(tables: dict[str, DataFrame], sink: Sink, options: Export = Export(), hashes: DataFrame | None = None) -> DataFrame:
+    """Puts the tables that the options name into the sink, and always the manifest, which is returned."""
+    wanted = {"front": options.front, "sections": options.body_text, "claims": options.body_text, "figures": options.body_text, "drawings": options.drawings}
+    kept = {name: t for name, t in tables.items() if wanted.get(name)}
+    log = logs.get("claimloom.export")
+    for name, t in kept.items():
+        log.info("table written", extra={"fields": {"table": name, "to": sink.put_json(name, t)}})
+    out = manifest(kept, hashes)
+    sink.put_json("manifest", out)
+    return out
+
+
+def write(tables: dict[str, DataFrame], path: str, hashes: DataFrame | None = None) -> None:
     """A folder of JSON lines for each table, and one for the manifest."""
+    sink = FolderSink(path)
     for name, table in tables.items():
-        table.write.mode(mode).json(f"{path}/{name}")
-    manifest(tables, hashes).write.mode(mode).json(f"{path}/manifest")
+        sink.put_json(name, table)
+    sink.put_json("manifest", manifest(tables, hashes))
+
+
+#: What stands for null: texts are empty, lists have no members, claims are independent.
+DEFAULTS = {"text": "''", "description": "''", "abstract": "''", "title": "''", "assignee": "''", "depends_on": "array()", "inventors": "array()", "cited": "array()", "is_independent": "true"}
+
+
+def _rows(spark: SparkSession, path: str, name: str, ddl: str) -> DataFrame:
+    return spark.read.text(f"{path}/{name}").select("value", F.from_json("value", ddl).alias("r"))
+
+
+def read(spark: SparkSession, path: str, defaults: bool = False) -> dict[str, DataFrame]:
+    """The tables of a bundle by their fixed schemas; lines that aren't JSON, or that name no document, are in read_bad()."""
+    out = {}
+    for name, ddl in {**schemas.BUNDLE, "manifest": schemas.MANIFEST}.items():
+        rows = _rows(spark, path, name, ddl).select("r.*").where("doc_id is not null")
+        if defaults:
+            kinds = dict(rows.dtypes)
+            rows = rows.withColumns({c: F.coalesce(c, F.expr(v).cast(kinds[c])) for c, v in DEFAULTS.items() if c in kinds})
+        out[name] = rows
+    return out
 
 
-def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a bundle by their fixed schemas; lines that aren't JSON, or that name no document, are left out."""
-    tables = {**schemas.BUNDLE, "manifest": schemas.MANIFEST}
-    row = lambda name, ddl: spark.read.text(f"{path}/{name}").select(F.from_json("value", ddl).alias("r")).select("r.*").where("doc_id is not null")
-    return {name: row(name, ddl) for name, ddl in tables.items()}
+def read_bad(spark: SparkSession, path: str) -> DataFrame:
+    """table, value: the lines of a bundle that read() leaves out."""
+    out = None
+    for name, ddl in {**schemas.BUNDLE, "manifest": schemas.MANIFEST}.items():
+        bad = _rows(spark, path, name, ddl).where("r.doc_id is null").select(F.lit(name).alias("table"), "value")
+        out = bad if out is None else out.unionByName(bad)
+    return out
 
 
 def bucket(name: Column) -> Column:
