@@ -207,6 +207,20 @@ def crops(labels: DataFrame, parts: DataFrame, width: int, height: int, page: st
     return rows.select(page, F.col("label").alias("k"), *[side(s) for s in SIDES], F.col("_grown").alias("used_radius"), bare.alias("used_partition"), F.when(bare, 0.4).otherwise(0.6).alias("confidence"))
 
 
+def sheet_regions(words: DataFrame, tokens: DataFrame, parts: DataFrame, width: int, height: int, page: str = "page", how: Settings = Settings()) -> DataFrame:
+    """page, k, figure, source and what crops() gives: labels from a sheet's words, or from recognised tokens where these have none.
+
+    Sheets without labels have no regions.
+    """
+    written = figure_labels(words, page).withColumn("source", F.lit("text"))
+    seen = token_labels(tokens, page).drop("conf").withColumn("source", F.lit("ocr"))
+    labels = written.unionByName(seen.join(written.select(page).distinct(), page, "left_anti"))
+    number = F.regexp_extract("label", "^[0-9]+", 0).cast("int")
+    order = Window.partitionBy(page).orderBy(number, F.regexp_extract("label", "[A-Z]$", 0))
+    labels = labels.withColumn("k", F.row_number().over(order))
+    return labels.select(page, "k", F.col("label").alias("figure"), "source").join(crops(labels, parts, width, height, page, how), [page, "k"])
+
+
 def sheets(parses: DataFrame, expected: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(doc, pages, n_sheets, n_regions, dpis) and issues of parses(doc, page, seq, dpi, n_regions) against expected(doc, page).
 

@@ -39,6 +39,17 @@ def analyse(words: DataFrame, options: Parse = Parse()) -> dict[str, DataFrame]:
     return {"pages": kinds, "fields": stable(fields), "blocks": stable(blocks)}
 
 
+def fields_above_noise(lines: DataFrame, least: int = 3) -> DataFrame:
+    """doc_id, tag, text of lines(doc_id, page, col, pos, y, y0, y1, text): fields of each page, without what stands below the largest gap of pages with `least` labels or more."""
+    labels = F.count_if(F.trim("text").rlike(layout.LABEL)).over(Window.partitionBy(*PAGE))
+    rows = stable(lines.withColumn("_n", labels))
+    cut = columns.noise_cutoff(rows.where(F.col("_n") >= least), PAGE)
+    kept = columns.above(rows, cut, PAGE)
+    whole = layout.field_blocks(kept.select(*PAGE, "col", "pos", "y", "y0", "y1", "text"), [*PAGE, "col"])
+    read = Window.partitionBy("doc_id").orderBy("page", "col", "y0", "first")
+    return layout.tagged_texts(whole.withColumn("pos", F.row_number().over(read)).where("tag is not null"))
+
+
 def ingest(words: DataFrame, options: Parse = Parse()) -> dict[str, DataFrame]:
     """front, sections, claims, figures, facts, drawings, issues and status of the documents of words(doc_id, page, word_no, x0, y0, x1, y1, text).
 

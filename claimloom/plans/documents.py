@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimloom import schemas
 from claimloom.functions import text, tokens
 from claimloom.operators import claims, compare, diagnostics, documents, front
 from claimloom.plans import lenses
@@ -220,4 +221,32 @@ def document_references(spark, sf):
     return rows.select("doc_id", joined(refs["patents"]).alias("patents"), joined(refs["publications"]).alias("publications"))
 
 
+@query(f"""{C} SELECT doc_id, 'no_claim_depends_on_itself' AS rule, count(*) AS n FROM c WHERE parent = number GROUP BY doc_id UNION ALL SELECT doc_id, 'number_is_even', count(*) FROM c WHERE number % 2 = 1 GROUP BY doc_id""")
+def claim_rules(spark, sf):
+    """Rows that break the rules of their table, and a rule that half of them break."""
+    rules = schemas.RULES["claims"] | {"number_is_even": "number % 2 = 0"}
+    return diagnostics.violations(claim_rows(spark, sf), rules)
+
+
+RANGES = "WITH r AS (SELECT CAST(o_orderkey AS BIGINT) AS doc_id, CAST(1 + o_orderkey % 4 AS INT) AS a, CAST(o_custkey % 8 AS INT) AS b FROM {orders})"
+
+
+@query(f"""{RANGES} SELECT doc_id, CASE WHEN a = b THEN a::VARCHAR WHEN a < b THEN list_aggregate(range(a, b + 1), 'string_agg', ',') ELSE a || ',' || b END AS numbers,
+CASE WHEN b % 3 = 0 THEN a || 'A' ELSE list_aggregate(list_transform(range(0, b % 3 + 1), lambda i: a || chr(65 + i::INT)), 'string_agg', ',') END AS letters, list_aggregate(list_distinct_in_order, 'string_agg', ',') AS listed
+FROM (SELECT *, CASE WHEN a = b THEN [a::VARCHAR, '9B'] ELSE [a::VARCHAR, b::VARCHAR, '9B'] END AS list_distinct_in_order FROM r)""")
+def figure_ranges(spark, sf):
+    """Ranges of numbers and of letters, and lists, as single figures."""
+    rows, a, b = lenses.frame(spark, sf, f"{RANGES} SELECT * FROM r"), F.col("a").cast("string"), F.col("b").cast("string")
+    end = F.concat(a, F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C")), (F.col("b") % 3 + 1).cast("int")))
+    return rows.select("doc_id", joined(tokens.figure_range(a, b)).alias("numbers"), joined(tokens.figure_range(F.concat(a, F.lit("A")), end)).alias("letters"), joined(tokens.figure_list(F.concat(a, F.lit(", "), b, F.lit(" and 9b")))).alias("listed"))
+
+
+@query(f"""{FRONT}, m AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'US' || grant_no || 'B2' END AS publication_id, (doc_id % 4 = 0)::INT * 2 + (doc_id % 5 = 0)::INT + (doc_id % 7 = 0)::INT + (doc_id % 3 = 0)::INT * 2 + (serial % 7 = 0)::INT + (doc_id % 5 <> 0)::INT AS n_issues FROM r) SELECT doc_id, publication_id, n_issues::BIGINT AS n_issues FROM m""")
+def front_parse(spark, sf):
+    """Front matter with the number of its issues."""
+    parsed, found = front.parse(thinned(spark, sf), STRICT)
+    n = found.groupBy("doc_id").agg(F.count("*").alias("n_issues"))
+    return parsed.select("doc_id", "publication_id").join(n, "doc_id", "left").select("doc_id", "publication_id", F.coalesce("n_issues", F.lit(0)).alias("n_issues"))
+
+
 __all__ = ["bodies"]

@@ -197,3 +197,16 @@ def block_order(spark, sf):
     from pyspark.sql import Window
 
     return blocks(spark, sf).select("doc_id", "pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "col", "y0", "pos")).alias("place"))
+
+
+RESCUED = """WITH r AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS n FROM {lineitem}),
+l AS (SELECT CAST(l_orderkey AS BIGINT) AS page, 'L' AS col, CAST(n AS INT) AS pos, CAST(60 + 9 * n AS DOUBLE) AS y, CASE WHEN n = 1 + l_orderkey % 6 THEN '(54) TITLE' WHEN l_partkey % 9 = 0 THEN '(21) field' ELSE concat('line ', l_partkey) END AS text,
+CASE WHEN n < 1 + l_orderkey % 6 THEN 'header' ELSE 'body' END AS region FROM r)"""
+
+
+@query(f"""{RESCUED}, a AS (SELECT page, min(y) AS at_ FROM l WHERE region = 'body' AND text LIKE '(54)%' GROUP BY page), n AS (SELECT l.*, coalesce(at_ - y > 0 AND at_ - y <= 20 AND text NOT LIKE '(%', false) AS near FROM l LEFT JOIN a USING (page)),
+o AS (SELECT *, bool_and(near) OVER w AS open, count(*) OVER w AS k FROM n WINDOW w AS (PARTITION BY page, col, region ORDER BY y DESC, pos DESC)) SELECT page, region, text, y, CASE WHEN region = 'header' AND open AND k <= 4 THEN 'body' ELSE region END AS now FROM o""")
+def header_rescue(spark, sf):
+    """Header lines that stand close above the title join the body."""
+    rows = lenses.frame(spark, sf, f"{RESCUED} SELECT * FROM l").withColumn("was", F.col("region"))
+    return layout.rescue(rows, ["page"]).select("page", F.col("was").alias("region"), "text", "y", F.col("region").alias("now"))

@@ -298,6 +298,13 @@ normal("translate(upper(replace(text, 'ß', 'ss')), 'OIL', '011')", "norm_code_d
 normal("round(CASE WHEN length(regexp_replace(text, '[^\\pL]', '', 'g')) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^A-ZÀ-ÖØ-Þ]', '', 'g')) / length(regexp_replace(text, '[^\\pL]', '', 'g')) END, 6)", "norm_upper_ratio", lambda c: F.round(text.uppercase_ratio(c), 6))
 
 
+DEHYPHENATED = rx("text", (r"([\pL\pN_])-\n([\pL\pN_])", r"\1\2"))
+normal(rx(rx(DEHYPHENATED, (r"[\s\x{85}\p{Z}]+", " "), ("^ | $", "")), (" +([,.;:)-])", r"\1"), ("([(-]) *", r"\1"), ("([,;:])([^ ])", r"\1 \2")), "norm_text_field", text.text_field)
+normal(rx("text", (r"(?m)^[ \t]*[0-9]+[ \t]*$", ""), (r"\n{3,}", "CR"), (r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$", "")).replace("'CR'", "chr(10) || chr(10)"), "norm_page_noise", text.strip_page_noise)
+normal("regexp_replace(text, '(?s)[,.].*$', '')", "norm_before_first", lambda c: text.before_first(c, "[,.]"))
+normal("upper(" + rx("replace(text, 'ß', 'ss')", (r"[\s\x{85}\p{Z}]+", " "), ("^ | $", ""), (" *([:/\\-.,;]) *", r"\1")) + ")", "norm_heading", text.heading_text)
+
+
 @query()
 def norm_casefold(spark, sf):
     """NFKC and case folding (tested against Python's own)."""
@@ -582,9 +589,13 @@ def code_token_text(spark, sf):
     return rows.select("doc_id", text.for_contains(F.col("text")).alias("out"))
 
 
-@query("""WITH p AS (SELECT page_id, url FROM pages) SELECT page_id, CASE WHEN strpos(url, 'sheets/') > 0 AND suffix(url, '.pdf') THEN 'sheet_pdfs' WHEN strpos(url, 'sheets/') > 0 AND suffix(url, '.png') THEN 'sheet_pngs' WHEN suffix(url, '.png') THEN 'figure_pngs' ELSE 'other' END AS bucket FROM p""")
+PATHS = """WITH p AS (SELECT CAST(o_orderkey AS BIGINT) AS doc_id, o_orderkey % 2 = 0 AS has_regions, concat(CASE WHEN o_custkey % 3 = 0 THEN 'drawings/sheets/' ELSE 'drawings/' END, 'p', o_orderkey, CASE o_custkey % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.json' ELSE '.png' END) AS path FROM {orders})"""
+
+
+@query(f"""{PATHS} SELECT doc_id, CASE WHEN strpos(path, 'sheets/') > 0 AND suffix(path, '.pdf') THEN 'sheet_pdfs' WHEN strpos(path, 'sheets/') > 0 AND suffix(path, '.png') THEN 'sheet_pngs' WHEN suffix(path, '.png') AND has_regions THEN 'figure_pngs' ELSE 'other' END AS bucket, path AS paths FROM p""")
 def manifest_buckets(spark, sf):
-    return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", bundle.bucket(F.col("url")).alias("bucket"))
+    """Files by the manifest's lists; each of the lists has some."""
+    return bundle.file_lists(lenses.frame(spark, sf, f"{PATHS} SELECT * FROM p")).select("doc_id", "bucket", joined("paths").alias("paths"))
 
 
 @query(f"{C}, f AS (SELECT doc_id, count(fig) AS n FROM c GROUP BY doc_id) SELECT CAST(doc_id AS STRING) AS doc_id, '1.1.0' AS schema_version, count(*) AS n_claims, max(f.n) AS n_figures, CASE WHEN max(f.n) > 0 THEN 'claims,figures' ELSE 'claims' END AS artifacts FROM c JOIN f USING (doc_id) GROUP BY doc_id")
@@ -602,8 +613,9 @@ SELECT coalesce(a.g, b.g) AS g, coalesce(a.number, b.number) AS number, CASE WHE
 def number_reconciliation(spark, sf):
     """Numbers of two versions: on one side, on the other, on both."""
     rows = lenses.frame(spark, sf, lenses.CLAIMS).select(F.floor(F.col("doc_id") / 2).alias("g"), (F.col("doc_id") % 2).alias("s"), "number").distinct()
-    side = rows.groupBy("g", "number").agg(F.when(F.count("*") == 2, "both").when(F.max("s") == 0, "removed").otherwise("added").alias("side"))
-    return side
+    side = lambda s: rows.where(F.col("s") == s).select("g", "number", F.lit(True).alias(f"_{s}"))
+    both = side(0).join(side(1), ["g", "number"], "full")
+    return both.select("g", "number", F.when(F.col("_0").isNull(), "added").when(F.col("_1").isNull(), "removed").otherwise("both").alias("side"))
 
 
 @query(f"{I}, a AS (SELECT doc_id, code, message FROM i WHERE severity = 'error'), b AS (SELECT doc_id, code, message FROM i WHERE severity = 'warning') SELECT DISTINCT doc_id, message FROM (SELECT doc_id, message FROM a INTERSECT SELECT doc_id, message FROM b)")

@@ -120,3 +120,26 @@ def drawing_names(spark, sf):
 def drawing_merged_in_order(spark, sf):
     """Boxes united in their order, as the order decides (tested against a plain version)."""
     return drawings.merge_boxes(boxes(spark, sf)[2], ref_compat=True)
+
+
+@query(f"""WITH x AS ({lenses.BOXES}), c AS (SELECT * FROM x WHERE k > 2), i AS (SELECT * FROM x WHERE k <= 2 AND (x1 - x0) * (y1 - y0) < 0.45 * 9000)
+SELECT page, k FROM c WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.page = c.page AND least(c.y1, i.y1) - greatest(c.y0, i.y0) >= 0.6 * (c.y1 - c.y0) AND least(c.x1, i.x1) - greatest(c.x0, i.x0) >= 0.25 * (c.x1 - c.x0))""")
+def drawing_lines_off_images(spark, sf):
+    """Lines that no image covers, without images that are as large as a background."""
+    labels, parts, _ = boxes(spark, sf)
+    images = drawings.image_boxes(labels.withColumn("type", F.lit(1)))
+    return drawings.without_overlapped(parts, images, sheet=9000.0).select("page", "k")
+
+
+@query(f"""WITH x AS ({lenses.BOXES}), n AS (SELECT page, k, greatest(0, least(1, x0 / 400)) AS x0, greatest(0, least(1, y0 / 600)) AS y0, greatest(0, least(1, x1 / 400)) AS x1, greatest(0, least(1, y1 / 600)) AS y1 FROM x),
+p AS (SELECT page, k, trunc(x0 * 200)::INT AS x0, trunc(y0 * 300)::INT AS y0, trunc(x1 * 200)::INT AS x1, trunc(y1 * 300)::INT AS y1 FROM n) SELECT page, k, x0, y0, greatest(x1, x0 + 1) AS x1, greatest(y1, y0 + 1) AS y1 FROM p""")
+def drawing_pixels(spark, sf):
+    """Boxes as shares of a sheet, and those as pixels of another size."""
+    return drawings.pixels(drawings.normalised(boxes(spark, sf)[2], 400.0, 600.0), 200, 300).select("page", "k", *drawings.SIDES)
+
+
+@query()
+def drawing_regions(spark, sf):
+    """Regions of sheets by labels from words, else from tokens (its steps have SQL of their own)."""
+    words, tokens = lenses.frame(spark, sf, f"{WORDS} SELECT * FROM w"), lenses.frame(spark, sf, f"{TOKENS} SELECT * FROM k")
+    return drawings.sheet_regions(words, tokens, boxes(spark, sf)[1], 500, 800).select("page", "k", "figure", "source", "used_radius", "used_partition")

@@ -109,7 +109,13 @@ def read_bad(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def bucket(name: Column) -> Column:
-    """The manifest's list that a file belongs to."""
-    sheet = name.contains("sheets/")
-    return F.when(sheet & name.endswith(".pdf"), "sheet_pdfs").when(sheet & name.endswith(".png"), "sheet_pngs").when(name.endswith(".png"), "figure_pngs").otherwise("other")
+def bucket(name: Column, has_regions: Column | None = None) -> Column:
+    """The manifest's list that a file belongs to; images outside the sheets' folder are figures where there are regions."""
+    sheet, figure = name.contains("sheets/"), name.endswith(".png") & (has_regions if has_regions is not None else F.lit(True))
+    return F.when(sheet & name.endswith(".pdf"), "sheet_pdfs").when(sheet & name.endswith(".png"), "sheet_pngs").when(figure, "figure_pngs").otherwise("other")
+
+
+def file_lists(files: DataFrame) -> DataFrame:
+    """doc_id, bucket, paths of files(doc_id, path, has_regions)."""
+    rows = files.withColumn("bucket", bucket(F.col("path"), F.col("has_regions")))
+    return rows.groupBy("doc_id", "bucket").agg(F.array_sort(F.collect_list("path")).alias("paths"))
