@@ -67,3 +67,31 @@ def test_encode_stage(steps):
 
 def test_run_equals_its_stages(spark, steps):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r["doc_id"] for r in steps[-1][1])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _id string, _text string, node string, signature string, name string"
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and ids, and columns with the operators' own names."""
+    line = "A line of more than forty characters that many documents share."
+    texts = [None, "", " ", line, f"{line}\nand more of it", "w " * 30000, "x" * 50000, "a b c d e f g", "a b c d e f g"]
+    rows = [(i, t, "en", None, 1, "i", "t", "n", "s", "m") for i, t in enumerate(texts)] + [(None, line, None, "web", None, *["z"] * 5), (None, None, None, None, None, *["z"] * 5), (3, line, "en", None, 1, "i", "t", "n", "s", "m"), (7, "other words here", "en", None, 1, "i", "t", "n", "s", "m")]
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, SF).cache()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert made.columns == docs.columns and made.schema == docs.schema
+        assert {r["doc_id"] for r in made.collect()} <= {r["doc_id"] for r in docs.collect()}
+        docs = made
+    assert set(docs.columns) == {"doc_id", "lang", "source", "ids"} and docs.where("doc_id is null").count() >= 1
+    # The near-copy stage by itself: one row for each id and group.
+    left = corpus_pipeline.near_copy_stage(spark, spark.createDataFrame(rows, ODD), SF).collect()
+    assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == [0, 3, 4, 5, 6, 7] and sum(r["doc_id"] is None for r in left) == 2
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
