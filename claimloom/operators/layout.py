@@ -37,6 +37,11 @@ def header_metadata(c: Column) -> Column:
     return F.greatest(*found, t.rlike(KIND) & t.rlike(r"\d"))
 
 
+def running_header(c: Column) -> Column:
+    """Whether a text reads like a running header: a publication number, a date, a sheet count or a kind code."""
+    return F.greatest(*[c.rlike(p) for p in (*PUBLISHED[:2], DATE, SHEET_OF, KIND)])
+
+
 def clusters(words: DataFrame, line: list[str], gap: float = 15.0) -> DataFrame:
     """The words with `cluster`: a new one after each gap of at least `gap` to the previous word."""
     by = Window.partitionBy(*line).orderBy("x0", "x1")
@@ -82,8 +87,7 @@ def split_header(lines: DataFrame, page: list[str], height: float) -> DataFrame:
     facts = scan.groupBy(*page).agg(title.alias("title"), F.count("*").alias("n"), F.coalesce(F.median(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(10.0)).alias("typical"))
     wide = scan.join(facts.where("n >= 6"), page).where((F.col("y") >= F.col("high") + 4) & (F.col("gap") >= F.greatest(F.lit(24.0), 2.5 * F.col("typical"))))
     ends = facts.join(band, page).join(wide.groupBy(*page).agg(F.min("y").alias("edge")), page, "left")
-    running = F.greatest(*[F.col("title").rlike(p) for p in (*PUBLISHED[:2], DATE, SHEET_OF, KIND)])
-    end = F.when(running, F.least(F.col("high") + 4, F.lit(min(80.0, 0.1 * height)))).otherwise(F.coalesce("edge", "high") + 4)
+    end = F.when(running_header(F.col("title")), F.least(F.col("high") + 4, F.lit(min(80.0, 0.1 * height)))).otherwise(F.coalesce("edge", "high") + 4)
     split = lines.join(ends.select(*page, end.alias("_end")), page, "left")
     return split.withColumn("region", F.when(F.col("y") <= F.col("_end"), "header").otherwise("body")).drop("_end")
 

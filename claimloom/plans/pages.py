@@ -210,3 +210,11 @@ def header_rescue(spark, sf):
     """Header lines that stand close above the title join the body."""
     rows = lenses.frame(spark, sf, f"{RESCUED} SELECT * FROM l").withColumn("was", F.col("region"))
     return layout.rescue(rows, ["page"]).select("page", F.col("was").alias("region"), "text", "y", F.col("region").alias("now"))
+
+
+LIKE = " OR ".join(f"regexp_matches(text, '{x}')" for x in (*layout.PUBLISHED[:2], layout.DATE, layout.SHEET_OF, layout.KIND))
+
+
+@query(f"{P} SELECT doc_id, page, col, pos, {LIKE} AS running FROM p")
+def header_running_lines(spark, sf):
+    return pages(spark, sf).select(*KEY, "col", "pos", layout.running_header(F.col("text")).alias("running"))

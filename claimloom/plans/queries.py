@@ -548,9 +548,18 @@ def top_lines(spark, sf):
     return lenses.frame(spark, sf, TOP.replace("{lines}", lenses.LINES))
 
 
-@query()
+LIKE_HEADER = " OR ".join(f"regexp_matches(title, '{p}')" for p in (*layout.PUBLISHED[:2], layout.DATE, layout.SHEET_OF, layout.KIND))
+
+
+@query(f"""WITH l AS ({TOP.replace("{lines}", lenses.LINES)}), t AS (SELECT * FROM l WHERE y <= 176), d AS (SELECT p.doc_id, p.y AS high, min(q.y) AS low, count(*) AS n FROM t p JOIN t q ON p.doc_id = q.doc_id AND q.y BETWEEN p.y - 30 AND p.y GROUP BY p.doc_id, p.pos, p.y),
+b AS (SELECT doc_id, low, high FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, high) AS k FROM d) WHERE k = 1 AND n >= 2),
+s AS (SELECT l.*, low, high, lead(y) OVER (PARTITION BY l.doc_id ORDER BY y, pos) - y AS gap FROM l JOIN b USING (doc_id) WHERE y <= 360 AND y >= low - 2),
+f AS (SELECT doc_id, any_value(high) AS high, coalesce(string_agg(trim(text), ' ' ORDER BY y, pos) FILTER (y BETWEEN low AND high), '') AS title, count(*) AS n, coalesce(median(gap) FILTER (gap > 0), 10) AS typical FROM s GROUP BY doc_id),
+w AS (SELECT s.doc_id, min(y) AS edge FROM s JOIN f USING (doc_id) WHERE n >= 6 AND y >= s.high + 4 AND gap >= greatest(24, 2.5 * typical) GROUP BY s.doc_id),
+e AS (SELECT f.doc_id, CASE WHEN {LIKE_HEADER} THEN least(high + 4, 80) ELSE coalesce(edge, high) + 4 END AS e FROM f LEFT JOIN w USING (doc_id))
+SELECT l.doc_id, count(*) FILTER (y <= e) AS n_header, count(*) FILTER (e IS NULL OR y > e) AS n_body FROM l LEFT JOIN e USING (doc_id) GROUP BY l.doc_id""")
 def page_header_split(spark, sf):
-    """Lines of the header and of the body of each page (tested on small pages)."""
+    """Lines of the header and of the body of each page."""
     split = layout.split_header(top_lines(spark, sf), ["doc_id"], 800.0)
     return split.groupBy("doc_id").agg(F.count_if(F.col("region") == "header").alias("n_header"), F.count_if(F.col("region") == "body").alias("n_body"))
 
