@@ -79,6 +79,8 @@ def rows_of(df: DataFrame) -> int:
 
 def bytes_of(df: DataFrame) -> int:
     """Bytes that the rows of a frame from written() take in memory, about: 8 a column, 48 a row, and their texts and lists."""
+    if not hasattr(df, "_written"):
+        raise TypeError("not a table from written()")
     return df._written[1] * (48 + 8 * len(df.columns)) + df._written[2]
 
 

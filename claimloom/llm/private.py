@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import hidden, shown, small, written
+from claimloom.llm import common
+from claimloom.llm.common import bytes_of, hidden, meet, shown, small, written
 
 #: The four kinds in their order, a character that a text must hold, and the pattern.  Quantifiers are
 #: possessive where that changes no match, which keeps long runs linear and off the stack.
@@ -94,17 +95,19 @@ def disclosing(docs: DataFrame, masks: DataFrame, named: DataFrame, support: int
     terms = written(terms, "terms")
     wanted = written(terms.groupBy("term").count().where(F.col("count") >= support).select("term"), "wanted")
     held = masked(docs, masks, "left").select(F.explode(_terms("_text")).alias("term"))
-    in_docs = written(held.join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("of_term")), "counted")
+    if bytes_of(wanted) <= common.BROADCAST_BYTES:  # else terms are counted before they are joined, so that no hot one is shuffled
+        held = held.join(F.broadcast(wanted), "term", "left_semi")
+    in_docs = written(held.groupBy("term").agg(F.count("*").alias("of_term")).join(small(wanted), "term"), "counted")
     # A word that even in all of an entity's documents would tell too little needn't be paired with it.
-    t, h = terms.join(small(in_docs), "term"), holders
+    t, h = meet(terms, in_docs, ["term"], "of_term"), holders
     able = F.col("of_term") <= 1.000001 * total * F.pow(F.col("of_entity") / total, F.lit(float(generalise)))
     pairs = written(t.join(h, same(t, h) & able).select(t["_id"], t["_h"], "entity", "term", "of_entity", "of_term"), "joint")
     joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("of_entity").alias("of_entity"), F.first("of_term").alias("of_term")).where(F.col("both") >= support)
     information = F.log2(F.lit(total) / F.col("of_entity"))
     mutual = F.log2(F.lit(total) * F.col("both") / (F.col("of_entity") * F.col("of_term")))
     share = F.when(information > 0, mutual / information).otherwise(0.0)
-    told = written(joint.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise), "told")
-    return pairs.join(small(told), ["entity", "term"]).groupBy("_id", "_h", "term").agg(F.max("share").alias("share"))
+    told = written(joint.select("entity", "term", "both", share.alias("share")).where(F.col("share") >= generalise), "told")
+    return meet(pairs.select("_id", "_h", "entity", "term"), told, ["entity", "term"], "both").groupBy("_id", "_h", "term").agg(F.max("share").alias("share"))
 
 
 def occurrences(docs: DataFrame, masks: DataFrame, told: DataFrame) -> DataFrame:

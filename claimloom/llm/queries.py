@@ -76,5 +76,11 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal, op2_simhash, op3_pii, op4_difference_cover, op5_licences, op6_fm_index, op7_suffix_array, op8_sentencepiece, op9_shards, op10_top_k)}
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and slots of each shard of op9_shards, which SQL can tell without the draw."""
+    slots = op9_shards(spark, sf_dir).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("n_slots"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+    return slots.select("shard", "n", "n_slots", "first", "last")
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal, op2_simhash, op3_pii, op4_difference_cover, op5_licences, op6_fm_index, op7_suffix_array, op8_sentencepiece, op9_shards, op10_top_k, shard_counts)}
 __all__ = ["QUERIES", "SQL", "model_path"]

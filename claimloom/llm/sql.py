@@ -78,4 +78,10 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(licences, '') A
 """
 
 
-SQL = {"op5_licences": op5(), "op4_difference_cover": OP4, "op6_fm_index": OP6, "op7_suffix_array": OP7, "op10_top_k": OP10}
+SHARD_COUNTS = """
+WITH n AS (SELECT count(*) AS n FROM documents), s AS (SELECT unnest(range(40))::INTEGER AS shard),
+c AS (SELECT shard, n // 40 + CASE WHEN shard < n % 40 THEN 1 ELSE 0 END AS n FROM s, n)
+SELECT shard, n, n AS n_slots, 0::BIGINT AS first, n - 1 AS last FROM c WHERE n > 0
+"""
+
+SQL = {"shard_counts": SHARD_COUNTS, "op5_licences": op5(), "op4_difference_cover": OP4, "op6_fm_index": OP6, "op7_suffix_array": OP7, "op10_top_k": OP10}

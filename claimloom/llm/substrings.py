@@ -150,7 +150,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     same = rows.select("_id", "_h", F.md5("_text").alias("_md5")).where(F.col("_id").isNotNull())
     least = written(same.groupBy("_md5").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most"), "least")
     copies = written(same.join(small(least), "_md5").where(F.col("_id") > F.col("least")).select("_id", "_h").distinct(), "copies")
-    marked = small(copies.withColumn("copy", F.lit(True)))
+    marked = small(copies).withColumn("copy", F.lit(True))
     rows = rows.join(marked, ["_id", "_h"], "left")
     kind = "key long, _id long, _h long, at int"
     anchors = rows.where(F.col("copy").isNull() & F.col("_id").isNotNull()).select("_id", "_h", "_text").mapInArrow(lambda batches: _anchors(batches, size), kind)
