@@ -32,7 +32,7 @@ from claimloom.llm.common import fields, modest_batches, with_columns
 
 SPACE = "▁"
 #: Characters that one suffix array holds, and units whose encoding a worker remembers.
-INDEXED, KNOWN = 1 << 18, 1 << 17
+INDEXED, KNOWN = 1 << 18, 1 << 18
 #: Units with more characters are joined by a heap, one at a time.
 LONG = 64
 
@@ -75,7 +75,7 @@ class Pieces:
     # --- matching ---------------------------------------------------------------------------------------------------
 
     def matches(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, length and number of all pieces that stand in a text, by position, from its suffix array."""
+        """Position, length and number of all pieces that stand in a text, from its suffix array."""
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         alphabet, dense = np.unique(codes, return_inverse=True)
         dense = np.append(dense + 1, np.zeros(self.depth, np.int64)).astype(np.uint64)
@@ -114,11 +114,10 @@ class Pieces:
         many = np.maximum(high - low, 0)
         which = np.repeat(np.arange(len(some)), many)
         at = suffixes[low[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)]
-        by = np.argsort(at, kind="stable")
-        return at[by], sizes[which][by], ids[which][by]
+        return at, sizes[which], ids[which]
 
     def edges(self, text: str) -> np.ndarray:
-        """edge[position, length]: the piece that stands there, or -1."""
+        """edge[position, length]: the piece that stands there, or -1; the table puts the edges in order of position."""
         at, size, piece = self.matches(text)
         edge = np.full((len(text), self.depth + 1), -1, np.int32)
         edge[at, size] = piece
@@ -243,8 +242,10 @@ class Pieces:
 
     def learn(self, units: list[str]) -> None:
         """Encodes units that aren't known yet, as many as one suffix array holds at a time."""
-        self.known.update((u, self.joined(u)) for u in units if len(u) > INDEXED)
-        units, start = [u for u in units if len(u) <= INDEXED], 0
+        if max(map(len, units), default=0) > INDEXED:
+            self.known.update((u, self.joined(u)) for u in units if len(u) > INDEXED)
+            units = [u for u in units if len(u) <= INDEXED]
+        start = 0
         while start < len(units):
             chars, stop = 0, start
             while stop < len(units) and (stop == start or chars + len(units[stop]) < INDEXED):
@@ -279,9 +280,9 @@ class Pieces:
         if len(self.known) > KNOWN:
             self.known.clear()
         cut = [None if t is None else self.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        cut = [u if not u or max(map(len, u)) <= INDEXED else [p for one in u for p in (self.parts(one) if len(one) > INDEXED else [one])] for u in cut]
+        cut = [u if not u or len(t) < INDEXED or max(map(len, u)) <= INDEXED else [p for one in u for p in (self.parts(one) if len(one) > INDEXED else [one])] for t, u in zip(texts, cut, strict=True)]
         fresh = set().union(*(u for u in cut if u)) - self.known.keys() if any(cut) else set()
-        self.learn(sorted(fresh))
+        self.learn(list(fresh))
         return [None if u is None else b"".join(map(self.known.__getitem__, u)) for u in cut]
 
     def decode(self, ids: list[int]) -> str:
