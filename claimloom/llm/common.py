@@ -58,7 +58,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, seen = df.sparkSession, Observation()
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     long = {"string": F.octet_length, "binary": F.octet_length}
-    sizes = [F.coalesce((long.get(k) or (lambda c: 16 * F.size(c)))(F.col(f"`{c}`")), F.lit(0)) for c, k in df.dtypes if k in long or k.startswith("array")]
+    wide = lambda k: lambda c: {"array<int>": 4, "array<bigint>": 8}.get(k, 16) * F.size(c)
+    sizes = [F.coalesce((long.get(k) or wide(k))(F.col(f"`{c}`")), F.lit(0)) for c, k in df.dtypes if k in long or k.startswith("array")]
     more = F.sum(sum(sizes[1:], sizes[0]).cast("long")) if sizes else F.max(F.lit(0))
     df.observe(seen, F.count(F.lit(1)).alias("rows"), more.alias("more")).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -89,14 +90,14 @@ def small(df: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if bytes_of(df) <= bound else df
 
 
-def meet(rows: DataFrame, names: DataFrame, on: list[str], many: str, hot: int | None = None) -> DataFrame:
+def meet(rows: DataFrame, names: DataFrame, on: list[str], many: str, hot: int | None = None, bound: int | None = None) -> DataFrame:
     """The inner join of rows with names from written(), one row for each key, that say in column `many` how many rows have it.
 
-    Small names are broadcast.  Else the keys of more than `hot` rows, of which there are fewer than rows / hot, are
+    Names of at most `bound` bytes are broadcast.  Else the keys of more than `hot` rows, of which there are fewer than rows / hot, are
     broadcast, and only the other keys' rows are shuffled, so that no task gets more than `hot` rows of a key.
     """
     hot = hot or HOT_ROWS
-    if bytes_of(names) <= BROADCAST_BYTES:
+    if bytes_of(names) <= (BROADCAST_BYTES if bound is None else min(bound, 2 * BROADCAST_BYTES)):
         return rows.join(F.broadcast(names), on)
     crowded = written(names.where(F.col(many) > hot), "hot")
     if not rows_of(crowded):

@@ -28,6 +28,8 @@ from claimloom.llm.common import discard, meet, modest_batches, release, small,
 
 #: The differences of these six residues modulo 31 are all residues.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: Shared anchors and their documents are broadcast up to this many bytes in memory, as beyond it all texts are shuffled.
+WIDE = 64 << 20
 #: Odd multipliers of two polynomial hashes modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -123,17 +125,16 @@ def _extended(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
 
 def _kept(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, starts, copy = batch.column("_text"), batch.column("starts").to_pylist(), batch.column("copy").to_pylist()
+        texts, begins, ends, copy = batch.column("_text"), *(batch.column(c).to_pylist() for c in ("begins", "ends", "copy"))
         out: list[tuple[int, int, bytes]] = []
         for k in range(batch.num_rows):
             words = words_of(texts[k].as_py())
             gone = np.zeros(len(words) + 1, np.int64)
             if copy[k] and len(words) >= window:
                 gone[0] = 1
-            elif starts[k]:
-                at = np.asarray(starts[k], np.int64)
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + window, -1)
+            elif begins[k]:
+                np.add.at(gone, np.asarray(begins[k], np.int64), 1)
+                np.add.at(gone, np.asarray(ends[k], np.int64) + window, -1)
             keep = (np.cumsum(gone[: len(words)]) == 0).tolist()
             left = [w for w, kept in zip(words, keep, strict=True) if kept]
             out.append((len(words), len(words) - len(left), b" ".join(left)))
@@ -156,17 +157,21 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     anchors = rows.where(F.col("copy").isNull() & F.col("_id").isNotNull()).select("_id", "_h", "_text").mapInArrow(lambda batches: _anchors(batches, size), kind)
     shared = written(anchors.groupBy("key").agg(F.min("_id").alias("a"), F.max("_id").alias("b"), F.count("*").alias("many")).where("a < b").select("key", "many"), "shared")
     release(spark)
-    hits = meet(anchors, shared, ["key"], "many").groupBy("_id", "_h").agg(F.collect_set("at").alias("anchors"))
+    hits = meet(anchors, shared, ["key"], "many", bound=WIDE).groupBy("_id", "_h").agg(F.collect_set("at").alias("anchors"))
     hits = written(hits, "hits")
     release(spark)
-    windows = rows.join(small(hits), ["_id", "_h"]).select("_id", "_h", "_text", "anchors").mapInArrow(lambda batches: _extended(batches, window), "one long, two long, _id long, _h long, at int")
+    windows = rows.join(small(hits, WIDE), ["_id", "_h"]).select("_id", "_h", "_text", "anchors").mapInArrow(lambda batches: _extended(batches, window), "one long, two long, _id long, _h long, at int")
     windows = written(windows, "windows")
     release(spark)
     first = written(windows.groupBy("one", "two").agg(F.min("_id").alias("a"), F.max("_id").alias("b"), F.count("*").alias("many")).where("a < b").select("one", "two", "a", "many"), "first")
     later = meet(windows, first, ["one", "two"], "many").where(F.col("_id") > F.col("a"))
-    starts = written(later.groupBy("_id", "_h").agg(F.collect_set("at").alias("starts")), "starts")
+    starts = later.groupBy("_id", "_h").agg(F.array_sort(F.collect_set("at")).alias("s"))
+    # Windows to remove mostly follow each other: only where such runs begin and end is kept.
+    begins = F.filter("s", lambda x, i: (i == 0) | (x != F.get("s", i - 1) + 1))
+    ends = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (x != F.get("s", i + 1) - 1))
+    starts = written(starts.select("_id", "_h", begins.alias("begins"), ends.alias("ends")), "starts")
     discard(windows, first, hits, shared)
     release(spark)
-    full = rows.join(small(starts), ["_id", "_h"], "left").select("_id", "_text", "starts", F.coalesce("copy", F.lit(False)).alias("copy"))
+    full = rows.join(small(starts, WIDE), ["_id", "_h"], "left").select("_id", "_text", "begins", "ends", F.coalesce("copy", F.lit(False)).alias("copy"))
     kept = full.mapInArrow(lambda batches: _kept(batches, window), "_id long, n_words long, n_removed long, kept binary")
     return kept.withColumnRenamed("_id", id_col)

@@ -48,7 +48,7 @@ def corpus():
     return dict(enumerate(out))
 
 
-@pytest.mark.parametrize("stars", [0, 3])
+@pytest.mark.parametrize("stars", [0, 1])
 def test_groups_equal_all_pairs(spark, monkeypatch, stars):
     monkeypatch.setattr(jaccard, "STARS", stars)
     docs = corpus()
