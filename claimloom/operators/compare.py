@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+from itertools import chain, pairwise
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,27 +15,55 @@ from pyspark.sql import functions as F
 from claimloom.stored import stable
 
 
-def grams(c: Column) -> Column:
-    """Words of two or more characters and their bigrams, in lower case."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
-    return F.concat(words, pairs)
+def words(c: Column) -> Column:
+    """Words of two or more characters, in lower case, with single spaces between."""
+    return F.array_join(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), " ")
 
 
 def similarities(left: DataFrame, right: DataFrame, pair: str = "pair", threshold: float = 0.72) -> DataFrame:
-    """pair, a, b, similarity of the claims (pair, id, text) of two sides, by cosine of smoothed, normalised TF-IDF per pair."""
-    both = left.select(pair, "id", "text", F.lit("a").alias("side")).unionByName(right.select(pair, "id", "text", F.lit("b").alias("side")))
-    n = both.groupBy(pair).agg(F.count("*").alias("n"))
-    tf = both.select(pair, "side", "id", F.explode(grams(F.col("text"))).alias("gram")).groupBy(pair, "side", "id", "gram").agg(F.count("*").alias("tf"))
-    # A gram's claims stand together, so that its rarity, and the claims of both sides that share it, come from one table.
-    of = lambda s: F.collect_list(F.when(F.col("side") == s, F.struct("id", "tf"))).alias(s)
-    met = tf.groupBy(pair, "gram").agg(of("a"), of("b"), F.count("*").alias("df")).join(n, pair)
-    met = stable(met.select(pair, "a", "b", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
-    norm = lambda s: met.select(pair, "idf", F.inline(s)).groupBy(pair, F.col("id").alias(s)).agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias(f"_{s}"))
-    shared = met.where((F.size("a") > 0) & (F.size("b") > 0)).select(pair, "idf", "b", F.inline("a")).withColumnsRenamed({"id": "x", "tf": "tx"}).select(pair, "idf", "x", "tx", F.inline("b"))
-    dots = shared.groupBy(pair, F.col("x").alias("a"), F.col("id").alias("b")).agg(F.sum(F.col("tx") * F.col("tf") * F.col("idf") ** 2).alias("dot"))
-    scored = dots.join(norm("a"), [pair, "a"]).join(norm("b"), [pair, "b"])
-    return scored.select(pair, "a", "b", (F.col("dot") / (F.col("_a") * F.col("_b"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    """pair, a, b, similarity of the claims (pair, id, text) of two sides, by cosine of smoothed, normalised TF-IDF per pair.
+
+    The words of a pair's claims meet once, in one row, and only its results leave it: grams are many times larger than texts.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    side = lambda df, name: df.select(pair, "id", words(F.col("text")).alias("words"), F.lit(name).alias("side"))
+    both = side(left, "a").unionByName(side(right, "b")).where(F.col(pair).isNotNull())
+    wanted = both.select(pair, F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).cast("double").alias("similarity")).schema
+    kind = to_arrow_schema(wanted)
+
+    def cosines(sides: list[str], ids: list, texts: list[str | None]) -> Iterator[tuple]:
+        """(a, b, cosine) of the claims of one pair that share a word or two neighbouring words."""
+        grams = {}
+        for side, id_, text in zip(sides, ids, texts, strict=True):
+            w = text.split(" ") if text else []
+            grams.setdefault((side, id_), Counter()).update(w + [f"{x} {y}" for x, y in pairwise(w)])
+        df = Counter(chain.from_iterable(grams.values()))
+        squares = {k: (math.log((1 + len(ids)) / (1 + k)) + 1) ** 2 for k in set(df.values())}
+        square = {g: squares[k] for g, k in df.items()}
+        norm = {d: math.sqrt(sum(n * n * square[g] for g, n in tf.items())) for d, tf in grams.items()}
+        right = [(d, tf) for d, tf in grams.items() if d[0] == "b"]
+        for d, tf in grams.items():
+            if d[0] == "a":
+                for e, of in right:
+                    both = tf.keys() & of.keys()
+                    if both:
+                        yield d[1], e[1], sum(tf[g] * of[g] * square[g] for g in sorted(both)) / (norm[d] * norm[e])
+
+    def score(batches):
+        for batch in batches:
+            rows = batch.column(1).flatten()
+            sides, ids, texts = (rows.field(k).to_pylist() for k in range(3))
+            at, out = 0, ([], [], [], [])
+            for pair_, n in zip(batch.column(0).to_pylist(), batch.column(1).value_lengths().to_pylist(), strict=True):
+                for a, b, cosine in cosines(sides[at : at + n], ids[at : at + n], texts[at : at + n]):
+                    if cosine >= threshold:
+                        for column, value in zip(out, (pair_, a, b, cosine), strict=True):
+                            column.append(value)
+                at += n
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
+
+    return both.groupBy(pair).agg(F.collect_list(F.struct("side", "id", "words")).alias("rows")).mapInArrow(score, wanted)
 
 
 def align(scored: DataFrame, pair: str = "pair") -> DataFrame:

@@ -136,3 +136,12 @@ def test_columns_of_a_page(spark):
     assert not any("30" in t.split() or "margin" in t for _, t in got)
     kept = [g["text"] for g in columns.column_lines(frame, ["page"], 600.0, 800.0, numbers=True).collect()]
     assert any("30" in t.split() for t in kept)
+
+
+def test_similarities_move_each_text_once(spark):
+    left = spark.createDataFrame([(1, 1, "A round valve"), (1, 2, None), (2, 1, "of"), (None, 1, "A round valve")], "pair long, id int, text string")
+    right = spark.createDataFrame([(1, 5, "A round valve and a part"), (1, 6, ""), (3, 1, "A round valve"), (None, 1, "A round valve")], "pair long, id int, text string")
+    got = compare.similarities(left, right, threshold=0.1)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    want = similarities([(1, "A round valve"), (2, "")], [(5, "A round valve and a part"), (6, "")])
+    assert [(r["pair"], r["a"], r["b"], round(r["similarity"], 9)) for r in got.collect()] == [(1, 1, 5, round(want[1, 5], 9))]
