@@ -1,5 +1,6 @@
 """The library stands without the language-model operators; sources and streams work."""
 
+import random
 import ast
 import pathlib
 import subprocess
@@ -75,3 +76,15 @@ def test_issue_counts_by_window(spark, tmp_path):
     q = landing.issue_counts(rows).writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counted").select(F.sum("n")).first()[0] == 2
+
+
+def test_chains_stay_in_place(spark):
+    from claimloom.operators import citations
+
+    r = random.Random(5)
+    edges = spark.createDataFrame(sorted({(f"i{r.randint(0, 30)}", f"i{r.randint(0, 40)}") for _ in range(70)}), "src string, dst string")
+    starts = edges.select(F.col("src").alias("id")).distinct()
+    here, moved = citations.chains(edges, starts), citations.chains(edges, starts, bound=0)
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, here.collect())) == sorted(map(tuple, moved.collect()))
+    assert plan.count("hashpartitioning(start") <= 1 and plan.count("BroadcastHashJoin") >= 4
