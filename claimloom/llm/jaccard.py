@@ -8,8 +8,9 @@ BITS bits; their sets are candidates if the whole signatures differ in no more b
 What estimates miss is found by set: every set is put in one global order, rarer shingles first; two sets of at least the
 wanted similarity share one of the first n - ceil(similarity * n) + 1 shingles of either, so only sets that share such a
 shingle, have sizes that allow it, have enough shingles left from there on and aren't in one group yet are candidates, if the counts
-of their shingles in 256 buckets allow it as well.  The order takes counts from a sample of documents; it decides how many candidates there are, not which pairs link.  Each
-candidate of either kind is held against both whole sets.
+of their shingles in 256 buckets allow it as well.  The order takes the counts of all shingles of all documents, summed in buckets of their
+hashes; any order that is the same for all sets gives the same links, a good one has few candidates.  Each candidate of either kind is held
+against both whole sets.
 
 Large groups don't turn into all their pairs: the trie links each fingerprint to three others, the next rounds hold the
 members of a shingle against one of them, and the last one only pairs members that are still in different groups.
@@ -36,10 +37,8 @@ from claimloom.llm.simhash import majority, mixed, print_links, shingle_hashes
 
 #: Signatures of MANY * 64 bits, cut into fingerprints of KEY bits; those of the trie's candidates differ in BITS bits at most.
 MANY, KEY, BITS = 8, 32, 2
-#: Documents whose shingles are counted, about; a shingle that COMMON of them or more have is common.
-SAMPLE, COMMON = 20_000, 3
-#: Common shingles that the order knows, the most frequent ones; others count as rare.
-KNOWN = 1 << 18
+#: Leading bits of a shingle that name the bucket in which it is counted, and the buckets of one row of counts.
+COUNTED, RUN = 20, 1 << 10
 #: Buckets of a sketch, which counts a set's shingles by their leading bits, and the most shingles of a set that has one.
 BUCKETS, SKETCHED = 256, 20_000
 #: Rounds that hold the members of a shingle against one of them.
@@ -56,10 +55,24 @@ def most_bits(similarity: float, bits: int) -> int:
     return int(bits * p + 3 * np.sqrt(bits * p * (1 - p)))
 
 
-def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - COUNTED)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """run, counts: a partition's counts of shingles by bucket, RUN buckets a row, without rows of zeros."""
+    total = np.zeros(1 << COUNTED, np.int64)
     for batch in batches:
         for text in batch.column("_text"):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), words).view(np.int64))], ["token"])
+            np.add.at(total, _bucket(shingle_set(text.as_py(), words)), 1)
+    rows = total.reshape(-1, RUN)
+    runs = np.flatnonzero(rows.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array([rows[k].tobytes() for k in runs], pa.binary())], ["run", "counts"])
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    total = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.int64).reshape(-1, RUN).sum(0)
+    return pa.table({"run": group.column("run").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def _sketch(shingles: np.ndarray) -> bytes:
@@ -81,16 +94,14 @@ def _possible(batches: Iterator[pa.RecordBatch], share: Fraction) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fine))
 
 
-def _signed(batches: Iterator[pa.RecordBatch], words: int, share: Fraction, common: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], words: int, share: Fraction, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
     """doc_id; digest, size and signature of its set; the first shingles in the global order."""
     for batch in batches:
         sets = [shingle_set(text.as_py(), words) for text in batch.column("_text")]
         heads = []
         for one in sets:
-            at = np.minimum(np.searchsorted(common, one), max(len(common) - 1, 0))
-            often = np.where(common[at] == one, counts[at], 0) if len(common) else np.zeros(len(one), np.int64)
             least = -(-share.numerator * len(one) // share.denominator)
-            heads.append(one[np.lexsort((one, often))[: len(one) - least + 1]].view(np.int64))
+            heads.append(one[np.argsort(counts[_bucket(one)], kind="stable")[: len(one) - least + 1]].view(np.int64))
         signatures = [majority(mixed(one, MANY)).tobytes() if len(one) else bytes(8 * MANY) for one in sets]
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(one.tobytes()) for one in sets], pa.binary()), pa.array([len(one) for one in sets], pa.int64()),
@@ -123,15 +134,14 @@ def _near(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most))
 
 
-def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, in order, that several sampled documents have, and how many have them."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("_text")
-    counts = some.mapInArrow(lambda batches: _shingles(batches, words), "token long").groupBy("token").count().where(F.col("count") >= COMMON)
-    known = counts.orderBy(F.desc("count"), "token").limit(KNOWN).toArrow()
-    tokens, n = known.column("token").to_numpy().view(np.uint64), known.column("count").to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], n[order]
+def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """How many shingles of the sets of all documents fall into each bucket: never less than the documents that have one of its shingles."""
+    rows = docs.select("_text").mapInArrow(lambda batches: _counted(batches, words), "run long, counts binary")
+    sums = rows.groupBy("run").applyInArrow(_summed, "run long, counts binary").toArrow()
+    total = np.zeros(((1 << COUNTED) // RUN, RUN), np.int64)
+    for run, counts in zip(sums.column("run").to_pylist(), sums.column("counts").to_pylist(), strict=True):
+        total[run] = np.frombuffer(counts, np.int64)
+    return total.reshape(-1)
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -144,9 +154,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     modest_batches(spark)
     share = Fraction(str(similarity))
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_text"))
-    common, counts = common_shingles(texts, words)
+    counts = shingle_counts(texts, words)
     kind = "doc_id long, _key binary, n long, _signature binary, _head array<long>, _sketch binary"
-    signed = written(texts.mapInArrow(lambda batches: _signed(batches, words, share, common, counts), kind).withColumn("uid", F.monotonically_increasing_id()), "signed")
+    signed = written(texts.mapInArrow(lambda batches: _signed(batches, words, share, counts), kind).withColumn("uid", F.monotonically_increasing_id()), "signed")
     # One row stands for all that have the same set.
     nodes = written(signed.groupBy("_key").agg(F.min("uid").alias("node"), F.min("doc_id").alias("_rep"), F.count("*").alias("copies")), "nodes")
     ones = signed.join(small(nodes).select("node"), signed["uid"] == nodes["node"])

@@ -4,6 +4,7 @@ import itertools
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from claimloom.llm import jaccard, simhash
@@ -57,3 +58,16 @@ def test_groups_equal_all_pairs(spark, monkeypatch, stars):
     kept = {x["doc_id"] for x in simhash.one_of_each(frame).collect()}
     assert kept == {d for d, g in want.items() if d == g}
     assert {x["doc_id"]: x["component_id"] for x in jaccard.near_copies(frame).collect()} == {d: g for d, g in want.items() if d != g}
+
+
+def test_order_counts_the_shingles_of_all_documents(spark):
+    many = 45_000  # more than twice 20,000
+    docs = spark.range(0, many, 1, 4).selectExpr("encode(concat('a b c d e ', id), 'UTF-8') _text").unionByName(spark.createDataFrame([(None,), (b"",)], "_text binary"))
+    want = np.zeros(1 << jaccard.COUNTED, np.int64)
+    for k in range(many):
+        for shingle in jaccard.shingle_set(b"a b c d e %d" % k, 5).tolist():
+            want[shingle >> 64 - jaccard.COUNTED] += 1
+    counts = jaccard.shingle_counts(docs, 5)
+    assert counts.sum() == 2 * many and (counts == want).all()
+    assert counts[int(jaccard.shingle_set(b"a b c d e", 5)[0]) >> 64 - jaccard.COUNTED] >= many
+    assert not jaccard.shingle_counts(docs.limit(0), 5).any()
