@@ -10,8 +10,10 @@ is a byte-pair one, for which that path is not the encoder's result: its units s
 scored edge that spans two neighbours, leftmost first, joins them until no such edge is left.  Characters without a piece
 fall back to the pieces of their UTF-8 bytes.
 
-The units of a batch that aren't known from earlier ones are indexed together, at most INDEXED characters at a time.  A longer
-unit (a text without spaces) is cut where no piece crosses; a part that is still longer is joined by a heap over its edges.
+The units of a batch that aren't known from earlier ones are indexed together, about TOGETHER characters at a time.  A unit of
+more than INDEXED (a text without spaces) is cut where no piece crosses; a part that is still longer is joined by a heap over its
+edges.  Units are cut twice, once to find the unknown ones and once to look them up, so that only one text's stand in memory,
+besides those of texts of INDEXED characters or more.
 
 Defined results: a null text has null ids, an empty one none; U+2581 in a text counts as a space; rows that repeat are
 encoded alike; other columns are passed on only if named in `keep`.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,10 @@ from pyspark.sql import functions as F
 from claimloom.llm.common import fields, modest_batches, with_columns
 
 SPACE = "▁"
-#: Characters that one suffix array holds, and units whose encoding a worker remembers.
-INDEXED, KNOWN = 1 << 18, 1 << 18
+#: Characters that one suffix array holds at most, and of units that share one; units whose encoding a worker remembers.
+INDEXED, TOGETHER, KNOWN = 1 << 18, 1 << 16, 1 << 18
+#: Characters of the texts whose units are learnt before any of them is encoded; a longer text is alone.
+AHEAD = 1 << 22
 #: Units with more characters are joined by a heap, one at a time.
 LONG = 64
 
@@ -59,9 +64,12 @@ class Pieces:
         self.long = [(k, p) for k, p in normal if len(p) > 1]
         self.depth = max((len(p) for _, p in self.long), default=1)
         self.ids, self.sizes = np.array([k for k, _ in self.long], np.int32), np.array([len(p) for _, p in self.long], np.int64)
-        self.codes = np.zeros((len(self.long), self.depth), np.uint32)
-        for row, (_, p) in zip(self.codes, self.long, strict=True):
+        codes = np.zeros((len(self.long), self.depth), np.uint32)
+        for row, (_, p) in zip(codes, self.long, strict=True):
             row[: len(p)] = [ord(c) for c in p]
+        #: The characters of the long pieces, from 0 for none, and which of them each piece has at each place.
+        self.letters, which = np.unique(np.append(codes, np.uint32(0)), return_inverse=True)
+        self.spelled = which[:-1].reshape(codes.shape).astype(np.int32)
         joining = {c for _, p in self.long for c in p}
         inner = any(SPACE in p.lstrip(SPACE) for _, p in self.long)
         alone = "".join(c for c in "\n\r\t" if c not in joining)
@@ -90,8 +98,9 @@ class Pieces:
             keys.append(key)
         suffixes = np.lexsort(keys[::-1])
         keys = [k[suffixes] for k in keys]
-        spelled = np.searchsorted(alphabet, self.codes)
-        spelled = np.where((self.codes > 0) & (alphabet[np.minimum(spelled, len(alphabet) - 1)] == self.codes), spelled + 1, 0)
+        number = np.searchsorted(alphabet, self.letters)
+        number = np.where((self.letters > 0) & (alphabet[np.minimum(number, len(alphabet) - 1)] == self.letters), number + 1, 0).astype(np.int32)
+        spelled = number[self.spelled]
         some = np.flatnonzero((spelled > 0).sum(1) == self.sizes)
         spelled, sizes, ids = spelled[some].astype(np.uint64), self.sizes[some], self.ids[some]
         low, high = np.zeros(len(some), np.int64), np.full(len(some), n, np.int64)
@@ -248,7 +257,7 @@ class Pieces:
         start = 0
         while start < len(units):
             chars, stop = 0, start
-            while stop < len(units) and (stop == start or chars + len(units[stop]) < INDEXED):
+            while stop < len(units) and (stop == start or chars + len(units[stop]) < TOGETHER):
                 chars += len(units[stop])
                 stop += 1
             some = units[start:stop]
@@ -277,13 +286,30 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """32-bit ids of each text."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        cut = [None if t is None else self.units.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        cut = [u if not u or len(t) < INDEXED or max(map(len, u)) <= INDEXED else [p for one in u for p in (self.parts(one) if len(one) > INDEXED else [one])] for t, u in zip(texts, cut, strict=True)]
-        fresh = set().union(*(u for u in cut if u)) - self.known.keys() if any(cut) else set()
-        self.learn(list(fresh))
-        return [None if u is None else b"".join(map(self.known.__getitem__, u)) for u in cut]
+        out: list[bytes | None] = []
+        while len(out) < len(texts):
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            fresh: set[str] = set()
+            chars, stop, long = 0, len(out), {}
+            while stop < len(texts) and (stop == len(out) or chars + len(texts[stop] or "") <= AHEAD):
+                if texts[stop]:
+                    chars += len(texts[stop])
+                    units = self.cut(texts[stop])
+                    if len(texts[stop]) >= INDEXED:
+                        long[stop] = units
+                    fresh.update(filterfalse(self.known.__contains__, units))
+                stop += 1
+            self.learn(list(fresh))
+            out += [None if texts[k] is None else b"".join(map(self.known.__getitem__, long.get(k) or self.cut(texts[k]))) for k in range(len(out), stop)]
+        return out
+
+    def cut(self, text: str) -> list[str]:
+        """The units of a text, those of more than INDEXED characters in their parts."""
+        units = self.units.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if len(text) < INDEXED or max(map(len, units)) <= INDEXED:
+            return units
+        return [p for one in units for p in (self.parts(one) if len(one) > INDEXED else [one])]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.decoded.__getitem__, ids)).decode("utf-8", "replace")

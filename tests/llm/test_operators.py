@@ -277,6 +277,22 @@ def test_long_units_equal_the_library(model, monkeypatch):
         assert np.frombuffer(x, np.int32).tolist() == given.encode(t), t[:30]
 
 
+def test_encoding_takes_little_memory(model):
+    import tracemalloc
+
+    r = random.Random(3)
+    own = pieces.Pieces(pieces.model_pieces(model))
+    some = [" ".join(f"{r.choice(WORDS)}{r.randrange(60)}" for _ in range(300)) for _ in range(500)]
+    some += [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(300)) for _ in range(100)]
+    tracemalloc.start()
+    try:
+        own.encode(some)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40 << 20, most >> 20
+
+
 def test_digests_equal_the_library(docs, model):
     import sentencepiece
 
