@@ -88,3 +88,36 @@ def test_chains_stay_in_place(spark):
     plan = here._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, here.collect())) == sorted(map(tuple, moved.collect()))
     assert plan.count("hashpartitioning(start") <= 1 and plan.count("BroadcastHashJoin") >= 4
+
+
+def test_chains_grow_from_numbers(spark, monkeypatch):
+    """Beyond the bound of rows no chain is moved or stored; the chains are those of plain loops, however many grow at once."""
+    import pyarrow as pa
+
+    from claimloom.operators import citations
+
+    r = random.Random(6)
+    pairs = [(f"i{r.randint(0, 30)}", f"i{r.randint(0, 40)}") for _ in range(90)] + [("hub", f"i{k}") for k in range(41)] + [("i1", "hub"), ("i2", "i2"), ("lone", None), ("far", "nowhere"), (None, "i3")]
+    edges = spark.createDataFrame(pairs + pairs[:9], "src string, dst string")
+    cites = {s: {d for s_, d in pairs if s_ == s and d is not None} for s, _ in pairs if s is not None}
+    want = []
+    for s in cites:
+        level, seen = {s: (s,)}, set()
+        for _ in range(4):
+            want += [(s, i, len(p), list(p)) for i, p in level.items()]
+            seen |= level.keys()
+            step = [(d, (*p, d)) for i, p in level.items() for d in cites[i] if d in cites and d not in seen]
+            level = {d: min(p for d_, p in step if d_ == d) for d, _ in step}
+    numbered, moved = citations.chains(edges, None, 4, bound=0), citations.chains(edges, None, 4, bound=0, numbered=0)
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan and plan.count("Scan parquet") == 1
+    assert sorted(map(tuple, numbered.collect())) == sorted(want) == sorted(map(tuple, moved.collect()))
+    assert sorted(map(tuple, citations.chains(edges, edges.where("src = 'hub'").select(F.col("src").alias("id")), 4, bound=0).collect())) == sorted(x for x in want if x[0] == "hub")
+
+    rows = pa.table({"id": list(cites), "_next": pa.array([list(x) for x in cites.values()], pa.list_(pa.string()))})
+    cited = set().union(*cites.values())
+    graph = citations._numbered(rows.filter(pa.array([x in cited for x in cites])))
+    for name, size in (("CHAINS", 8), ("STARTS", 5), ("SENT", 3)):
+        monkeypatch.setattr(citations, name, size)
+    got = [x for b in citations._searched(iter(rows.to_batches(max_chunksize=2)), type("", (), {"value": graph}), 4) for x in b.to_pylist()]
+    assert sorted(tuple(x.values()) for x in got) == sorted(want)
